@@ -123,8 +123,11 @@ def map_coordinates(g: Column, mapping: Mapping) -> Column:
     def rings(r: Column) -> Column:
         return F.transform(r, lambda part: F.transform(part, lambda ring: F.transform(ring, move)))
 
-    return F.when(g["kind"] == "point", point(*mapping(g["xmin"], g["ymin"]))).otherwise(
-        polygon(rings(g["rings"]))
+    return let(
+        g,
+        lambda v: F.when(v["kind"] == "point", point(*mapping(v["xmin"], v["ymin"]))).otherwise(
+            polygon(rings(v["rings"]))
+        ),
     )
 
 
@@ -148,10 +151,8 @@ def _ring_sums(ring: Column, x0: Column, y0: Column) -> Column:
     return F.aggregate(_ring_edges(ring), zero, step)
 
 
-def _oriented_sums(rings: Column) -> Column:
+def _oriented_sums(rings: Column, origin: Column) -> Column:
     """Per ring sums with outer rings counted positive and holes negative."""
-    origin = rings.getItem(0).getItem(0).getItem(0)
-
     def of_ring(ring: Column, index: Column) -> Column:
         def orient(t: Column) -> Column:
             sign = F.signum(t["s"]) * F.when(index == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -164,14 +165,21 @@ def _oriented_sums(rings: Column) -> Column:
     return F.flatten(F.transform(rings, lambda part: F.transform(part, of_ring)))
 
 
+def _first_vertex(rings: Column) -> Column:
+    return rings.getItem(0).getItem(0).getItem(0)
+
+
 def _total(sums: Column, name: str) -> Column:
     return F.aggregate(sums, F.lit(0.0), lambda acc, t: acc + t[name])
 
 
 def area_planar(g: Column) -> Column:
     """Area in squared coordinate units; holes are subtracted. 0 for a point."""
-    return F.when(g["kind"] == "point", F.lit(0.0)).otherwise(
-        _total(_oriented_sums(g["rings"]), "s") / 2
+    def measured(rings: Column) -> Column:
+        return let(_first_vertex(rings), lambda o: _total(_oriented_sums(rings, o), "s") / 2)
+
+    return let(
+        g, lambda v: F.when(v["kind"] == "point", F.lit(0.0)).otherwise(measured(v["rings"]))
     )
 
 
@@ -186,20 +194,21 @@ def area_geodesic(g: Column) -> Column:
 
 def centroid(g: Column) -> Column:
     """Area-weighted planar centroid as a point geometry; may lie outside a concave polygon."""
-    rings = g["rings"]
-    origin = rings.getItem(0).getItem(0).getItem(0)
+    def centre(rings: Column, origin: Column) -> Column:
+        def place(sums: Column) -> Column:
+            area3 = _total(sums, "s") * 3
+            return vertex(
+                origin["x"] + F.try_divide(_total(sums, "mx"), area3),
+                origin["y"] + F.try_divide(_total(sums, "my"), area3),
+            )
 
-    def place(sums: Column) -> Column:
-        s = _total(sums, "s")
-        return F.struct(
-            (origin["x"] + F.try_divide(_total(sums, "mx"), s * 3)).alias("x"),
-            (origin["y"] + F.try_divide(_total(sums, "my"), s * 3)).alias("y"),
-        )
+        return let(_oriented_sums(rings, origin), place)
 
-    def as_point(c: Column) -> Column:
-        return point(c["x"], c["y"])
+    def of_polygon(rings: Column) -> Column:
+        middle = let(_first_vertex(rings), lambda o: centre(rings, o))
+        return let(middle, lambda c: point(c["x"], c["y"]))
 
-    return F.when(g["kind"] == "point", g).otherwise(let(let(_oriented_sums(rings), place), as_point))
+    return let(g, lambda v: F.when(v["kind"] == "point", v).otherwise(of_polygon(v["rings"])))
 
 
 def is_valid(g: Column) -> Column:
@@ -215,14 +224,14 @@ def is_valid(g: Column) -> Column:
             & (let(ring, lambda r: _ring_sums(r, r.getItem(0)["x"], r.getItem(0)["y"])["s"]) != 0)
         )
 
-    rings = F.flatten(g["rings"])
-    box_ok = finite(vertex(g["xmin"], g["ymin"])) & finite(vertex(g["xmax"], g["ymax"]))
-    return F.coalesce(
-        F.when(g["kind"] == "point", box_ok).otherwise(
+    def check(v: Column) -> Column:
+        rings = F.flatten(v["rings"])
+        box_ok = finite(vertex(v["xmin"], v["ymin"])) & finite(vertex(v["xmax"], v["ymax"]))
+        return F.when(v["kind"] == "point", box_ok).otherwise(
             box_ok & (F.size(rings) > 0) & F.forall(rings, ring_ok)
-        ),
-        F.lit(False),
-    )
+        )
+
+    return F.coalesce(let(g, check), F.lit(False))
 
 
 # ------------------------------------------------------------------- canonical
@@ -272,129 +281,136 @@ def canonical(g: Column) -> Column:
             ),
         )
 
-    return F.when(g["kind"] == "point", g).otherwise(
-        F.struct(
-            g["kind"].alias("kind"),
-            F.array_sort(F.transform(g["rings"], part)).alias("rings"),
-            *[g[n].alias(n) for n in BOX],
+    def spelled(v: Column) -> Column:
+        return F.struct(
+            v["kind"].alias("kind"),
+            F.array_sort(F.transform(v["rings"], part)).alias("rings"),
+            *[v[n].alias(n) for n in BOX],
         )
-    )
+
+    return let(g, lambda v: F.when(v["kind"] == "point", v).otherwise(spelled(v)))
 
 
 # ------------------------------------------------------------------ predicates
+#
+# Predicates nest deeply, and a Column is built by one call to the JVM per operation, so they
+# are composed as SQL text: arguments are SQL expressions, mostly column names, and the result
+# goes through ``F.expr`` once.
+
+def edges_sql(g: str) -> str:
+    """Text form of :func:`edges`."""
+    ring = (
+        "r -> zip_with(slice(r, 1, greatest(size(r) - 1, 0)), slice(r, 2, greatest(size(r) - 1, 0)),"
+        " (a, b) -> named_struct('ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y))"
+    )
+    return f"flatten(transform(flatten({g}.rings), {ring}))"
+
+
+def heads_sql(g: str) -> str:
+    """Text form: first vertex of every ring."""
+    return f"transform(flatten({g}.rings), r -> r[0])"
 
-def _cross(e: Column, px: Column, py: Column) -> Column:
-    return (e["bx"] - e["ax"]) * (py - e["ay"]) - (px - e["ax"]) * (e["by"] - e["ay"])
 
+def _cross(e: str, px: str, py: str) -> str:
+    return f"(({e}.bx - {e}.ax) * ({py} - {e}.ay) - ({px} - {e}.ax) * ({e}.by - {e}.ay))"
 
-def _on_edge(e: Column, px: Column, py: Column) -> Column:
+
+def _on_edge(e: str, px: str, py: str) -> str:
     return (
-        (py >= F.least(e["ay"], e["by"]))
-        & (py <= F.greatest(e["ay"], e["by"]))
-        & (px >= F.least(e["ax"], e["bx"]))
-        & (px <= F.greatest(e["ax"], e["bx"]))
-        & (_cross(e, px, py) == 0)
+        f"({py} >= least({e}.ay, {e}.by) AND {py} <= greatest({e}.ay, {e}.by)"
+        f" AND {px} >= least({e}.ax, {e}.bx) AND {px} <= greatest({e}.ax, {e}.bx)"
+        f" AND {_cross(e, px, py)} = 0)"
     )
 
 
-def on_boundary(segments: Column, px: Column, py: Column) -> Column:
-    return F.exists(segments, lambda e: _on_edge(e, px, py))
+def on_boundary(segments: str, px: str, py: str) -> str:
+    return f"exists({segments}, s -> {_on_edge('s', px, py)})"
 
 
-def _odd_crossings(segments: Column, px: Column, py: Column) -> Column:
+def _odd_crossings(segments: str, px: str, py: str) -> str:
     """Even-odd rule for a ray towards growing x, without any division."""
-    def hit(e: Column) -> Column:
-        up = F.when(e["by"] > e["ay"], F.lit(1.0)).otherwise(F.lit(-1.0))
-        return ((e["ay"] > py) != (e["by"] > py)) & (_cross(e, px, py) * up > 0)
-
-    return F.aggregate(segments, F.lit(False), lambda odd, e: odd != hit(e))
+    hit = (
+        f"(s.ay > {py}) <> (s.by > {py})"
+        f" AND {_cross('s', px, py)} * if(s.by > s.ay, 1D, -1D) > 0"
+    )
+    return f"aggregate({segments}, false, (odd, s) -> odd <> ({hit}))"
 
 
-def covers_point(segments: Column, px: Column, py: Column) -> Column:
+def covers_point(segments: str, px: str, py: str) -> str:
     """Point inside or on the boundary."""
-    return on_boundary(segments, px, py) | _odd_crossings(segments, px, py)
+    return f"({on_boundary(segments, px, py)} OR {_odd_crossings(segments, px, py)})"
 
 
-def contains_point(segments: Column, px: Column, py: Column) -> Column:
+def contains_point(segments: str, px: str, py: str) -> str:
     """Point strictly inside."""
-    return ~on_boundary(segments, px, py) & _odd_crossings(segments, px, py)
+    return f"(NOT {on_boundary(segments, px, py)} AND {_odd_crossings(segments, px, py)})"
 
 
-def _segments_touch(e: Column, f: Column) -> Column:
-    """Closed segments share a point: overlapping boxes and mutual straddling."""
-    boxes = (
-        (F.greatest(e["ax"], e["bx"]) >= F.least(f["ax"], f["bx"]))
-        & (F.greatest(f["ax"], f["bx"]) >= F.least(e["ax"], e["bx"]))
-        & (F.greatest(e["ay"], e["by"]) >= F.least(f["ay"], f["by"]))
-        & (F.greatest(f["ay"], f["by"]) >= F.least(e["ay"], e["by"]))
-    )
-    a = F.signum(_cross(e, f["ax"], f["ay"])) * F.signum(_cross(e, f["bx"], f["by"]))
-    b = F.signum(_cross(f, e["ax"], e["ay"])) * F.signum(_cross(f, e["bx"], e["by"]))
-    return boxes & (a <= 0) & (b <= 0)
+def _straddle(e: str, f: str) -> str:
+    """Product of the sides of e on which the ends of f lie."""
+    return f"signum({_cross(e, f'{f}.ax', f'{f}.ay')}) * signum({_cross(e, f'{f}.bx', f'{f}.by')})"
 
 
-def _segments_cross(e: Column, f: Column) -> Column:
-    """Open segments cross in one inner point of both."""
-    a = F.signum(_cross(e, f["ax"], f["ay"])) * F.signum(_cross(e, f["bx"], f["by"]))
-    b = F.signum(_cross(f, e["ax"], e["ay"])) * F.signum(_cross(f, e["bx"], e["by"]))
-    return (a < 0) & (b < 0)
+def _segments_touch(e: str, f: str) -> str:
+    """Closed segments share a point: overlapping boxes and mutual straddling."""
+    return (
+        f"(greatest({e}.ax, {e}.bx) >= least({f}.ax, {f}.bx) AND greatest({f}.ax, {f}.bx) >= least({e}.ax, {e}.bx)"
+        f" AND greatest({e}.ay, {e}.by) >= least({f}.ay, {f}.by) AND greatest({f}.ay, {f}.by) >= least({e}.ay, {e}.by)"
+        f" AND {_straddle(e, f)} <= 0 AND {_straddle(f, e)} <= 0)"
+    )
 
 
-def polygons_intersect(a_edges: Column, a_heads: Column, b_edges: Column) -> Column:
+def polygons_intersect(a_edges: str, a_heads: str, b_edges: str) -> str:
     """Polygons share a point. If no boundaries meet, one ring lies wholly inside the other
-    polygon, so one vertex of each ring decides; every ``a`` edge of ``b_edges`` stands for
-    the vertices of b."""
+    polygon, so one vertex of each ring decides; the starts of ``b_edges`` stand for the
+    vertices of b."""
     return (
-        F.exists(a_edges, lambda e: F.exists(b_edges, lambda f: _segments_touch(e, f)))
-        | F.exists(a_heads, lambda v: covers_point(b_edges, v["x"], v["y"]))
-        | F.exists(b_edges, lambda f: covers_point(a_edges, f["ax"], f["ay"]))
+        f"(exists({a_edges}, e -> exists({b_edges}, f -> {_segments_touch('e', 'f')}))"
+        f" OR exists({a_heads}, v -> {covers_point(b_edges, 'v.x', 'v.y')})"
+        f" OR exists({b_edges}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')}))"
     )
 
 
-def polygon_contains(a_edges: Column, b_edges: Column) -> Column:
+def polygon_contains(a_edges: str, b_edges: str) -> str:
     """b lies in a and they share inner points; a common boundary is allowed.
 
     Exact for concave containers and holes: no edge of b crosses one of a, every piece of
     an edge of b between touching vertices of a has its middle in a, and no vertex of a is
     strictly inside b.
     """
-    def pieces_inside(f: Column) -> Column:
-        dx, dy = f["bx"] - f["ax"], f["by"] - f["ay"]
-        length2 = dx * dx + dy * dy
-        touching = F.filter(a_edges, lambda e: _on_edge(f, e["ax"], e["ay"]))
-        stops = F.transform(
-            touching,
-            lambda e: F.try_divide((e["ax"] - f["ax"]) * dx + (e["ay"] - f["ay"]) * dy, length2),
-        )
-        cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), stops))
-        middles = let(
-            cuts,
-            lambda c: F.zip_with(
-                F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda s, t: (s + t) / 2
-            ),
-        )
-        return F.forall(middles, lambda t: covers_point(a_edges, f["ax"] + dx * t, f["ay"] + dy * t))
-
+    crossing = f"{_straddle('e', 'f')} < 0 AND {_straddle('f', 'e')} < 0"
+    length2 = "((f.bx - f.ax) * (f.bx - f.ax) + (f.by - f.ay) * (f.by - f.ay))"
+    stops = (
+        f"transform(filter({a_edges}, e -> {_on_edge('f', 'e.ax', 'e.ay')}),"
+        f" e -> try_divide((e.ax - f.ax) * (f.bx - f.ax) + (e.ay - f.ay) * (f.by - f.ay), {length2}))"
+    )
+    middle = covers_point(a_edges, "(f.ax + (f.bx - f.ax) * m)", "(f.ay + (f.by - f.ay) * m)")
+    pieces = (
+        f"forall(transform(array(array_sort(concat(array(0D, 1D), {stops}))),"
+        " c -> zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (p, q) -> (p + q) / 2))[0],"
+        f" m -> {middle})"
+    )
     return (
-        F.forall(b_edges, lambda f: covers_point(a_edges, f["ax"], f["ay"]))
-        & ~F.exists(b_edges, lambda f: F.exists(a_edges, lambda e: _segments_cross(e, f)))
-        & ~F.exists(a_edges, lambda e: contains_point(b_edges, e["ax"], e["ay"]))
-        & F.forall(b_edges, pieces_inside)
+        f"(forall({b_edges}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')})"
+        f" AND NOT exists({b_edges}, f -> exists({a_edges}, e -> {crossing}))"
+        f" AND NOT exists({a_edges}, e -> {contains_point(b_edges, 'e.ax', 'e.ay')})"
+        f" AND forall({b_edges}, f -> {pieces}))"
     )
 
 
-def _distance2(e: Column, px: Column, py: Column) -> Column:
-    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-    along = (px - e["ax"]) * dx + (py - e["ay"]) * dy
-    t = F.coalesce(F.try_divide(along, dx * dx + dy * dy), F.lit(0.0))
-    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    ex, ey = px - (e["ax"] + dx * t), py - (e["ay"] + dy * t)
-    return ex * ex + ey * ey
+def _distance2(e: str, px: str, py: str) -> str:
+    dx, dy = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)"
+    along = f"(({px} - {e}.ax) * {dx} + ({py} - {e}.ay) * {dy})"
+    t = f"least(greatest(coalesce(try_divide({along}, {dx} * {dx} + {dy} * {dy}), 0D), 0D), 1D)"
+    return (
+        f"transform(array({t}), t -> pow({px} - {e}.ax - {dx} * t, 2D) + pow({py} - {e}.ay - {dy} * t, 2D))[0]"
+    )
 
 
-def within_distance(segments: Column, px: Column, py: Column, radius) -> Column:
+def within_distance(segments: str, px: str, py: str, radius: float) -> str:
     """Point inside, or no farther than ``radius`` from the boundary."""
-    limit = radius if isinstance(radius, Column) else F.lit(float(radius))
-    return F.exists(segments, lambda e: _distance2(e, px, py) <= limit * limit) | _odd_crossings(
-        segments, px, py
+    limit = f"{float(radius) ** 2!r}D"
+    return (
+        f"(exists({segments}, s -> {_distance2('s', px, py)} <= {limit})"
+        f" OR {_odd_crossings(segments, px, py)})"
     )

@@ -63,9 +63,14 @@ def to_number(text: Column) -> Column:
 
 
 def slice_text(text: Column, first, last) -> Column:
-    """Characters ``first``..``last``, 1-based and inclusive; ``first`` below 1 means 1."""
-    first = F.greatest(_lit(first), F.lit(1))
-    return F.substr(text, first, F.greatest(_lit(last) - first + 1, F.lit(0)))
+    """Characters ``first``..``last``, 1-based and inclusive; ``first`` below 1 means 1.
+
+    A missing position gives NULL.
+    """
+    first, last = _lit(first), _lit(last)
+    start = F.when(first < 1, F.lit(1)).otherwise(first)
+    length = F.when(last < first, F.lit(0)).otherwise(last - start + 1)
+    return F.substr(text, start, length)
 
 
 def locate_end(text: Column, pattern: str) -> Column:
@@ -75,11 +80,12 @@ def locate_end(text: Column, pattern: str) -> Column:
 
 
 def replace_first(text: Column, pattern: str, replacement: str) -> Column:
-    """Replace the first occurrence of a plain string only."""
-    at = F.instr(text, pattern)
-    head = F.substr(text, F.lit(1), at - 1)
-    tail = F.substr(text, at + len(pattern))
-    return F.when(at > 0, F.concat(head, F.lit(replacement), tail)).otherwise(text)
+    """Replace the first occurrence of a plain string only.
+
+    One reference to ``text``, so that replacements can be nested.
+    """
+    quoted = "".join("\\" + c if c in "\\$" else c for c in replacement)
+    return F.regexp_replace(text, f"(?s)^(.*?){re.escape(pattern)}", "$1" + quoted)
 
 
 def squish(text: Column) -> Column:

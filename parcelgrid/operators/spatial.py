@@ -36,94 +36,104 @@ _BROADCAST_BYTES = 64 * 1024 * 1024
 
 @dataclass(frozen=True)
 class Side:
-    """What an exact test may use of one side of a candidate pair."""
+    """SQL names of what an exact test may use of one side of a candidate pair."""
 
-    box: Column
-    edges: Column
-    heads: Column | None
-    row: Callable[[str], Column]
+    prefix: str
+    edges: str
+    heads: str = ""
+
+    def box(self, bound: str) -> str:
+        return f"{self.prefix}{bound}"
 
     @property
-    def x(self) -> Column:
-        return self.box["xmin"]
+    def x(self) -> str:
+        return self.box("xmin")
 
     @property
-    def y(self) -> Column:
-        return self.box["ymin"]
+    def y(self) -> str:
+        return self.box("ymin")
+
+
+# an exact test takes the driving and the indexed side and gives SQL text
+Test = Callable[[Side, Side], str]
+DRIVER = Side("_d_", "_d_edges", "_d_heads")
+INDEX = Side("_i_", "_i_near")
 
 
-Test = Callable[[Side, Side], Column]
+def indexed(column: str) -> str:
+    """Name, inside an exact test, of an own column of the indexed side."""
+    return f"_i_{column}_"
 
 
 # ----------------------------------------------------------------- grid keys
 
-def _key_of_driver(g: Column, cell: float, points: bool) -> Column:
-    """struct(level, cx, cy) of the one cell a driving row is looked up in; NULL without a box."""
-    def at(level: int) -> Column:
-        size = cell * 4**level
-        return F.struct(
-            F.lit(level).alias("k"),
-            F.floor(g["xmin"] / size).alias("cx"),
-            F.floor(g["ymin"] / size).alias("cy"),
-        )
+def _one_row(df: DataFrame, fields: list[Column]) -> DataFrame:
+    """Add computed columns through a one-element ``inline``.
+
+    The join infers "is not null" filters on its keys and boxes. Pushed down through a plain
+    projection they would repeat the whole geometry expression once per filter; a generator
+    ends the push-down, so every field is computed once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
+
+
+def _boxed(df: DataFrame, geometry: str, prefix: str) -> DataFrame:
+    g = F.col(geometry)
+    return _one_row(df, [g[n].alias(prefix + n) for n in geo.BOX])
+
+
+def _level_sql(cell: float) -> str:
+    """The least grid level whose cells are at least as large as the driving row's box."""
+    extent = "greatest(_d_xmax - _d_xmin, _d_ymax - _d_ymin)"
+    fits = " ".join(f"WHEN {extent} <= {0.999 * cell * 4**k!r}D THEN {k}" for k in range(LEVELS))
+    return f"CASE {fits} WHEN {extent} IS NOT NULL THEN {LEVELS} END"
+
 
+def _keyed_driver(df: DataFrame, geometry: str, cell: float, points: bool) -> DataFrame:
+    """Driving rows with their box and the one cell they are looked up in; NULL without a box."""
+    boxed = _boxed(df, geometry, "_d_")
     if points:
-        return F.when(g["xmin"].isNotNull(), at(0))
-    extent = F.greatest(g["xmax"] - g["xmin"], g["ymax"] - g["ymin"])
-    key = None
-    for level in range(LEVELS):
-        fits = extent <= 0.999 * cell * 4**level
-        key = F.when(fits, at(level)) if key is None else key.when(fits, at(level))
-    whole = F.struct(
-        F.lit(LEVELS).alias("k"), F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy")
-    )
-    return key.when(extent.isNotNull(), whole)
+        boxed = boxed.withColumn("_d_k", F.lit(0))
+    else:
+        boxed = _one_row(boxed, [F.expr(_level_sql(cell)).alias("_d_k")])
+
+    def number(corner: str) -> Column:
+        at = f"floor({corner} / (pow(4D, _d_k) * {cell!r}D))"
+        return F.expr(f"CAST(CASE WHEN _d_k < {LEVELS} THEN {at} WHEN _d_k = {LEVELS} THEN 0 END AS BIGINT)")
 
+    return _one_row(boxed, [number("_d_xmin").alias("_d_cx"), number("_d_ymin").alias("_d_cy")])
 
-def _cells_of_index(g: Column, cell: float, pad: Column, levels: Column | None) -> Column:
-    """array<struct(level, cx, cy)> of every cell a driving row that meets the box may be keyed by.
 
-    A driving polygon may start one cell lower in each direction; a point may not.
+def _cells_sql(cell: float, reach: int) -> str:
+    """array<struct(k, cx, cy)> of every cell of level ``_i_k`` that a driving row which meets
+    the box may be keyed by. A driving polygon may start one cell lower in each direction
+    (``reach`` 1); a point may not.
     """
-    reach = 0 if levels is None else 1
-
-    def at(k: Column) -> Column:
-        size = F.pow(F.lit(4.0), k) * cell
-        cx = F.sequence(F.floor((g["xmin"] - pad) / size) - reach, F.floor((g["xmax"] + pad) / size))
-        cy = F.sequence(F.floor((g["ymin"] - pad) / size) - reach, F.floor((g["ymax"] + pad) / size))
-        grid = F.transform(
-            cx,
-            lambda x: F.transform(
-                cy, lambda y: F.struct(k.alias("k"), x.alias("cx"), y.alias("cy"))
-            ),
-        )
-        whole = F.array(
-            F.struct(
-                F.lit(LEVELS).alias("k"),
-                F.lit(0).cast("bigint").alias("cx"),
-                F.lit(0).cast("bigint").alias("cy"),
-            )
+    size = f"(pow(4D, _i_k) * {cell!r}D)"
+
+    def span(axis: str) -> str:
+        return (
+            f"sequence(floor((_i_{axis}min - _i_pad) / {size}) - {reach},"
+            f" floor((_i_{axis}max + _i_pad) / {size}))"
         )
-        return F.when(k < LEVELS, F.flatten(grid)).otherwise(whole)
-
-    if levels is None:
-        return at(F.lit(0))
-    return F.flatten(F.transform(levels, at))
-
-
-def _edges_for_cell(edges: Column, key: Column, cell: float, pad: Column, reach: int) -> Column:
-    size = F.pow(F.lit(4.0), key["k"]) * cell
-    slack = size * 1e-6 + pad
-    left = key["cx"] * size - slack
-    low = key["cy"] * size - slack
-    high = (key["cy"] + 1 + reach) * size + slack
-    near = F.filter(
-        edges,
-        lambda e: (F.greatest(e["ax"], e["bx"]) >= left)
-        & (F.greatest(e["ay"], e["by"]) >= low)
-        & (F.least(e["ay"], e["by"]) <= high),
+
+    def key(x: str, y: str) -> str:
+        return f"named_struct('k', _i_k, 'cx', CAST({x} AS BIGINT), 'cy', CAST({y} AS BIGINT))"
+
+    grid = f"flatten(transform({span('x')}, u -> transform({span('y')}, v -> {key('u', 'v')})))"
+    return f"CASE WHEN _i_k < {LEVELS} THEN {grid} ELSE array({key('0', '0')}) END"
+
+
+def _near_sql(cell: float, reach: int) -> str:
+    """The boundary segments of the indexed row that matter in its cell."""
+    size = f"(pow(4D, _i_cell.k) * {cell!r}D)"
+    slack = f"({size} * 1e-6D + _i_pad)"
+    near = (
+        f"filter(_i_edges, e -> greatest(e.ax, e.bx) >= _i_cell.cx * {size} - {slack}"
+        f" AND greatest(e.ay, e.by) >= _i_cell.cy * {size} - {slack}"
+        f" AND least(e.ay, e.by) <= (_i_cell.cy + {1 + reach}) * {size} + {slack})"
     )
-    return F.when(key["k"] < LEVELS, near).otherwise(edges)
+    return f"CASE WHEN _i_cell.k < {LEVELS} THEN {near} ELSE _i_edges END"
 
 
 # ---------------------------------------------------------- broadcast decision
@@ -145,7 +155,7 @@ def _session_threshold(df: DataFrame) -> int:
 
 
 def _sized_hint(
-    index: DataFrame, cells: DataFrame, g: Column, cell: float, pad: Column, edges: bool, levels: int
+    index: DataFrame, cells: DataFrame, geometry: str, cell: float, pad: Column, edges: bool, levels: int
 ) -> DataFrame:
     """Broadcast the indexed side only after measuring what it grows to.
 
@@ -158,11 +168,15 @@ def _sized_hint(
     estimate = _plan_bytes(index)
     if threshold < 0 or (estimate is not None and estimate > threshold):
         return cells
-    span_x = F.floor((g["xmax"] - g["xmin"] + pad * 2) / cell) + 3
-    span_y = F.floor((g["ymax"] - g["ymin"] + pad * 2) / cell) + 3
-    segments = F.coalesce(F.size(geo.edges(g)), F.lit(0)) if edges else F.lit(0)
-    size = (span_x * span_y + 9 * levels) * 400.0 + (span_x + 3 * levels) * segments * 3 * 48.0
-    measured = index.agg(F.sum(size)).first()[0] or 0.0
+    slim = _boxed(index.withColumn("_pad", pad).select(geometry, "_pad"), geometry, "_i_")
+    span_x = F.floor((F.col("_i_xmax") - F.col("_i_xmin") + F.col("_pad") * 2) / cell) + 3
+    span_y = F.floor((F.col("_i_ymax") - F.col("_i_ymin") + F.col("_pad") * 2) / cell) + 3
+    cells_bytes = F.sum((span_x * span_y + 9 * levels) * 400.0)
+    edge_bytes = F.lit(0.0)
+    if edges:
+        vertices = F.coalesce(F.size(geo.vertices(F.col(geometry))), F.lit(0))
+        edge_bytes = F.sum((span_x + 3 * levels) * vertices * 3 * 48.0)
+    measured = slim.agg((cells_bytes + edge_bytes).alias("size")).first()[0] or 0.0
     if measured <= max(threshold, _BROADCAST_BYTES):
         return F.broadcast(cells)
     return cells.hint("merge")
@@ -192,72 +206,52 @@ def grid_join(
     size in coordinate units: near the usual size of the larger side's boxes is right.
     """
     pad = pad if isinstance(pad, Column) else F.lit(float(pad))
-    dg, ig = F.col(driver_geometry), F.col(index_geometry)
     reach = 0 if driver_points else 1
 
-    left = driver.withColumn("_key", _key_of_driver(dg, cell, driver_points))
+    left = _keyed_driver(driver, driver_geometry, cell, driver_points)
     if driver_edges and not driver_points:
-        left = left.withColumn("_edges", geo.edges(dg)).withColumn("_heads", geo.heads(dg))
-
-    levels = None
+        left = left.withColumns(
+            {
+                "_d_edges": F.expr(geo.edges_sql(f"`{driver_geometry}`")),
+                "_d_heads": F.expr(geo.heads_sql(f"`{driver_geometry}`")),
+            }
+        )
+    levels = F.array(F.lit(0))
     if not driver_points:
-        levels = driver.select(
-            F.collect_set(_key_of_driver(dg, cell, False)["k"]).alias("levels")
-        ).scalar()
+        in_use = _boxed(driver.select(driver_geometry), driver_geometry, "_d_")
+        levels = in_use.select(F.expr(f"collect_set({_level_sql(cell)})")).scalar()
 
-    wanted = [c for c in index.columns if c != index_geometry or keep_index_geometry]
-    if how in ("left_semi", "left_anti"):
-        wanted = []
+    own = [c for c in index.columns if c != index_geometry or keep_index_geometry]
+    wanted = [] if how in ("left_semi", "left_anti") else own
     out_names = {c: f"{c}_right" if c in driver.columns else c for c in wanted}
-    slim = index.where(ig["xmin"].isNotNull()).withColumns(
-        {
-            "_box": F.struct(*[ig[n].alias(n) for n in geo.BOX]),
-            "_pad": pad,
-            "_cells": _cells_of_index(ig, cell, pad, levels),
-        }
-    )
+    shapes = index.withColumn("_i_pad", pad).withColumn("_i_levels", levels)
     if index_edges:
-        slim = slim.withColumn("_all_edges", F.coalesce(geo.edges(ig), F.array()))
-    needed = set(wanted) | {c for c in index.columns if c != index_geometry}
-    cells = slim.withColumn("_cell", F.explode("_cells"))
-    kept = [F.col(c).alias(f"_i_{c}") for c in index.columns if c in needed]
-    if index_edges:
-        kept.append(
-            _edges_for_cell(F.col("_all_edges"), F.col("_cell"), cell, F.col("_pad"), reach).alias("_i_edges_")
+        shapes = shapes.withColumn(
+            "_i_edges", F.expr(f"coalesce({geo.edges_sql(f'`{index_geometry}`')}, array())")
         )
-    right = cells.select(
-        F.col("_cell").alias("_i_key_"), F.col("_box").alias("_i_box_"), F.col("_pad").alias("_i_pad_"), *kept
-    )
-    right = _sized_hint(index, right, ig, cell, pad, index_edges, LEVELS if levels is not None else 0)
-
-    a = Side(
-        box=left[driver_geometry],
-        edges=left["_edges"] if "_edges" in left.columns else None,
-        heads=left["_heads"] if "_heads" in left.columns else None,
-        row=lambda c: left[c],
+    shapes = _boxed(shapes, index_geometry, "_i_").where("_i_xmin IS NOT NULL")
+    cells = shapes.withColumn("_i_k", F.explode("_i_levels")).withColumn(
+        "_i_cell", F.explode(F.expr(_cells_sql(cell, reach)))
     )
-    b = Side(
-        box=right["_i_box_"],
-        edges=right["_i_edges_"] if index_edges else None,
-        heads=None,
-        row=lambda c: right[f"_i_{c}"],
+    kept = [F.col(c).alias(indexed(c)) for c in own]
+    if index_edges:
+        kept.append(F.expr(_near_sql(cell, reach)).alias("_i_near"))
+    right = cells.select("_i_cell", "_i_pad", *[f"_i_{n}" for n in geo.BOX], *kept)
+    right = _sized_hint(
+        index, right, index_geometry, cell, pad, index_edges, 0 if driver_points else LEVELS
     )
-    grow = right["_i_pad_"]
-    overlap = (
-        (a.box["xmin"] <= b.box["xmax"] + grow)
-        & (a.box["xmax"] >= b.box["xmin"] - grow)
-        & (a.box["ymin"] <= b.box["ymax"] + grow)
-        & (a.box["ymax"] >= b.box["ymin"] - grow)
+
+    condition = (
+        "_d_k = _i_cell.k AND _d_cx = _i_cell.cx AND _d_cy = _i_cell.cy"
+        " AND _d_xmin <= _i_xmax + _i_pad AND _d_xmax >= _i_xmin - _i_pad"
+        " AND _d_ymin <= _i_ymax + _i_pad AND _d_ymax >= _i_ymin - _i_pad"
+        f" AND {test(DRIVER, INDEX)}"
     )
-    same_cell = (
-        (left["_key"]["k"] == right["_i_key_"]["k"])
-        & (left["_key"]["cx"] == right["_i_key_"]["cx"])
-        & (left["_key"]["cy"] == right["_i_key_"]["cy"])
+    joined = left.join(right, F.expr(condition), how)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in driver.columns],
+        *[F.col(indexed(c)).alias(name) for c, name in out_names.items()],
     )
-    joined = left.join(right, same_cell & overlap & test(a, b), how)
-    outputs = [left[c] for c in driver.columns]
-    outputs += [right[f"_i_{c}"].alias(name) for c, name in out_names.items()]
-    return joined.select(*outputs)
 
 
 # ------------------------------------------------------------- named predicates
@@ -278,18 +272,15 @@ def _pair_test(predicate: str, driver_points: bool, index_points: bool) -> Test:
         if predicate == "intersects":
             return lambda a, b: geo.polygons_intersect(a.edges, a.heads, b.edges)
         if predicate == "contains":
-            return lambda a, b: _box_inside(b, a) & geo.polygon_contains(a.edges, b.edges)
+            return lambda a, b: f"{_box_inside(b, a)} AND {geo.polygon_contains(a.edges, b.edges)}"
         if predicate == "within":
-            return lambda a, b: _box_inside(a, b) & geo.polygon_contains(b.edges, a.edges)
+            return lambda a, b: f"{_box_inside(a, b)} AND {geo.polygon_contains(b.edges, a.edges)}"
     raise ValueError(f"no test for {predicate!r} on these geometry kinds")
 
 
-def _box_inside(inner: Side, outer: Side) -> Column:
-    return (
-        (inner.box["xmin"] >= outer.box["xmin"])
-        & (inner.box["xmax"] <= outer.box["xmax"])
-        & (inner.box["ymin"] >= outer.box["ymin"])
-        & (inner.box["ymax"] <= outer.box["ymax"])
+def _box_inside(inner: Side, outer: Side) -> str:
+    return " AND ".join(
+        f"{inner.box(b)} {sign} {outer.box(b)}" for b, sign in zip(geo.BOX, (">=", ">=", "<=", "<="))
     )
 
 
@@ -405,10 +396,9 @@ def within_distance(
     if how in ("left_semi", "left_anti"):
         b = b.select("_plane").distinct()
 
-    def test(d: Side, i: Side) -> Column:
+    def test(d: Side, i: Side) -> str:
         if left_points:
-            dx, dy = d.x - i.x, d.y - i.y
-            return dx * dx + dy * dy <= feet * feet
+            return f"pow({d.x} - {i.x}, 2D) + pow({d.y} - {i.y}, 2D) <= {feet**2!r}D"
         return geo.within_distance(d.edges, i.x, i.y, feet)
 
     return grid_join(
@@ -454,27 +444,32 @@ def region_difference(
 # ---------------------------------------------------------------------- circles
 
 def _circle_box(lon: Column, lat: Column, radius: Column, mode: str) -> tuple[Column, ...]:
-    if mode == "mercator":
-        x, y = projection.mercator(lon, lat)
-        reach = radius
-    else:
-        x, y = projection.mercator(lon, lat)
-        reach = radius / F.cos(F.radians(lat)) * 1.1 + 1.0
-    xmin, ymin = projection.mercator_inverse(x - reach, y - reach)
-    xmax, ymax = projection.mercator_inverse(x + reach, y + reach)
-    return xmin, ymin, xmax, ymax
+    """A box around the circle: exact on the map, with some room for a radius on the ground."""
+    reach = radius if mode == "mercator" else radius / F.cos(F.radians(lat)) * 1.1 + 1.0
+    x, y = projection.mercator(lon, lat)
+    return (
+        *projection.mercator_inverse(x - reach, y - reach),
+        *projection.mercator_inverse(x + reach, y + reach),
+    )
 
 
-def _inside_circle(vx: Column, vy: Column, lon: Column, lat: Column, radius: Column, mode: str) -> Column:
+def _in_circle_sql(x: str, y: str, lon: str, lat: str, radius: str, mode: str) -> str:
+    """Position (x, y) no farther than ``radius`` metres from (lon, lat)."""
+    r = f"{projection.EARTH_RADIUS!r}D"
     if mode == "mercator":
-        x, y = projection.mercator(vx, vy)
-        cx, cy = projection.mercator(lon, lat)
-        return (x - cx) * (x - cx) + (y - cy) * (y - cy) <= radius * radius
+        def north(at: str) -> str:
+            return f"ln(tan(pi() / 4 + radians({at}) / 2))"
+
+        return (
+            f"(pow({r} * radians({x} - {lon}), 2D) + pow({r} * ({north(y)} - {north(lat)}), 2D)"
+            f" <= pow({radius}, 2D))"
+        )
     if mode == "ground":
-        half_lat = F.sin((F.radians(vy) - F.radians(lat)) / 2)
-        half_lon = F.sin((F.radians(vx) - F.radians(lon)) / 2)
-        h = half_lat * half_lat + F.cos(F.radians(lat)) * F.cos(F.radians(vy)) * half_lon * half_lon
-        return F.asin(F.sqrt(h)) * (2 * projection.EARTH_RADIUS) <= radius
+        half = (
+            f"pow(sin(radians({y} - {lat}) / 2), 2D)"
+            f" + cos(radians({lat})) * cos(radians({y})) * pow(sin(radians({x} - {lon}) / 2), 2D)"
+        )
+        return f"(2 * {r} * asin(sqrt({half})) <= {radius})"
     raise ValueError(f"unknown circle mode {mode!r}")
 
 
@@ -486,16 +481,13 @@ def in_circle(
     ``mercator`` measures the radius on the map, as the dashboard does; ``ground`` on the
     sphere. The box test is on stored columns, so it reaches the Parquet scan.
     """
-    lon, lat = F.lit(round(lon, 8)), F.lit(round(lat, 8))
-    radius = F.lit(radius_km * 1000.0)
-    xmin, ymin, xmax, ymax = _circle_box(lon, lat, radius, mode)
+    lon, lat, metres = round(lon, 8), round(lat, 8), radius_km * 1000.0
+    xmin, ymin, xmax, ymax = _circle_box(F.lit(lon), F.lit(lat), F.lit(metres), mode)
     g = F.col("geometry")
-    inside = F.when(
-        g["kind"] == "point", _inside_circle(g["xmin"], g["ymin"], lon, lat, radius, mode)
-    ).otherwise(
-        F.forall(
-            geo.vertices(g), lambda v: _inside_circle(v["x"], v["y"], lon, lat, radius, mode)
-        )
+    circle = (f"{lon!r}D", f"{lat!r}D", f"{metres!r}D", mode)
+    inside = F.expr(
+        f"CASE WHEN geometry.kind = 'point' THEN {_in_circle_sql('geometry.xmin', 'geometry.ymin', *circle)}"
+        f" ELSE forall(flatten(flatten(geometry.rings)), v -> {_in_circle_sql('v.x', 'v.y', *circle)}) END"
     )
     boxed = df.where(
         (g["xmin"] >= xmin) & (g["xmax"] <= xmax) & (g["ymin"] >= ymin) & (g["ymax"] <= ymax)
@@ -507,19 +499,14 @@ def in_circles(
     df: DataFrame, circles: DataFrame, how: str = "inner", *, cell: float, mode: str = "mercator"
 ) -> DataFrame:
     """Batch form: ``circles`` has lon, lat, radius_km and own columns; one row per containment."""
-    radius = F.col("radius_km") * 1000.0
-    g = geo.box(*_circle_box(F.col("lon"), F.col("lat"), radius, mode))
-    indexed = circles.withColumn("_circle", g)
-
-    def test(d: Side, i: Side) -> Column:
-        lon, lat, r = i.row("lon"), i.row("lat"), i.row("radius_km") * 1000.0
-        return _box_inside(d, i) & F.forall(
-            d.edges, lambda e: _inside_circle(e["ax"], e["ay"], lon, lat, r, mode)
-        )
+    bounds = _circle_box(F.col("lon"), F.col("lat"), F.col("radius_km") * 1000.0, mode)
+    boxed = circles.withColumn("_circle", geo.box(*bounds))
+    circle = (indexed("lon"), indexed("lat"), f"{indexed('radius_km')} * 1000D", mode)
 
-    return grid_join(
-        df, indexed, test, how, cell=cell, index_geometry="_circle", index_edges=False
-    )
+    def test(d: Side, i: Side) -> str:
+        return f"{_box_inside(d, i)} AND forall({d.edges}, e -> {_in_circle_sql('e.ax', 'e.ay', *circle)})"
+
+    return grid_join(df, boxed, test, how, cell=cell, index_geometry="_circle", index_edges=False)
 
 
 # -------------------------------------------------------------------- equality

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.semantics import (
-    contains_folded,
     first_match,
     half_even,
     if_else,
@@ -22,8 +21,8 @@ from ..functions.semantics import (
     with_cols,
 )
 from ..functions.units import SQ_FT_PER_M2
-from ..operators.relational import bind_rows, is_in, keep_first, natural_join, not_in
-from ..operators.spatial import container_join, explode_parts, spatial_anti, spatial_semi, spatial_join
+from ..operators.relational import bind_rows, is_in, keep_first, not_in
+from ..operators.spatial import explode_parts, spatial_anti, spatial_join, spatial_semi
 
 MAYBE_WAREHOUSE_SQ_FT = 150_000   # minimum size of parcels not called a warehouse
 WAREHOUSE_FLOOR_SQ_FT = 28_000    # minimum floor space of a parcel that is kept
@@ -109,7 +108,7 @@ def classify_by_text(
         text.contains("warehouse")
         | (text.contains("light industrial") & (F.col("shape_area") > min_area))
         | F.col("_listed").isNotNull()
-    ).drop("_listed").distinct()
+    ).drop("_listed")
     years = years.select(F.col("pin").alias("_pin"), F.col("year_built").alias("_year"))
     dated = chosen.join(years, chosen["apn"] == years["_pin"], "left").distinct()
     out = dated.select(

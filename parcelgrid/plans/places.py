@@ -11,7 +11,7 @@ from ..functions import geometry as geo
 from ..functions.semantics import half_even, paste
 from ..functions.units import SQ_FT_PER_M2_BOUNDARY
 from ..operators.relational import bind_rows, exact_quantiles
-from ..operators.spatial import container_join, region_difference, spatial_join, spatial_semi
+from ..operators.spatial import region_difference, spatial_join, spatial_semi
 from .parcels import keep_first_geometry
 
 COUNTIES = ("Los Angeles", "Orange", "Riverside", "San Bernardino")
@@ -156,7 +156,7 @@ def tract_layer(
     # the class is the number of edges at or below the score, counted from the top
     above = F.size(F.filter(F.col("_edges"), lambda e: F.col("ciscorep") >= e))
     label = paste(
-        F.lit("Tract"), F.col("tract"), F.lit("; "), F.lit(" Score"),
+        F.lit("Tract"), F.col("tract"), F.lit(";"), F.lit(" Score"),
         half_even(F.col("ciscorep"), 0).cast("int"), F.lit("; population "), F.col("tot_pop19"),
     )
     return (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.semantics import half_even, if_else, with_cols
 from ..operators.relational import bind_rows, natural_join
-from ..operators.spatial import spatial_join, spatial_semi
+from ..operators.spatial import spatial_join
 from .parcels import FLOOR_AREA_RATIO
 
 COUNTIES = ("Los Angeles", "Orange", "Riverside", "San Bernardino")
