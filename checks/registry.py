@@ -152,7 +152,7 @@ def _districts(spark, d):
 
 @register(
     "filter_by_district",
-    f"""SELECT apn, category, shape_area FROM serving_fx s WHERE EXISTS (SELECT 1 FROM ({_DISTRICTS_SQL}) t
+    f"""SELECT apn, category, shape_area FROM serving_fx s WHERE year_built<=2030 AND EXISTS (SELECT 1 FROM ({_DISTRICTS_SQL}) t
   WHERE district_label IN ('AD 1','AD 6','SD 4') AND s.xmin<=t.xmax AND s.xmax>=t.xmin AND s.ymin<=t.ymax AND s.ymax>=t.ymin)""",
 )
 def filter_by_district(spark, d):
@@ -494,12 +494,10 @@ def attach_points(spark, d):
 
 @register(
     "merge_sources",
-    """WITH a AS (SELECT DISTINCT CAST(sch_number AS VARCHAR) AS apn, parcel_area AS shape_area, xmin,ymin,xmax,ymax FROM projects_fx),
-b AS (SELECT apn, shape_area, xmin,ymin,xmax,ymax FROM parcels_fx)
-SELECT *, 'Orange' AS county, 'warehouse' AS class, 'warehouse' AS type, 1910e0 AS year_built FROM (
-  SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.xmin<=b.xmax AND a.xmax>=b.xmin AND a.ymin<=b.ymax AND a.ymax>=b.ymin)) m""".replace(
-        "WITH a AS", "WITH a AS"
-    ),
+    """SELECT *, 'Orange' AS county, 'warehouse' AS class, 'warehouse' AS type, 1910e0 AS year_built FROM (
+  SELECT DISTINCT sch_number AS apn, parcel_area AS shape_area, xmin,ymin,xmax,ymax FROM projects_fx
+  UNION ALL SELECT apn, shape_area, xmin,ymin,xmax,ymax FROM parcels_fx b WHERE NOT EXISTS (SELECT 1 FROM projects_fx a
+    WHERE a.xmin<=b.xmax AND a.xmax>=b.xmin AND a.ymin<=b.ymax AND a.ymax>=b.ymin)) m""",
 )
 def merge_sources(spark, d):
     first = fx.projects(spark, d).select(
@@ -768,7 +766,7 @@ def _corners_inside(cx: str, cy: str, r: str) -> str:
 
 @register(
     "in_circle",
-    f"SELECT apn, category, shape_area FROM serving_fx a WHERE {_corners_inside(sql.merc_x('-117.4321e0'), sql.merc_y('34.0321e0'), '20000e0')}",
+    f"SELECT apn, category, shape_area FROM serving_fx a WHERE year_built<=2030 AND {_corners_inside(sql.merc_x('-117.4321e0'), sql.merc_y('34.0321e0'), '20000e0')}",
 )
 def in_circle(spark, d):
     question = impact.Params(circle=(-117.4321, 34.0321), radius_km=20.0)

@@ -371,30 +371,49 @@ def polygons_intersect(a_edges: str, a_heads: str, b_edges: str) -> str:
     )
 
 
+def _middles(e: str, others: str) -> str:
+    """Middles of the pieces into which the vertices of ``others`` cut segment e."""
+    dx, dy = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)"
+    stops = (
+        f"transform(filter({others}, w -> {_on_edge(e, 'w.ax', 'w.ay')}),"
+        f" w -> try_divide((w.ax - {e}.ax) * {dx} + (w.ay - {e}.ay) * {dy}, {dx} * {dx} + {dy} * {dy}))"
+    )
+    return (
+        f"transform(array(array_sort(concat(array(0D, 1D), {stops}))), c ->"
+        " zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (p, q) -> named_struct("
+        f"'x', {e}.ax + {dx} * (p + q) / 2, 'y', {e}.ay + {dy} * (p + q) / 2)))[0]"
+    )
+
+
+def _inner_points(segments: str) -> str:
+    """One inner point per horizontal band and piece: between two neighbouring vertex heights
+    every second gap between the crossings is inside."""
+    heights = f"array_sort(array_distinct(transform({segments}, s -> s.ay)))"
+    bands = f"transform(array({heights}), h -> zip_with(slice(h, 1, size(h) - 1), slice(h, 2, size(h) - 1), (p, q) -> (p + q) / 2))[0]"
+    at = "s.ax + (s.bx - s.ax) * try_divide(y - s.ay, s.by - s.ay)"
+    crossings = f"array_sort(transform(filter({segments}, s -> (s.ay > y) <> (s.by > y)), s -> {at}))"
+    gaps = (
+        f"transform(array({crossings}), c -> filter(zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1),"
+        " (p, q) -> named_struct('x', (p + q) / 2, 'y', y)), (g, i) -> i % 2 = 0))[0]"
+    )
+    return f"flatten(transform({bands}, y -> {gaps}))"
+
+
 def polygon_contains(a_edges: str, b_edges: str) -> str:
     """b lies in a and they share inner points; a common boundary is allowed.
 
-    Exact for concave containers and holes: no edge of b crosses one of a, every piece of
-    an edge of b between touching vertices of a has its middle in a, and no vertex of a is
-    strictly inside b.
+    Exact for concave containers and holes. The boundary of b stays in a: its vertices do, no
+    edges cross, and every piece of its edges between touching vertices does. The boundary of a
+    does not enter b. Then every piece of b's inside is wholly in or out, and one inner point
+    of each decides.
     """
     crossing = f"{_straddle('e', 'f')} < 0 AND {_straddle('f', 'e')} < 0"
-    length2 = "((f.bx - f.ax) * (f.bx - f.ax) + (f.by - f.ay) * (f.by - f.ay))"
-    stops = (
-        f"transform(filter({a_edges}, e -> {_on_edge('f', 'e.ax', 'e.ay')}),"
-        f" e -> try_divide((e.ax - f.ax) * (f.bx - f.ax) + (e.ay - f.ay) * (f.by - f.ay), {length2}))"
-    )
-    middle = covers_point(a_edges, "(f.ax + (f.bx - f.ax) * m)", "(f.ay + (f.by - f.ay) * m)")
-    pieces = (
-        f"forall(transform(array(array_sort(concat(array(0D, 1D), {stops}))),"
-        " c -> zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (p, q) -> (p + q) / 2))[0],"
-        f" m -> {middle})"
-    )
     return (
         f"(forall({b_edges}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')})"
         f" AND NOT exists({b_edges}, f -> exists({a_edges}, e -> {crossing}))"
-        f" AND NOT exists({a_edges}, e -> {contains_point(b_edges, 'e.ax', 'e.ay')})"
-        f" AND forall({b_edges}, f -> {pieces}))"
+        f" AND forall({b_edges}, f -> forall({_middles('f', a_edges)}, m -> {covers_point(a_edges, 'm.x', 'm.y')}))"
+        f" AND NOT exists({a_edges}, e -> exists({_middles('e', b_edges)}, m -> {contains_point(b_edges, 'm.x', 'm.y')}))"
+        f" AND forall({_inner_points(b_edges)}, m -> {covers_point(a_edges, 'm.x', 'm.y')}))"
     )
 
 

@@ -252,7 +252,9 @@ def dedupe_by_geometry(parcels: DataFrame) -> DataFrame:
     "the first one", which would depend on input order.
     """
     shape = parcels.withColumn("geometry", geo.canonical(F.col("geometry")))
-    return shape.groupBy("geometry", "shape_area", "class", "type").agg(
+    # a leading hash lets the sort inside the aggregate compare numbers before vertex arrays
+    keyed = shape.withColumn("_hash", F.xxhash64("geometry", "shape_area", "class", "type"))
+    return keyed.groupBy("_hash", "geometry", "shape_area", "class", "type").agg(
         F.min("apn").alias("apn"), min_strict(F.col("year_built")).alias("year_built")
     ).select("apn", "shape_area", "class", "type", "year_built", "geometry")
 
@@ -260,7 +262,8 @@ def dedupe_by_geometry(parcels: DataFrame) -> DataFrame:
 def keep_first_geometry(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The least row (by ``order``) of every set of equal polygons."""
     shape = df.withColumn("_shape", geo.canonical(F.col("geometry"))["rings"])
-    return keep_first(shape, [F.col("_shape")], order).drop("_shape")
+    shape = shape.withColumn("_hash", F.xxhash64("_shape"))
+    return keep_first(shape, [F.col("_hash"), F.col("_shape")], order).drop("_hash", "_shape")
 
 
 def orphan_geometries(shapes: DataFrame, parcels: DataFrame, *, cell: float = 0.01) -> DataFrame:
