@@ -214,8 +214,8 @@ SELECT p.project, k.apn, p.sch_number, p.ceqa_url FROM kept_fx k JOIN planned_fx
  ON k.floor_sq_ft>28000 AND k.year_built>2016 AND p.recvd_date<=DATE '2023-01-01'
  AND p.xmin<=k.xmax AND p.xmax>=k.xmin AND p.ymin<=k.ymax AND p.ymax>=k.ymin"""
 
-LESS_THAN_HALF = ("2020000020", "2020000100")
-OFF_CENTRE = ("2020000130",)
+LESS_THAN_HALF = ("2020000033", "2020000066")
+OFF_CENTRE = ("2020000071",)
 TABLES["built_fx"] = f"""
 SELECT * FROM pairs_centroid WHERE sch_number NOT IN {LESS_THAN_HALF!r}
 UNION ALL SELECT * FROM pairs_outline WHERE sch_number IN ('{OFF_CENTRE[0]}')"""

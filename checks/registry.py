@@ -64,8 +64,13 @@ def _jurisdictions(spark, d):
     )
 
 
+def _kept(spark, d):
+    """The kept parcels as a written table, which later steps read several times."""
+    return tables.materialise(_combined(spark, d)[0])
+
+
 def serving_table(spark, d):
-    kept, _ = _combined(spark, d)
+    kept = _kept(spark, d)
     future = planned.finish_planned(planned.planned_not_built(kept, _planned(spark, d), **_EXCEPTIONS))
     return planned.build_serving(kept, future, _counties(spark), _jurisdictions(spark, d))
 
@@ -471,7 +476,7 @@ def concat_pages(spark, d):
 
 def _box_in_plane():
     """The four corners in state-plane feet; more vertices would bend with the projection."""
-    return geo.map_coordinates(geo.box(*[F.col(b) for b in geo.BOX]), projection.state_plane)
+    return geo.map_coordinates(geo.box(*geo.BOX), projection.state_plane)
 
 
 def _plane_area_sql() -> str:
@@ -483,13 +488,13 @@ def _plane_area_sql() -> str:
 
 @register(
     "attach_points",
-    f"""SELECT g.address, g.zip, p.apn, round(p.size,1) AS size FROM (SELECT * FROM geocoded_fx WHERE accuracy_type='rooftop') g
+    f"""SELECT g.address, g.zip, p.apn, round(p.size,0) AS size FROM (SELECT * FROM geocoded_fx WHERE accuracy_type='rooftop') g
 LEFT JOIN (SELECT * FROM ({_plane_area_sql()}) a WHERE size>100000) p ON g.long BETWEEN p.xmin AND p.xmax AND g.lat BETWEEN p.ymin AND p.ymax""",
 )
 def attach_points(spark, d):
-    stored = fx.parcels(spark, d).select("apn", _box_in_plane().alias("geometry"))
+    stored = fx.parcels(spark, d).select("apn", F.expr(_box_in_plane()).alias("geometry"))
     out = parcels.attach_points(stored, fx.geocoded(spark, d), projection.state_plane_inverse)
-    return out.select("address", "zip", "apn", F.round("size", 1).alias("size"))
+    return out.select("address", "zip", "apn", F.round("size", 0).alias("size"))
 
 
 @register(
@@ -536,7 +541,7 @@ def planned_query(spark, d):
 
 @register("built_projects", "SELECT * FROM built_fx")
 def built_projects(spark, d):
-    return planned.built_projects(_combined(spark, d)[0], _planned(spark, d), **_EXCEPTIONS)
+    return planned.built_projects(_kept(spark, d), _planned(spark, d), **_EXCEPTIONS)
 
 
 @register(
@@ -544,19 +549,19 @@ def built_projects(spark, d):
     "SELECT DISTINCT * FROM pairs_outline WHERE sch_number NOT IN (SELECT sch_number FROM pairs_centroid)",
 )
 def polygon_only_pairs(spark, d):
-    return planned.polygon_only_pairs(_combined(spark, d)[0], _planned(spark, d))
+    return planned.polygon_only_pairs(_kept(spark, d), _planned(spark, d))
 
 
 @register("planned_not_built", "SELECT project, sch_number, ceqa_url, category FROM not_built_fx")
 def planned_not_built(spark, d):
-    return planned.planned_not_built(_combined(spark, d)[0], _planned(spark, d), **_EXCEPTIONS).select(
+    return planned.planned_not_built(_kept(spark, d), _planned(spark, d), **_EXCEPTIONS).select(
         "project", "sch_number", "ceqa_url", "category"
     )
 
 
 @register("planned_finish", "SELECT name, category, shape_area, class, county, floor_sq_ft, year_built FROM finished_fx")
 def planned_finish(spark, d):
-    left = planned.planned_not_built(_combined(spark, d)[0], _planned(spark, d), **_EXCEPTIONS)
+    left = planned.planned_not_built(_kept(spark, d), _planned(spark, d), **_EXCEPTIONS)
     return planned.finish_planned(left).select(
         "name", "category", "shape_area", "class", "county", "floor_sq_ft", "year_built"
     )
@@ -639,7 +644,7 @@ AND NOT EXISTS (SELECT 1 FROM (SELECT *, {corners} FROM places_fx) q WHERE ({ins
 
 @register("region_difference", _margin_sql("2500e0"))
 def region_difference(spark, d):
-    points = fx.parcels(spark, d).select("apn", geo.centroid(F.col("geometry")).alias("geometry"))
+    points = fx.parcels(spark, d).select("apn", F.expr(geo.centroid("geometry")).alias("geometry"))
     return places.members_of_carved(points, _place_list(spark, d), margin_m=2500.0).select("apn")
 
 
@@ -699,7 +704,7 @@ def _touches_place(a: str, p: str) -> str:
     f"SELECT c.apn, p.name FROM (SELECT apn, (xmin+xmax)/2 AS x, (ymin+ymax)/2 AS y FROM parcels_fx) c LEFT JOIN places_fx p ON {sql.IN_PLACE.format(x='c.x', y='c.y', p='p')}",
 )
 def spatial_left(spark, d):
-    points = fx.parcels(spark, d).select("apn", geo.centroid(F.col("geometry")).alias("geometry"))
+    points = fx.parcels(spark, d).select("apn", F.expr(geo.centroid("geometry")).alias("geometry"))
     return sp.spatial_join(points, fx.places(spark, d), cell=0.1, left_points=True).select("apn", "name")
 
 
@@ -742,7 +747,7 @@ def contains_join(spark, d):
     " AND (t.ymin+t.ymax)/2>c.ymin AND (t.ymin+t.ymax)/2<c.ymax",
 )
 def contains_points(spark, d):
-    centres = fx.towns(spark, d).select("name", geo.centroid(F.col("geometry")).alias("geometry"))
+    centres = fx.towns(spark, d).select("name", F.expr(geo.centroid("geometry")).alias("geometry"))
     named = fx.counties(spark).withColumnRenamed("name", "county")
     return sp.container_join(named, centres, "contains", "left", key="county", cell=0.25, member_points=True).select("county", "name")
 
@@ -837,17 +842,16 @@ def bind_rows(spark, d):
     f"SELECT apn, round({sql.box_area_m2('xmin', 'ymin', 'xmax', 'ymax')},0) AS geodesic_m2, round((xmax-xmin)*(ymax-ymin)*1e9,4) AS planar_e9 FROM parcels_fx",
 )
 def area(spark, d):
-    g = F.col("geometry")
     return fx.parcels(spark, d).select(
         "apn",
-        F.round(geo.area_geodesic(g), 0).alias("geodesic_m2"),
-        F.round(geo.area_planar(g) * 1e9, 4).alias("planar_e9"),
+        F.round(F.expr(geo.area_geodesic("geometry")), 0).alias("geodesic_m2"),
+        F.round(F.expr(geo.area_planar("geometry")) * 1e9, 4).alias("planar_e9"),
     )
 
 
-@register("area_state_plane", f"SELECT apn, round(size,1) AS sq_ft FROM ({_plane_area_sql()}) q")
+@register("area_state_plane", f"SELECT apn, round(size,0) AS sq_ft FROM ({_plane_area_sql()}) q")
 def area_state_plane(spark, d):
-    return fx.parcels(spark, d).select("apn", F.round(geo.area_planar(_box_in_plane()), 1).alias("sq_ft"))
+    return fx.parcels(spark, d).select("apn", F.round(F.expr(geo.area_planar(_box_in_plane())), 0).alias("sq_ft"))
 
 
 @register(
@@ -858,8 +862,8 @@ UNION ALL SELECT apn, round((xmin+xmax)/2,9), round((ymin+ymax)/2,9) FROM parcel
 )
 def centroid(spark, d):
     every = rel.bind_rows(fx.places(spark, d), fx.parcels(spark, d).select(F.col("apn").alias("name"), "geometry"))
-    c = geo.centroid(F.col("geometry"))
-    return every.select("name", F.round(c["xmin"], 9).alias("x"), F.round(c["ymin"], 9).alias("y"))
+    centres = every.select("name", F.expr(geo.centroid("geometry")).alias("c"))
+    return centres.select("name", F.round("c.xmin", 9).alias("x"), F.round("c.ymin", 9).alias("y"))
 
 
 def _corner_points_sql(transform) -> str:
@@ -872,14 +876,11 @@ def _corner_points_sql(transform) -> str:
 
 
 def _corner_points(df: DataFrame, mapping) -> DataFrame:
-    g = F.col("geometry")
-
-    def corner(i: int, x, y):
+    def corner(i: int, x: str, y: str) -> str:
         mx, my = mapping(x, y)
-        return F.struct(F.lit(i).alias("corner"), F.round(mx, 3).alias("x"), F.round(my, 3).alias("y"))
+        return f"named_struct('corner', {i}, 'x', round({mx}, 3), 'y', round({my}, 3))"
 
-    both = F.array(corner(0, g["xmin"], g["ymin"]), corner(1, g["xmax"], g["ymax"]))
-    return df.select("apn", F.explode(both).alias("_c")).select("apn", "_c.*")
+    return df.select("apn", F.expr(f"inline(array({corner(0, 'xmin', 'ymin')}, {corner(1, 'xmax', 'ymax')}))"))
 
 
 @register("project_mercator", _corner_points_sql(lambda a, b: (sql.merc_x(a), sql.merc_y(b))))
@@ -894,20 +895,19 @@ def project_state_plane(spark, d):
 
 @register("unproject", "SELECT apn, round(xmin,7) AS x, round(ymin,7) AS y, round(xmax,7) AS x2, round(ymax,7) AS y2 FROM parcels_fx")
 def unproject(spark, d):
-    g = F.col("geometry")
-    x, y = projection.state_plane_inverse(*projection.state_plane(g["xmin"], g["ymin"]))
-    x2, y2 = projection.mercator_inverse(*projection.mercator(g["xmax"], g["ymax"]))
-    return fx.parcels(spark, d).select("apn", *[F.round(v, 7).alias(n) for v, n in ((x, "x"), (y, "y"), (x2, "x2"), (y2, "y2"))])
+    x, y = projection.state_plane_inverse(*projection.state_plane("xmin", "ymin"))
+    x2, y2 = projection.mercator_inverse(*projection.mercator("xmax", "ymax"))
+    named = {"x": x, "y": y, "x2": x2, "y2": y2}
+    return fx.parcels(spark, d).selectExpr("apn", *[f"round({v}, 7) AS {n}" for n, v in named.items()])
 
 
 @register("geometry_validity", "SELECT apn, id%7<>0 AND id%5<>0 AS valid FROM parcels_fx")
 def geometry_validity(spark, d):
     """Every seventh ring is left open and every fifth is flat."""
-    g = F.col("geometry")
-    flat = geo.box(g["xmin"], g["ymin"], g["xmax"], g["ymin"])
-    opened = geo.ring_polygon(F.slice(geo.vertices(g), 1, 4))
-    shape = F.when(F.col("id") % 7 == 0, opened).when(F.col("id") % 5 == 0, flat).otherwise(g)
-    return fx.parcels(spark, d).select("apn", geo.is_valid(shape).alias("valid"))
+    flat = geo.box("xmin", "ymin", "xmax", "ymin")
+    opened = geo.ring_polygon(f"slice({geo.vertices('geometry')}, 1, 4)")
+    shape = f"CASE WHEN id % 7 = 0 THEN {opened} WHEN id % 5 = 0 THEN {flat} ELSE geometry END"
+    return fx.parcels(spark, d).selectExpr("apn", f"{geo.is_valid(shape)} AS valid")
 
 
 @register(
@@ -917,10 +917,9 @@ UNION ALL SELECT apn, xmin+5e-1,ymin,xmax+5e-1,ymax FROM parcels_fx WHERE id%2=0
 )
 def explode_parts(spark, d):
     """Even parcels get a second part half a degree to the east."""
-    g = F.col("geometry")
-    shifted = geo.map_coordinates(g, lambda x, y: (x + 0.5, y))
-    two = geo.polygon(F.concat(g["rings"], shifted["rings"]))
-    multi = fx.parcels(spark, d).withColumn("geometry", F.when(F.col("id") % 2 == 0, two).otherwise(g))
+    shifted = geo.map_coordinates("geometry", lambda x, y: (f"{x} + 0.5D", y))
+    two = geo.polygon(f"concat(geometry.rings, {shifted}.rings)")
+    multi = fx.parcels(spark, d).withColumn("geometry", F.expr(f"CASE WHEN id % 2 = 0 THEN {two} ELSE geometry END"))
     return _bounds(sp.explode_parts(multi.select("apn", "geometry")), "apn")
 
 
@@ -947,7 +946,7 @@ def ring_from_points(spark, d):
     points = sp.vertices_table(fx.parcels(spark, d), ["apn"])
     rings = sp.ring_from_points(points, ["apn"], "pos", "x", "y")
     return _bounds(
-        rings.withColumn("planar_e9", F.round(geo.area_planar(F.col("geometry")) * 1e9, 4)), "apn", "planar_e9"
+        rings.withColumn("planar_e9", F.round(F.expr(geo.area_planar("geometry")) * 1e9, 4)), "apn", "planar_e9"
     )
 
 
@@ -963,12 +962,10 @@ def geojson_round_trip(spark, d):
 
 @register("wkt_layer", "SELECT name, xmin,ymin,xmax,ymax, round((xmax-xmin)*(ymax-ymin),9) AS planar FROM towns_fx")
 def wkt_layer(spark, d):
-    g = F.col("geometry")
-    pair = F.transform(geo.vertices(g), lambda v: F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string")))
-    text = F.concat(F.lit("POLYGON (("), F.array_join(pair, ", "), F.lit("))"))
-    layer = fx.towns(spark, d).select("name", text.alias("wkt"))
-    shapes = layer.withColumn("geometry", tables.geometry_from_wkt(F.col("wkt")))
-    return _bounds(shapes.withColumn("planar", F.round(geo.area_planar(F.col("geometry")), 9)), "name", "planar")
+    pairs = geo.each(geo.vertices("geometry"), lambda v: f"concat_ws(' ', CAST({v}.x AS STRING), CAST({v}.y AS STRING))")
+    layer = fx.towns(spark, d).selectExpr("name", f"concat('POLYGON ((', array_join({pairs}, ', '), '))') AS wkt")
+    shapes = layer.withColumn("geometry", F.expr(tables.geometry_from_wkt("wkt")))
+    return _bounds(shapes.withColumn("planar", F.round(F.expr(geo.area_planar("geometry")), 9)), "name", "planar")
 
 
 @register("csv_lines", "SELECT fuel, trips, total_vmt, n_ox_totex FROM emis_fx")

@@ -12,22 +12,22 @@ from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as geo
 
-BOUNDS = ["xmin", "ymin", "xmax", "ymax"]
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _rect(other_spelling: Column | None = None) -> Column:
-    x0, y0, x1, y1 = (F.col(b) for b in BOUNDS)
-    v = geo.vertex
-    usual = F.array(v(x0, y0), v(x1, y0), v(x1, y1), v(x0, y1), v(x0, y0))
-    if other_spelling is None:
-        return geo.ring_polygon(usual)
-    # clockwise from the upper right, with one collinear vertex
-    turned = F.array(v(x1, y1), v(x1, y0), v((x0 + x1) / 2, y0), v(x0, y0), v(x0, y1), v(x1, y1))
-    return geo.ring_polygon(F.when(other_spelling, turned).otherwise(usual))
+def _rect(other_spelling: str = "false") -> Column:
+    """Rectangle from the bounds; the other spelling runs clockwise from the upper right, with one
+    collinear vertex."""
+    def ring(*corners: tuple[str, str]) -> str:
+        return f"array({', '.join(geo.vertex(x, y) for x, y in corners)})"
+
+    usual = ring(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))
+    turned = ring(
+        ("xmax", "ymax"), ("xmax", "ymin"), ("(xmin + xmax) / 2", "ymin"),
+        ("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"),
+    )
+    return F.expr(geo.ring_polygon(f"CASE WHEN {other_spelling} THEN {turned} ELSE {usual} END"))
 
 
 def parcels(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def parcels(spark: SparkSession, d: str) -> DataFrame:
         "lon + side / 604000e0 AS xmax",
         "lat + side / 728000e0 AS ymax",
     )
-    return rows.withColumn("geometry", _rect(F.col("id") % 2 == 1))
+    return rows.withColumn("geometry", _rect("id % 2 = 1"))
 
 
 def typed_parcels(spark: SparkSession, d: str) -> DataFrame:
@@ -102,12 +102,10 @@ def places(spark: SparkSession, d: str) -> DataFrame:
         "-118.9999929e0 + (n_nationkey % 5) * 0.8e0 + CASE WHEN n_nationkey = 7 THEN 0.85e0 ELSE 0.7e0 END AS xmax",
         "33.4000031e0 + floor(n_nationkey / 5e0) * 0.32e0 + 0.28e0 AS ymax",
     )
-    v = geo.vertex
-    x0, y0, x1, y1 = (F.col(b) for b in BOUNDS)
-    xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
-    ell = F.array(v(x0, y0), v(x1, y0), v(x1, ym), v(xm, ym), v(xm, y1), v(x0, y1), v(x0, y0))
-    shape = F.when(F.col("l_shape"), geo.ring_polygon(ell)).otherwise(_rect())
-    return rows.select("name", shape.alias("geometry"))
+    xm, ym = "(xmin + xmax) / 2", "(ymin + ymax) / 2"
+    corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", ym), (xm, ym), (xm, "ymax"), ("xmin", "ymax"), ("xmin", "ymin")]
+    ell = F.expr(geo.ring_polygon(f"array({', '.join(geo.vertex(x, y) for x, y in corners)})"))
+    return rows.select("name", F.when(F.col("l_shape"), ell).otherwise(_rect()).alias("geometry"))
 
 
 def towns(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +123,7 @@ def towns(spark: SparkSession, d: str) -> DataFrame:
         "-120.2000011e0 + ((gk * 6007) % 10000) / 1e4 * 6e0 + 0.03e0 + (gk % 7) * 0.01e0 AS xmax",
         "32.9000013e0 + ((gk * 3001) % 10000) / 1e4 * 2.4e0 + 0.02e0 + (gk % 5) * 0.01e0 AS ymax",
     )
-    return rows.withColumn("geometry", _rect(F.col("id") % 2 == 1))
+    return rows.withColumn("geometry", _rect("id % 2 = 1"))
 
 
 def district_layer(spark: SparkSession, d: str, house: str) -> DataFrame:

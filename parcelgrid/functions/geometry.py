@@ -1,20 +1,20 @@
-"""Geometry as Column expressions over one struct type.
+"""Geometry as SQL expressions over one struct type.
 
 A geometry is ``struct<kind, rings, xmin, ymin, xmax, ymax>``: ``rings`` is
 polygons -> rings -> vertices, every ring closed, the first ring of a polygon its outer
 one; a point has no rings and its position in the bounding box. Stored tables hold
 longitude/latitude; projected coordinates live only inside a job.
 
-Nothing here leaves the JVM. Ring work is ``transform``/``aggregate``/``exists`` over one
-row's vertices, so it is narrow; box tests come first so that few rows reach it.
+All functions take SQL text, mostly a column name, and give SQL text for ``F.expr``: they
+nest deeply, and text costs one call to the JVM where a Column costs one per operation.
+Nothing leaves the JVM. Ring work is ``transform``/``aggregate``/``exists`` over one row's
+vertices, so it is narrow; box tests come first so that few rows reach it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from itertools import count
 
 from . import projection
 
@@ -24,166 +24,164 @@ GEOMETRY_DDL = (
 )
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
-Mapping = Callable[[Column, Column], tuple[Column, Column]]
+Mapping = Callable[[str, str], tuple[str, str]]
+_numbers = count()
+
 
+def _name() -> str:
+    """A lambda variable no enclosing lambda uses."""
+    return f"v{next(_numbers)}_"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """Name a per-row value so that the body evaluates it once."""
-    return F.transform(F.array(value), body).getItem(0)
+    v = _name()
+    return f"transform(array({value}), {v} -> {body(v)})[0]"
+
+
+def each(array: str, body: Callable[[str], str]) -> str:
+    v = _name()
+    return f"transform({array}, {v} -> {body(v)})"
 
 
 # ---------------------------------------------------------------- construction
 
-def vertex(x: Column, y: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+def vertex(x: str, y: str) -> str:
+    return f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))"
 
 
-def _geometry(kind: str, rings: Column, xmin, ymin, xmax, ymax) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        rings.cast(RINGS_DDL).alias("rings"),
-        *[v.cast("double").alias(n) for v, n in zip((xmin, ymin, xmax, ymax), BOX)],
-    )
+def _geometry(kind: str, rings: str, *box: str) -> str:
+    bounds = ", ".join(f"'{n}', CAST({v} AS DOUBLE)" for n, v in zip(BOX, box))
+    return f"named_struct('kind', '{kind}', 'rings', CAST({rings} AS {RINGS_DDL}), {bounds})"
 
 
-def point(x: Column, y: Column) -> Column:
-    """Point from two coordinate columns; NULL if either is missing."""
-    return F.when(x.isNotNull() & y.isNotNull(), _geometry("point", F.lit(None), x, y, x, y))
+def point(x: str, y: str) -> str:
+    """Point from two coordinates; NULL if either is missing."""
+    whole = _geometry("point", "NULL", x, y, x, y)
+    return f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {whole} END"
 
 
-def polygon(rings: Column) -> Column:
+def polygon(rings: str) -> str:
     """Polygon or multipolygon from polygons -> rings -> vertices, with its bounding box."""
-    def build(r: Column) -> Column:
-        xs = F.transform(F.flatten(F.flatten(r)), lambda v: v["x"])
-        ys = F.transform(F.flatten(F.flatten(r)), lambda v: v["y"])
-        return _geometry("polygon", r, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    def build(r: str) -> str:
+        xs, ys = (each(f"flatten(flatten({r}))", lambda v, a=a: f"{v}.{a}") for a in "xy")
+        bounds = (f"array_min({xs})", f"array_min({ys})", f"array_max({xs})", f"array_max({ys})")
+        return f"CASE WHEN {r} IS NOT NULL THEN {_geometry('polygon', r, *bounds)} END"
 
-    return F.when(rings.isNotNull(), let(rings, build))
+    return let(rings, build)
 
 
-def ring_polygon(ring: Column) -> Column:
+def ring_polygon(ring: str) -> str:
     """Polygon from one closed ring."""
-    return polygon(F.array(F.array(ring)))
+    return polygon(f"array(array({ring}))")
 
 
-def box(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+def box(xmin: str, ymin: str, xmax: str, ymax: str) -> str:
     """Axis-parallel rectangle."""
-    ring = F.array(
-        vertex(xmin, ymin), vertex(xmax, ymin), vertex(xmax, ymax), vertex(xmin, ymax), vertex(xmin, ymin)
-    )
-    return _geometry("polygon", F.array(F.array(ring)), xmin, ymin, xmax, ymax)
+    corners = ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin))
+    ring = ", ".join(vertex(x, y) for x, y in corners)
+    return _geometry("polygon", f"array(array(array({ring})))", xmin, ymin, xmax, ymax)
 
 
-def disc(lon: Column, lat: Column, radius_m: Column, quarter: int = 30) -> Column:
+def disc(lon: str, lat: str, radius_m: str, quarter: int = 30) -> str:
     """Polygon of a Web Mercator circle: ``4 * quarter`` segments, as a map layer would draw it."""
     cx, cy = projection.mercator(lon, lat)
     steps = 4 * quarter
 
-    def at(i: Column) -> Column:
-        turn = i * (6.283185307179586 / steps)
-        x, y = projection.mercator_inverse(cx + radius_m * F.cos(turn), cy + radius_m * F.sin(turn))
-        return vertex(x, y)
+    def at(i: str) -> str:
+        turn = f"({i} * {2 * 3.141592653589793 / steps!r}D)"
+        x, y = f"{cx} + {radius_m} * cos({turn})", f"{cy} + {radius_m} * sin({turn})"
+        return vertex(*projection.mercator_inverse(x, y))
 
-    ring = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), at)
-    return let(ring, lambda r: ring_polygon(F.concat(r, F.slice(r, 1, 1))))
+    ring = each(f"sequence(0, {steps - 1})", at)
+    return let(ring, lambda r: ring_polygon(f"concat({r}, slice({r}, 1, 1))"))
 
 
 # -------------------------------------------------------------------- elements
 
-def vertices(g: Column) -> Column:
-    return F.flatten(F.flatten(g["rings"]))
+def vertices(g: str) -> str:
+    return f"flatten(flatten({g}.rings))"
 
 
-def _ring_edges(ring: Column) -> Column:
-    last = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(ring, F.lit(1), last),
-        F.slice(ring, F.lit(2), last),
-        lambda a, b: F.struct(
-            a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")
-        ),
+def _ring_edges(ring: str) -> str:
+    last = f"greatest(size({ring}) - 1, 0)"
+    return (
+        f"zip_with(slice({ring}, 1, {last}), slice({ring}, 2, {last}),"
+        " (a, b) -> named_struct('ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y))"
     )
 
 
-def edges(g: Column) -> Column:
+def edges(g: str) -> str:
     """All boundary segments as ``array<struct<ax,ay,bx,by>>``."""
-    return F.flatten(F.transform(F.flatten(g["rings"]), _ring_edges))
+    return f"flatten({each(f'flatten({g}.rings)', _ring_edges)})"
 
 
-def heads(g: Column) -> Column:
+def heads(g: str) -> str:
     """First vertex of every ring."""
-    return F.transform(F.flatten(g["rings"]), lambda r: r.getItem(0))
+    return each(f"flatten({g}.rings)", lambda r: f"{r}[0]")
 
 
-def map_coordinates(g: Column, mapping: Mapping) -> Column:
+def map_coordinates(g: str, mapping: Mapping) -> str:
     """Apply a coordinate mapping to every vertex and rebuild the box."""
-    def move(v: Column) -> Column:
-        return vertex(*mapping(v["x"], v["y"]))
+    def move(v: str) -> str:
+        return vertex(*mapping(f"{v}.x", f"{v}.y"))
 
-    def rings(r: Column) -> Column:
-        return F.transform(r, lambda part: F.transform(part, lambda ring: F.transform(ring, move)))
+    def whole(v: str) -> str:
+        rings = each(f"{v}.rings", lambda part: each(part, lambda ring: each(ring, move)))
+        moved = let(vertex(*mapping(f"{v}.xmin", f"{v}.ymin")), lambda q: point(f"{q}.x", f"{q}.y"))
+        return f"CASE WHEN {v}.kind = 'point' THEN {moved} ELSE {polygon(rings)} END"
 
-    return let(
-        g,
-        lambda v: F.when(v["kind"] == "point", point(*mapping(v["xmin"], v["ymin"]))).otherwise(
-            polygon(rings(v["rings"]))
-        ),
-    )
+    return let(g, whole)
 
 
 # -------------------------------------------------------------------- measures
 
-def _ring_sums(ring: Column, x0: Column, y0: Column) -> Column:
-    """Twice the signed area and first moments of a ring, relative to (x0, y0).
+def _ring_sums(ring: str, origin: str) -> str:
+    """Twice the signed area and first moments of a ring, relative to ``origin``.
 
     Measuring from a nearby vertex keeps small parcels far from the origin exact.
     """
-    def step(acc: Column, e: Column) -> Column:
-        ax, ay, bx, by = e["ax"] - x0, e["ay"] - y0, e["bx"] - x0, e["by"] - y0
-        cross = ax * by - bx * ay
-        return F.struct(
-            (acc["s"] + cross).alias("s"),
-            (acc["mx"] + (ax + bx) * cross).alias("mx"),
-            (acc["my"] + (ay + by) * cross).alias("my"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    return F.aggregate(_ring_edges(ring), zero, step)
+    ax, ay, bx, by = (f"(e.{c} - {origin}.{c[1]})" for c in ("ax", "ay", "bx", "by"))
+    cross = f"({ax} * {by} - {bx} * {ay})"
+    step = (
+        f"named_struct('s', t.s + {cross}, 'mx', t.mx + ({ax} + {bx}) * {cross},"
+        f" 'my', t.my + ({ay} + {by}) * {cross})"
+    )
+    zero = "named_struct('s', 0D, 'mx', 0D, 'my', 0D)"
+    return f"aggregate({_ring_edges(ring)}, {zero}, (t, e) -> {step})"
 
 
-def _oriented_sums(rings: Column, origin: Column) -> Column:
-    """Per ring sums with outer rings counted positive and holes negative."""
-    def of_ring(ring: Column, index: Column) -> Column:
-        def orient(t: Column) -> Column:
-            sign = F.signum(t["s"]) * F.when(index == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-            return F.struct(
-                (t["s"] * sign).alias("s"), (t["mx"] * sign).alias("mx"), (t["my"] * sign).alias("my")
-            )
+def _first_vertex(rings: str) -> str:
+    return f"{rings}[0][0][0]"
 
-        return let(_ring_sums(ring, origin["x"], origin["y"]), orient)
 
-    return F.flatten(F.transform(rings, lambda part: F.transform(part, of_ring)))
+def _oriented_sums(rings: str, origin: str) -> str:
+    """Per ring sums with outer rings counted positive and holes negative."""
+    def orient(t: str, index: str) -> str:
+        sign = f"(signum({t}.s) * if({index} = 0, 1D, -1D))"
+        return f"named_struct('s', {t}.s * {sign}, 'mx', {t}.mx * {sign}, 'my', {t}.my * {sign})"
 
+    def of_part(part: str) -> str:
+        ring, index = _name(), _name()
+        return f"transform({part}, ({ring}, {index}) -> {let(_ring_sums(ring, origin), lambda t: orient(t, index))})"
 
-def _first_vertex(rings: Column) -> Column:
-    return rings.getItem(0).getItem(0).getItem(0)
+    return f"flatten({each(rings, of_part)})"
 
 
-def _total(sums: Column, name: str) -> Column:
-    return F.aggregate(sums, F.lit(0.0), lambda acc, t: acc + t[name])
+def _total(sums: str, name: str) -> str:
+    return f"aggregate({sums}, 0D, (acc, t) -> acc + t.{name})"
 
 
-def area_planar(g: Column) -> Column:
+def area_planar(g: str) -> str:
     """Area in squared coordinate units; holes are subtracted. 0 for a point."""
-    def measured(rings: Column) -> Column:
-        return let(_first_vertex(rings), lambda o: _total(_oriented_sums(rings, o), "s") / 2)
+    def measured(v: str) -> str:
+        sums = let(_first_vertex(f"{v}.rings"), lambda o: _total(_oriented_sums(f"{v}.rings", o), "s"))
+        return f"CASE WHEN {v}.kind = 'point' THEN 0D ELSE {sums} / 2 END"
 
-    return let(
-        g, lambda v: F.when(v["kind"] == "point", F.lit(0.0)).otherwise(measured(v["rings"]))
-    )
+    return let(g, measured)
 
 
-def area_geodesic(g: Column) -> Column:
+def area_geodesic(g: str) -> str:
     """Area in m^2 on the WGS84 ellipsoid of a longitude/latitude geometry.
 
     Exact for edges that are straight in the equal-area projection; against geodesic edges
@@ -192,124 +190,102 @@ def area_geodesic(g: Column) -> Column:
     return area_planar(map_coordinates(g, projection.authalic))
 
 
-def centroid(g: Column) -> Column:
+def centroid(g: str) -> str:
     """Area-weighted planar centroid as a point geometry; may lie outside a concave polygon."""
-    def centre(rings: Column, origin: Column) -> Column:
-        def place(sums: Column) -> Column:
-            area3 = _total(sums, "s") * 3
-            return vertex(
-                origin["x"] + F.try_divide(_total(sums, "mx"), area3),
-                origin["y"] + F.try_divide(_total(sums, "my"), area3),
-            )
+    def place(sums: str, o: str) -> str:
+        def mean(axis: str) -> str:
+            return f"{o}.{axis} + try_divide({_total(sums, 'm' + axis)}, {_total(sums, 's')} * 3)"
 
-        return let(_oriented_sums(rings, origin), place)
+        return vertex(mean("x"), mean("y"))
 
-    def of_polygon(rings: Column) -> Column:
-        middle = let(_first_vertex(rings), lambda o: centre(rings, o))
-        return let(middle, lambda c: point(c["x"], c["y"]))
+    def centre(rings: str) -> str:
+        return let(
+            _first_vertex(rings), lambda o: let(_oriented_sums(rings, o), lambda sums: place(sums, o))
+        )
 
-    return let(g, lambda v: F.when(v["kind"] == "point", v).otherwise(of_polygon(v["rings"])))
+    def whole(v: str) -> str:
+        middle = let(centre(f"{v}.rings"), lambda c: point(f"{c}.x", f"{c}.y"))
+        return f"CASE WHEN {v}.kind = 'point' THEN {v} ELSE {middle} END"
 
+    return let(g, whole)
 
-def is_valid(g: Column) -> Column:
+
+def is_valid(g: str) -> str:
     """Every ring closed, of four or more finite vertices, and of non-zero area."""
-    def finite(v: Column) -> Column:
-        return (F.abs(v["x"]) < float("inf")) & (F.abs(v["y"]) < float("inf"))
+    def finite(x: str, y: str) -> str:
+        return f"(abs({x}) < double('Infinity') AND abs({y}) < double('Infinity'))"
 
-    def ring_ok(ring: Column) -> Column:
+    def ring_ok(r: str) -> str:
+        area = let(f"{r}[0]", lambda o: f"{_ring_sums(r, o)}.s")
         return (
-            (F.size(ring) >= 4)
-            & (ring.getItem(0) == F.element_at(ring, -1))
-            & F.forall(ring, lambda v: F.coalesce(finite(v), F.lit(False)))
-            & (let(ring, lambda r: _ring_sums(r, r.getItem(0)["x"], r.getItem(0)["y"])["s"]) != 0)
+            f"size({r}) >= 4 AND {r}[0] = element_at({r}, -1)"
+            f" AND forall({r}, w -> coalesce({finite('w.x', 'w.y')}, false)) AND {area} <> 0"
         )
 
-    def check(v: Column) -> Column:
-        rings = F.flatten(v["rings"])
-        box_ok = finite(vertex(v["xmin"], v["ymin"])) & finite(vertex(v["xmax"], v["ymax"]))
-        return F.when(v["kind"] == "point", box_ok).otherwise(
-            box_ok & (F.size(rings) > 0) & F.forall(rings, ring_ok)
-        )
+    def check(v: str) -> str:
+        box_ok = f"{finite(f'{v}.xmin', f'{v}.ymin')} AND {finite(f'{v}.xmax', f'{v}.ymax')}"
+        r = _name()
+        rings = f"size(flatten({v}.rings)) > 0 AND forall(flatten({v}.rings), {r} -> {ring_ok(r)})"
+        return f"CASE WHEN {v}.kind = 'point' THEN {box_ok} ELSE {box_ok} AND {rings} END"
 
-    return F.coalesce(let(g, check), F.lit(False))
+    return f"coalesce({let(g, check)}, false)"
 
 
 # ------------------------------------------------------------------- canonical
 
-def _canonical_ring(ring: Column) -> Column:
+def _canonical_ring(ring: str) -> str:
     """Same point set, one spelling: no repeated or collinear vertex, least vertex first,
     fixed direction, closed."""
-    def neighbour(p: Column, i: Column, step: int) -> Column:
-        n = F.size(p)
-        return F.get(p, (i + n + step) % n)
+    def neighbour(p: str, i: str, step: int) -> str:
+        return f"get({p}, ({i} + size({p}) + {step}) % size({p}))"
+
+    def keep(p: str, wanted: Callable[[str, str], str]) -> str:
+        v, i = _name(), _name()
+        return f"filter({p}, ({v}, {i}) -> {wanted(v, i)})"
 
-    def distinct(p: Column) -> Column:
-        return F.filter(p, lambda v, i: v != neighbour(p, i, -1))
+    def distinct(p: str) -> str:
+        return keep(p, lambda v, i: f"{v} <> {neighbour(p, i, -1)}")
 
-    def corners(p: Column) -> Column:
-        def turns(v: Column, i: Column) -> Column:
+    def corners(p: str) -> str:
+        def turns(v: str, i: str) -> str:
             a, b = neighbour(p, i, -1), neighbour(p, i, 1)
-            return (v["x"] - a["x"]) * (b["y"] - a["y"]) != (b["x"] - a["x"]) * (v["y"] - a["y"])
+            return f"({v}.x - {a}.x) * ({b}.y - {a}.y) <> ({b}.x - {a}.x) * ({v}.y - {a}.y)"
 
-        return F.filter(p, turns)
+        return keep(p, turns)
 
-    def rotate(p: Column) -> Column:
-        k = F.array_position(p, F.array_min(p)).cast("int")
-        return F.concat(F.slice(p, k, F.size(p)), F.slice(p, F.lit(1), F.greatest(k - 1, F.lit(0))))
+    def rotate(p: str) -> str:
+        least = f"CAST(array_position({p}, array_min({p})) AS INT)"
+        turned = let(least, lambda k: f"concat(slice({p}, {k}, size({p})), slice({p}, 1, {k} - 1))")
+        return f"CASE WHEN size({p}) > 0 THEN {turned} ELSE {p} END"
 
-    def direct(p: Column) -> Column:
-        n = F.size(p)
-        tail = F.slice(p, F.lit(2), n)
-        turned = F.concat(F.slice(p, 1, 1), F.reverse(tail))
-        return F.when(F.get(p, F.lit(1)) > F.get(p, n - 1), turned).otherwise(p)
+    def direct(p: str) -> str:
+        turned = f"concat(slice({p}, 1, 1), reverse(slice({p}, 2, size({p}))))"
+        return f"CASE WHEN size({p}) > 2 AND {p}[1] > {p}[size({p}) - 1] THEN {turned} ELSE {p} END"
 
-    opened = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
-    p = let(let(opened, distinct), corners)
-    p = let(p, lambda q: F.when(F.size(q) > 0, rotate(q)).otherwise(q))
-    p = let(p, lambda q: F.when(F.size(q) > 2, direct(q)).otherwise(q))
-    return let(p, lambda q: F.concat(q, F.slice(q, 1, 1)))
+    out = f"slice({ring}, 1, greatest(size({ring}) - 1, 0))"
+    for step in (distinct, corners, rotate, direct):
+        out = let(out, step)
+    return let(out, lambda p: f"concat({p}, slice({p}, 1, 1))")
 
 
-def canonical(g: Column) -> Column:
+def canonical(g: str) -> str:
     """Geometry whose rings are spelled one way, so equal polygons are equal values."""
-    def part(rings: Column) -> Column:
-        done = F.transform(rings, _canonical_ring)
+    def part(rings: str) -> str:
+        holes = "array_sort(slice({r}, 2, greatest(size({r}) - 1, 0)))"
         return let(
-            done,
-            lambda r: F.concat(
-                F.slice(r, 1, 1), F.array_sort(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))
-            ),
+            each(rings, _canonical_ring), lambda r: f"concat(slice({r}, 1, 1), {holes.format(r=r)})"
         )
 
-    def spelled(v: Column) -> Column:
-        return F.struct(
-            v["kind"].alias("kind"),
-            F.array_sort(F.transform(v["rings"], part)).alias("rings"),
-            *[v[n].alias(n) for n in BOX],
-        )
+    def whole(v: str) -> str:
+        rings = f"array_sort({each(f'{v}.rings', part)})"
+        bounds = ", ".join(f"'{n}', {v}.{n}" for n in BOX)
+        spelled = f"named_struct('kind', {v}.kind, 'rings', {rings}, {bounds})"
+        return f"CASE WHEN {v}.kind = 'point' THEN {v} ELSE {spelled} END"
 
-    return let(g, lambda v: F.when(v["kind"] == "point", v).otherwise(spelled(v)))
+    return let(g, whole)
 
 
 # ------------------------------------------------------------------ predicates
-#
-# Predicates nest deeply, and a Column is built by one call to the JVM per operation, so they
-# are composed as SQL text: arguments are SQL expressions, mostly column names, and the result
-# goes through ``F.expr`` once.
-
-def edges_sql(g: str) -> str:
-    """Text form of :func:`edges`."""
-    ring = (
-        "r -> zip_with(slice(r, 1, greatest(size(r) - 1, 0)), slice(r, 2, greatest(size(r) - 1, 0)),"
-        " (a, b) -> named_struct('ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y))"
-    )
-    return f"flatten(transform(flatten({g}.rings), {ring}))"
-
-
-def heads_sql(g: str) -> str:
-    """Text form: first vertex of every ring."""
-    return f"transform(flatten({g}.rings), r -> r[0])"
-
 
 def _cross(e: str, px: str, py: str) -> str:
     return f"(({e}.bx - {e}.ax) * ({py} - {e}.ay) - ({px} - {e}.ax) * ({e}.by - {e}.ay))"

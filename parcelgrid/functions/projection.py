@@ -1,10 +1,10 @@
-"""Closed-form map projections as Column expressions.
+"""Closed-form map projections as SQL text: (lon, lat) expressions in, (x, y) expressions out.
 
 * ``mercator`` / ``mercator_inverse``: spherical Web Mercator, metres (EPSG:3857).
 * ``state_plane`` / ``state_plane_inverse``: Lambert conformal conic with two standard
   parallels, California zone 6 in US survey feet (EPSG:2230); NAD83 is taken as WGS84.
-* ``authalic_y``: northing of the ellipsoidal equal-area cylinder; together with the
-  longitude in radians, plane area equals area on the ellipsoid.
+* ``authalic``: ellipsoidal equal-area cylinder; with the longitude in radians, plane area
+  equals area on the ellipsoid.
 """
 
 from __future__ import annotations
@@ -12,9 +12,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .units import US_FT_PER_M
 
 # WGS84 / GRS80 ellipsoids and the Web Mercator sphere.
@@ -35,16 +32,23 @@ def _eccentricity(inverse_flattening: float) -> float:
     return math.sqrt(2 * f - f * f)
 
 
-def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    x = lon * (EARTH_RADIUS * _DEG)
-    y = F.log(F.tan(lat * (_DEG / 2) + math.pi / 4)) * EARTH_RADIUS
-    return x, y
+def _d(value: float) -> str:
+    """A double literal."""
+    return f"{float(value)!r}D"
+
 
+def mercator(lon: str, lat: str) -> tuple[str, str]:
+    return (
+        f"(({lon}) * {_d(EARTH_RADIUS * _DEG)})",
+        f"(ln(tan(({lat}) * {_d(_DEG / 2)} + {_d(math.pi / 4)})) * {_d(EARTH_RADIUS)})",
+    )
 
-def mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:
-    lon = x / (EARTH_RADIUS * _DEG)
-    lat = (F.atan(F.exp(y / EARTH_RADIUS)) * 2 - math.pi / 2) / _DEG
-    return lon, lat
+
+def mercator_inverse(x: str, y: str) -> tuple[str, str]:
+    return (
+        f"(({x}) / {_d(EARTH_RADIUS * _DEG)})",
+        f"((atan(exp(({y}) / {_d(EARTH_RADIUS)})) * 2 - {_d(math.pi / 2)}) / {_d(_DEG)})",
+    )
 
 
 @dataclass(frozen=True)
@@ -76,45 +80,47 @@ class _Cone:
 _ZONE6 = _Cone.zone6()
 
 
-def state_plane(lon: Column, lat: Column) -> tuple[Column, Column]:
+def state_plane(lon: str, lat: str) -> tuple[str, str]:
     """Longitude/latitude in degrees to zone 6 easting/northing in US survey feet."""
     c = _ZONE6
-    s = F.sin(lat * _DEG) * c.e
-    t = F.tan(F.lit(math.pi / 4) - lat * (_DEG / 2)) / F.pow((1 - s) / (1 + s), F.lit(c.e / 2))
-    rho = F.pow(t, F.lit(c.n)) * c.scale
-    theta = (lon * _DEG - c.lon0) * c.n
-    x = (rho * F.sin(theta) + ZONE6_FALSE[0]) * US_FT_PER_M
-    y = (F.lit(c.rho0) - rho * F.cos(theta) + ZONE6_FALSE[1]) * US_FT_PER_M
-    return x, y
+    s = f"sin(({lat}) * {_d(_DEG)}) * {_d(c.e)}"
+    t = f"tan({_d(math.pi / 4)} - ({lat}) * {_d(_DEG / 2)}) / pow((1 - {s}) / (1 + {s}), {_d(c.e / 2)})"
+    rho = f"pow({t}, {_d(c.n)}) * {_d(c.scale)}"
+    theta = f"((({lon}) * {_d(_DEG)} - {_d(c.lon0)}) * {_d(c.n)})"
+    return (
+        f"(({rho} * sin({theta}) + {_d(ZONE6_FALSE[0])}) * {_d(US_FT_PER_M)})",
+        f"(({_d(c.rho0)} - {rho} * cos({theta}) + {_d(ZONE6_FALSE[1])}) * {_d(US_FT_PER_M)})",
+    )
 
 
-def state_plane_inverse(x: Column, y: Column) -> tuple[Column, Column]:
-    """Zone 6 feet to degrees; the latitude series is good to about 1e-11 degrees."""
+def state_plane_inverse(x: str, y: str) -> tuple[str, str]:
+    """Zone 6 feet to degrees; the latitude series is good to about 1e-10 degrees."""
     c = _ZONE6
     e2 = c.e * c.e
-    dx = x / US_FT_PER_M - ZONE6_FALSE[0]
-    dy = F.lit(c.rho0 + ZONE6_FALSE[1]) - y / US_FT_PER_M
-    rho = F.sqrt(dx * dx + dy * dy)
-    t = F.pow(rho / c.scale, F.lit(1 / c.n))
-    chi = F.lit(math.pi / 2) - F.atan(t) * 2
-    phi = (
-        chi
-        + F.sin(chi * 2) * (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360)
-        + F.sin(chi * 4) * (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520)
-        + F.sin(chi * 6) * (7 * e2**3 / 120 + 81 * e2**4 / 1120)
-        + F.sin(chi * 8) * (4279 * e2**4 / 161280)
+    dx = f"(({x}) / {_d(US_FT_PER_M)} - {_d(ZONE6_FALSE[0])})"
+    dy = f"({_d(c.rho0 + ZONE6_FALSE[1])} - ({y}) / {_d(US_FT_PER_M)})"
+    t = f"pow(sqrt({dx} * {dx} + {dy} * {dy}) / {_d(c.scale)}, {_d(1 / c.n)})"
+    chi = f"({_d(math.pi / 2)} - atan({t}) * 2)"
+    series = (
+        (2, e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360),
+        (4, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520),
+        (6, 7 * e2**3 / 120 + 81 * e2**4 / 1120),
+        (8, 4279 * e2**4 / 161280),
     )
-    lon = (F.atan2(dx, dy) / c.n + c.lon0) / _DEG
-    return lon, phi / _DEG
+    terms = " + ".join(f"sin(h * {k}) * {_d(v)}" for k, v in series)
+    lat = f"transform(array({chi}), h -> (h + {terms}) / {_d(_DEG)})[0]"
+    return f"((atan2({dx}, {dy}) / {_d(c.n)} + {_d(c.lon0)}) / {_d(_DEG)})", lat
 
 
-def authalic_y(lat: Column) -> Column:
+def authalic_y(lat: str) -> str:
     """Equal-area northing in m^2 per radian of longitude."""
     e = _eccentricity(WGS84_INVERSE_FLATTENING)
-    s = F.sin(lat * _DEG)
-    q = (s / (1 - s * s * (e * e)) - F.log((1 - s * e) / (1 + s * e)) / (2 * e)) * (1 - e * e)
-    return q * (EARTH_RADIUS**2 / 2)
+    q = (
+        f"(s / (1 - s * s * {_d(e * e)}) - ln((1 - s * {_d(e)}) / (1 + s * {_d(e)})) / {_d(2 * e)})"
+        f" * {_d((1 - e * e) * EARTH_RADIUS**2 / 2)}"
+    )
+    return f"transform(array(sin(({lat}) * {_d(_DEG)})), s -> {q})[0]"
 
 
-def authalic(lon: Column, lat: Column) -> tuple[Column, Column]:
-    return lon * _DEG, authalic_y(lat)
+def authalic(lon: str, lat: str) -> tuple[str, str]:
+    return f"(({lon}) * {_d(_DEG)})", authalic_y(lat)

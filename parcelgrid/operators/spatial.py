@@ -174,7 +174,7 @@ def _sized_hint(
     cells_bytes = F.sum((span_x * span_y + 9 * levels) * 400.0)
     edge_bytes = F.lit(0.0)
     if edges:
-        vertices = F.coalesce(F.size(geo.vertices(F.col(geometry))), F.lit(0))
+        vertices = F.expr(f"coalesce(size({geo.vertices(geometry)}), 0)")
         edge_bytes = F.sum((span_x + 3 * levels) * vertices * 3 * 48.0)
     measured = slim.agg((cells_bytes + edge_bytes).alias("size")).first()[0] or 0.0
     if measured <= max(threshold, _BROADCAST_BYTES):
@@ -212,8 +212,8 @@ def grid_join(
     if driver_edges and not driver_points:
         left = left.withColumns(
             {
-                "_d_edges": F.expr(geo.edges_sql(f"`{driver_geometry}`")),
-                "_d_heads": F.expr(geo.heads_sql(f"`{driver_geometry}`")),
+                "_d_edges": F.expr(geo.edges(f"`{driver_geometry}`")),
+                "_d_heads": F.expr(geo.heads(f"`{driver_geometry}`")),
             }
         )
     levels = F.array(F.lit(0))
@@ -227,7 +227,7 @@ def grid_join(
     shapes = index.withColumn("_i_pad", pad).withColumn("_i_levels", levels)
     if index_edges:
         shapes = shapes.withColumn(
-            "_i_edges", F.expr(f"coalesce({geo.edges_sql(f'`{index_geometry}`')}, array())")
+            "_i_edges", F.expr(f"coalesce({geo.edges(f'`{index_geometry}`')}, array())")
         )
     shapes = _boxed(shapes, index_geometry, "_i_").where("_i_xmin IS NOT NULL")
     cells = shapes.withColumn("_i_k", F.explode("_i_levels")).withColumn(
@@ -376,7 +376,7 @@ _FEET = {"us_ft": 1.0, "m": US_FT_PER_M}
 
 
 def in_state_plane(df: DataFrame, column: str = "geometry", out: str = "_plane") -> DataFrame:
-    return df.withColumn(out, geo.map_coordinates(F.col(column), projection.state_plane))
+    return df.withColumn(out, F.expr(geo.map_coordinates(column, projection.state_plane)))
 
 
 def within_distance(
@@ -443,13 +443,13 @@ def region_difference(
 
 # ---------------------------------------------------------------------- circles
 
-def _circle_box(lon: Column, lat: Column, radius: Column, mode: str) -> tuple[Column, ...]:
+def _circle_box(lon: str, lat: str, radius: str, mode: str) -> tuple[str, ...]:
     """A box around the circle: exact on the map, with some room for a radius on the ground."""
-    reach = radius if mode == "mercator" else radius / F.cos(F.radians(lat)) * 1.1 + 1.0
+    reach = radius if mode == "mercator" else f"({radius} / cos(radians({lat})) * 1.1D + 1D)"
     x, y = projection.mercator(lon, lat)
     return (
-        *projection.mercator_inverse(x - reach, y - reach),
-        *projection.mercator_inverse(x + reach, y + reach),
+        *projection.mercator_inverse(f"{x} - {reach}", f"{y} - {reach}"),
+        *projection.mercator_inverse(f"{x} + {reach}", f"{y} + {reach}"),
     )
 
 
@@ -482,15 +482,15 @@ def in_circle(
     sphere. The box test is on stored columns, so it reaches the Parquet scan.
     """
     lon, lat, metres = round(lon, 8), round(lat, 8), radius_km * 1000.0
-    xmin, ymin, xmax, ymax = _circle_box(F.lit(lon), F.lit(lat), F.lit(metres), mode)
-    g = F.col("geometry")
-    circle = (f"{lon!r}D", f"{lat!r}D", f"{metres!r}D", mode)
+    circle = (f"{float(lon)!r}D", f"{float(lat)!r}D", f"{metres!r}D", mode)
+    xmin, ymin, xmax, ymax = _circle_box(*circle)
     inside = F.expr(
         f"CASE WHEN geometry.kind = 'point' THEN {_in_circle_sql('geometry.xmin', 'geometry.ymin', *circle)}"
         f" ELSE forall(flatten(flatten(geometry.rings)), v -> {_in_circle_sql('v.x', 'v.y', *circle)}) END"
     )
     boxed = df.where(
-        (g["xmin"] >= xmin) & (g["xmax"] <= xmax) & (g["ymin"] >= ymin) & (g["ymax"] <= ymax)
+        f"geometry.xmin >= {xmin} AND geometry.xmax <= {xmax}"
+        f" AND geometry.ymin >= {ymin} AND geometry.ymax <= {ymax}"
     )
     return boxed.where(inside)
 
@@ -499,8 +499,8 @@ def in_circles(
     df: DataFrame, circles: DataFrame, how: str = "inner", *, cell: float, mode: str = "mercator"
 ) -> DataFrame:
     """Batch form: ``circles`` has lon, lat, radius_km and own columns; one row per containment."""
-    bounds = _circle_box(F.col("lon"), F.col("lat"), F.col("radius_km") * 1000.0, mode)
-    boxed = circles.withColumn("_circle", geo.box(*bounds))
+    bounds = _circle_box("lon", "lat", "(radius_km * 1000D)", mode)
+    boxed = circles.withColumn("_circle", F.expr(geo.box(*bounds)))
     circle = (indexed("lon"), indexed("lat"), f"{indexed('radius_km')} * 1000D", mode)
 
     def test(d: Side, i: Side) -> str:
@@ -513,14 +513,14 @@ def in_circles(
 
 def distinct_geometries(df: DataFrame, column: str = "geometry") -> DataFrame:
     """One row per polygon as a point set; the canonical geometry is its own identity."""
-    return df.select(geo.canonical(F.col(column)).alias(column)).distinct()
+    return df.select(F.expr(geo.canonical(column)).alias(column)).distinct()
 
 
 def explode_parts(df: DataFrame, column: str = "geometry") -> DataFrame:
     """One row per part of a multipolygon, attributes repeated; points pass through."""
-    g = F.col(column)
-    parts = F.when(g["kind"] == "point", F.array(g)).otherwise(
-        F.transform(g["rings"], lambda part: geo.polygon(F.array(part)))
+    parts = F.expr(
+        f"CASE WHEN {column}.kind = 'point' THEN array({column})"
+        f" ELSE {geo.each(f'{column}.rings', lambda part: geo.polygon(f'array({part})'))} END"
     )
     names = [c for c in df.columns if c != column]
     return df.select(*names, F.explode(parts).alias(column))
@@ -529,19 +529,17 @@ def explode_parts(df: DataFrame, column: str = "geometry") -> DataFrame:
 def ring_from_points(df: DataFrame, by: Sequence[str], order: str, x: str, y: str) -> DataFrame:
     """Numbered vertex rows back to one polygon per group; an open ring is closed."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y"))))
-    ring = F.transform(listed, lambda s: geo.vertex(s["x"], s["y"]))
+    rows = df.groupBy(*by).agg(listed.alias("_ring"))
+    ring = geo.each("_ring", lambda s: geo.vertex(f"{s}.x", f"{s}.y"))
     closed = geo.let(
-        ring,
-        lambda r: F.when(r.getItem(0) == F.element_at(r, -1), r).otherwise(
-            F.concat(r, F.slice(r, 1, 1))
-        ),
+        ring, lambda r: f"CASE WHEN {r}[0] = element_at({r}, -1) THEN {r} ELSE concat({r}, slice({r}, 1, 1)) END"
     )
-    return df.groupBy(*by).agg(geo.ring_polygon(closed).alias("geometry"))
+    return rows.select(*by, F.expr(geo.ring_polygon(closed)).alias("geometry"))
 
 
 def vertices_table(df: DataFrame, columns: Sequence[str], geometry: str = "geometry") -> DataFrame:
     """One row per vertex with its 1-based position in the whole geometry."""
-    return df.select(*columns, F.posexplode(geo.vertices(F.col(geometry))).alias("_pos", "_v")).select(
+    return df.select(*columns, F.posexplode(F.expr(geo.vertices(geometry))).alias("_pos", "_v")).select(
         *columns, (F.col("_pos") + 1).alias("pos"), F.col("_v.x").alias("x"), F.col("_v.y").alias("y")
     )
 
@@ -554,12 +552,9 @@ def patch_vertices(
     Each override is (axis, first, last, value), positions 1-based and inclusive. The patch is
     a map over the ring, so no row leaves its task.
     """
-    def patched(v: Column, i: Column) -> Column:
-        values = {"x": v["x"], "y": v["y"]}
-        for axis, first, last, value in overrides:
-            here = (i + 1).between(first, last)
-            values[axis] = F.when(here, F.lit(float(value))).otherwise(values[axis])
-        return geo.vertex(values["x"], values["y"])
-
-    ring = F.transform(F.col(column)["rings"].getItem(0).getItem(0), patched)
-    return df.withColumn(column, geo.ring_polygon(ring))
+    values = {"x": "v.x", "y": "v.y"}
+    for axis, first, last, value in overrides:
+        here = f"i + 1 BETWEEN {int(first)} AND {int(last)}"
+        values[axis] = f"CASE WHEN {here} THEN {float(value)!r}D ELSE {values[axis]} END"
+    ring = f"transform({column}.rings[0][0], (v, i) -> {geo.vertex(values['x'], values['y'])})"
+    return df.withColumn(column, F.expr(geo.ring_polygon(ring)))

@@ -52,8 +52,8 @@ def notice_points(notices: DataFrame, geocodes: DataFrame, *, min_accuracy: floa
     open_ones = natural_join(counts, curated, "left_anti", on=_ADDRESS)
     found = natural_join(open_ones, geocodes, "inner", on=_ADDRESS).where(F.col("accuracy") > min_accuracy)
     points = bind_rows(
-        found.select(*_ADDRESS, geo.point(F.col("long"), F.col("lat")).alias("geometry")),
-        curated.select(*_ADDRESS, geo.point(F.col("lng"), F.col("lat")).alias("geometry")),
+        found.select(*_ADDRESS, F.expr(geo.point("`long`", "lat")).alias("geometry")),
+        curated.select(*_ADDRESS, F.expr(geo.point("lng", "lat")).alias("geometry")),
     )
     return natural_join(points, counts, "left", on=_ADDRESS)
 

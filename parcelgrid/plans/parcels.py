@@ -251,7 +251,7 @@ def dedupe_by_geometry(parcels: DataFrame) -> DataFrame:
     polygon shared by any number of parcels before the shuffle. The least apn stands for
     "the first one", which would depend on input order.
     """
-    shape = parcels.withColumn("geometry", geo.canonical(F.col("geometry")))
+    shape = parcels.withColumn("geometry", F.expr(geo.canonical("geometry")))
     # a leading hash lets the sort inside the aggregate compare numbers before vertex arrays
     keyed = shape.withColumn("_hash", F.xxhash64("geometry", "shape_area", "class", "type"))
     return keyed.groupBy("_hash", "geometry", "shape_area", "class", "type").agg(
@@ -261,15 +261,15 @@ def dedupe_by_geometry(parcels: DataFrame) -> DataFrame:
 
 def keep_first_geometry(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The least row (by ``order``) of every set of equal polygons."""
-    shape = df.withColumn("_shape", geo.canonical(F.col("geometry"))["rings"])
+    shape = df.withColumn("_shape", F.expr(geo.canonical("geometry"))["rings"])
     shape = shape.withColumn("_hash", F.xxhash64("_shape"))
     return keep_first(shape, [F.col("_hash"), F.col("_shape")], order).drop("_hash", "_shape")
 
 
 def orphan_geometries(shapes: DataFrame, parcels: DataFrame, *, cell: float = 0.01) -> DataFrame:
     """Polygons (shape_id, geometry) that equal no parcel's polygon, with the parcels inside them."""
-    have = parcels.select(geo.canonical(F.col("geometry"))["rings"].alias("_have")).distinct()
-    keyed = shapes.withColumn("_shape", geo.canonical(F.col("geometry"))["rings"])
+    have = parcels.select(F.expr(geo.canonical("geometry"))["rings"].alias("_have")).distinct()
+    keyed = shapes.withColumn("_shape", F.expr(geo.canonical("geometry"))["rings"])
     orphans = keyed.join(have, keyed["_shape"] == have["_have"], "left_anti").drop("_shape")
     return spatial_join(orphans, parcels, "contains", "left", cell=cell)
 
@@ -284,11 +284,11 @@ def attach_points(
     ``parcels_plane`` is stored in zone 6 feet: the area is planar, then ``to_lonlat`` maps the
     kept polygons. Addresses in no large parcel come back with missing size and geometry.
     """
-    large = parcels_plane.withColumn("size", geo.area_planar(F.col("geometry"))).where(
+    large = parcels_plane.withColumn("size", F.expr(geo.area_planar("geometry"))).where(
         F.col("size") > min_area
-    ).withColumn("geometry", geo.map_coordinates(F.col("geometry"), to_lonlat))
+    ).withColumn("geometry", F.expr(geo.map_coordinates("geometry", to_lonlat)))
     rooftop = points.where(F.col("accuracy_type") == "rooftop").withColumn(
-        "_at", geo.point(F.col("long"), F.col("lat"))
+        "_at", F.expr(geo.point("`long`", "lat"))
     ).drop("lat", "long", "accuracy_type")
     return spatial_join(
         rooftop, large, "intersects", "left", cell=cell, left_points=True,
@@ -350,7 +350,7 @@ def combine_parcels(
         ],
     )
     allowed = not_in(joined, "apn", deny_ids).withColumn(
-        "shape_area2", half_even(geo.area_geodesic(F.col("geometry")) * SQ_FT_PER_M2, -2)
+        "shape_area2", half_even(F.expr(geo.area_geodesic("geometry")) * SQ_FT_PER_M2, -2)
     ).drop("shape_area")
     kept = allowed.where(F.col("exclude") == 0).withColumn("county", F.concat("county", F.lit(" County")))
     small = allowed.where(F.col("exclude") == 1)

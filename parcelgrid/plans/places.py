@@ -120,7 +120,7 @@ def build_places_centroid(
     """
     island = counties.where(F.col("island").isNull())
     named = island.select("county_name", "geometry")
-    centred = places.withColumn("_at", geo.centroid(F.col("geometry")))
+    centred = places.withColumn("_at", F.expr(geo.centroid("geometry")))
     by_centre = spatial_join(
         centred, named, "within", "inner", cell=cell, left_points=True, left_geometry="_at"
     ).drop("_at")
@@ -136,7 +136,7 @@ def build_places_centroid(
         "county_name",
         long_name.alias("name"),
         long_name.alias("namelsad"),
-        (geo.area_geodesic(F.col("geometry")) * SQ_FT_PER_M2_BOUNDARY).alias("aland"),
+        (F.expr(geo.area_geodesic("geometry")) * SQ_FT_PER_M2_BOUNDARY).alias("aland"),
         F.lit("sq_ft").alias("aland_unit"),
         "geometry",
     )

@@ -40,7 +40,7 @@ def built_pairs(
     recent = parcels.where(F.col("year_built") > RECENT_YEAR).select("apn", "geometry")
     early = planned.where(F.col("recvd_date") <= F.lit(RECEIVED_BY)).select(*_PROJECT_KEY, "geometry")
     if by == "centroid":
-        early = early.withColumn("geometry", geo.centroid(F.col("geometry")))
+        early = early.withColumn("geometry", F.expr(geo.centroid("geometry")))
     return spatial_join(
         recent, early, "intersects", "inner", cell=cell, right_points=by == "centroid"
     ).select("project", "apn", "sch_number", "ceqa_url")
@@ -129,7 +129,7 @@ def locate(
     Centroids drive both joins with one key each, so overlapping places give several rows, and
     small boundary tables are broadcast without moving a parcel.
     """
-    centre = combined.withColumn("_at", geo.centroid(F.col("geometry"))).drop("geometry", "county")
+    centre = combined.withColumn("_at", F.expr(geo.centroid("geometry"))).drop("geometry", "county")
     in_county = spatial_join(
         centre, counties.select("county", "geometry"), "intersects", "left",
         cell=county_cell, left_points=True, left_geometry="_at",

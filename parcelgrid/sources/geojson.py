@@ -14,29 +14,26 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 
-_POSITION = "array<double>"
-
-
-def _vertex(p: Column) -> Column:
-    """First two numbers of a position: a third one (height) is dropped."""
-    return geo.vertex(p.getItem(0), p.getItem(1))
+def _rings(coordinates: str) -> str:
+    """Positions to vertices; a third number of a position (height) is dropped."""
+    return geo.each(
+        coordinates, lambda ring: geo.each(ring, lambda p: geo.vertex(f"{p}[0]", f"{p}[1]"))
+    )
 
 
-def _rings(coordinates: Column) -> Column:
-    return F.transform(coordinates, lambda ring: F.transform(ring, _vertex))
+def geometry_from_json(text: str) -> str:
+    """SQL: GeoJSON geometry text (Point, Polygon, MultiPolygon) to the geometry struct."""
+    coordinates = f"get_json_object({text}, '$.coordinates')"
 
+    def parsed(depth: int) -> str:
+        return f"from_json({coordinates}, '{'array<' * depth}double{'>' * depth}')"
 
-def geometry_from_json(text: Column) -> Column:
-    """GeoJSON geometry text (Point, Polygon, MultiPolygon) to the geometry struct."""
-    kind = F.get_json_object(text, "$.type")
-    coordinates = F.get_json_object(text, "$.coordinates")
-    position = F.from_json(coordinates, _POSITION)
-    one = F.from_json(coordinates, f"array<array<{_POSITION}>>")
-    many = F.from_json(coordinates, f"array<array<array<{_POSITION}>>>")
+    one = geo.polygon(f"array({_rings(parsed(3))})")
+    many = geo.polygon(geo.each(parsed(4), _rings))
+    at = geo.let(parsed(1), lambda p: geo.point(f"{p}[0]", f"{p}[1]"))
     return (
-        F.when(kind == "Point", geo.point(position.getItem(0), position.getItem(1)))
-        .when(kind == "Polygon", geo.polygon(F.array(_rings(one))))
-        .when(kind == "MultiPolygon", geo.polygon(F.transform(many, _rings)))
+        f"CASE get_json_object({text}, '$.type') WHEN 'Point' THEN {at}"
+        f" WHEN 'Polygon' THEN {one} WHEN 'MultiPolygon' THEN {many} END"
     )
 
 
@@ -67,7 +64,7 @@ def parse_features(lines: DataFrame, schema: str | T.StructType, column: str = "
     )
     return feature.select(
         F.from_json(F.get_json_object("_feature", "$.properties"), fields).alias("_p"),
-        geometry_from_json(F.get_json_object("_feature", "$.geometry")).alias("geometry"),
+        F.expr(geometry_from_json("get_json_object(_feature, '$.geometry')")).alias("geometry"),
     ).select("_p.*", "geometry")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -14,38 +16,40 @@ from ..functions.semantics import clean_names, snake_case
 
 # ------------------------------------------------------------------------ WKT
 
-def geometry_from_wkt(text: Column) -> Column:
-    """WKT text (POINT, POLYGON, MULTIPOLYGON, with or without Z) to the geometry struct."""
-    text = F.trim(text)
-    kind = F.upper(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
-    # rewrite '(x y, x y)' nesting as JSON arrays, then parse once
-    body = F.regexp_replace(text, r"^[A-Za-z]+\s*(?:Z|z|M|m|ZM|zm)?\s*", "")
-    body = F.regexp_replace(body, r"\s*,\s*", ",")
-    body = F.regexp_replace(body, r"(?<=[0-9.])\s+(?=[-+0-9.])", " ")
-    body = F.regexp_replace(body, r"([-+0-9.eE]+(?: [-+0-9.eE]+)+)", "\"$1\"")
-    body = F.translate(F.regexp_replace(body, r"\s*([()])\s*", "$1"), "()", "[]")
-
-    def vertex(pair: Column) -> Column:
-        xy = F.split(pair, " ")
-        return geo.vertex(xy.getItem(0).try_cast("double"), xy.getItem(1).try_cast("double"))
-
-    def rings(part: Column) -> Column:
-        return F.transform(part, lambda ring: F.transform(ring, vertex))
-
-    position = F.from_json(body, "array<string>").getItem(0)
-    one = F.from_json(body, "array<array<string>>")
-    many = F.from_json(body, "array<array<array<string>>>")
+def geometry_from_wkt(text: str) -> str:
+    """SQL: WKT text (POINT, POLYGON, MULTIPOLYGON, with or without Z) to the geometry struct.
+
+    The nested '(x y, x y)' lists are rewritten as JSON arrays of 'x y' texts and parsed once.
+    """
+    body = f"regexp_replace(trim({text}), r'^[A-Za-z]+\\s*(?:[Zz]?[Mm]?)\\s*(?=\\()', '')"
+    body = f"regexp_replace({body}, r'\\s*([(),])\\s*', '$1')"
+    body = f"regexp_replace({body}, r'([-+0-9.eE]+(?:\\s+[-+0-9.eE]+)+)', '\"$1\"')"
+    body = f"translate({body}, '()', '[]')"
+
+    def vertex(pair: str) -> str:
+        return geo.let(
+            f"split({pair}, '\\\\s+')",
+            lambda xy: geo.vertex(f"try_cast({xy}[0] AS DOUBLE)", f"try_cast({xy}[1] AS DOUBLE)"),
+        )
+
+    def rings(part: str) -> str:
+        return geo.each(part, lambda ring: geo.each(ring, vertex))
+
+    def parsed(depth: int) -> str:
+        return f"from_json({body}, '{'array<' * depth}string{'>' * depth}')"
+
+    at = geo.let(vertex(f"{parsed(1)}[0]"), lambda v: geo.point(f"{v}.x", f"{v}.y"))
     return (
-        F.when(kind == "POINT", geo.let(vertex(position), lambda v: geo.point(v["x"], v["y"])))
-        .when(kind == "POLYGON", geo.polygon(F.array(rings(one))))
-        .when(kind == "MULTIPOLYGON", geo.polygon(F.transform(many, rings)))
+        f"CASE upper(regexp_extract({text}, '([A-Za-z]+)', 1)) WHEN 'POINT' THEN {at}"
+        f" WHEN 'POLYGON' THEN {geo.polygon(f'array({rings(parsed(2))})')}"
+        f" WHEN 'MULTIPOLYGON' THEN {geo.polygon(geo.each(parsed(3), rings))} END"
     )
 
 
 def read_layer(spark: SparkSession, path: str, wkt_column: str = "wkt") -> DataFrame:
     """A vector layer exported to Parquet with a WKT column; the column becomes ``geometry``."""
     layer = spark.read.parquet(path)
-    return layer.withColumn("geometry", geometry_from_wkt(F.col(wkt_column))).drop(wkt_column)
+    return layer.withColumn("geometry", F.expr(geometry_from_wkt(f"`{wkt_column}`"))).drop(wkt_column)
 
 
 # ------------------------------------------------------------------------ CSV
@@ -120,10 +124,32 @@ def load_serving(spark: SparkSession, path: str, names: Sequence[str]) -> dict[s
     return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names}
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
-    """Write a slow stage once and go on from the written table, which also cuts the lineage."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` as the session has it.
+
+    A local session without the setting gets a temporary folder; a cluster must name one that
+    all executors reach.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="parcelgrid-")
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a slow stage once and go on from the written table, which also cuts the lineage.
+
+    Without a path the table goes to a new subfolder of :func:`scratch_folder`. What is read
+    back is plain Parquet: its columns prune, its boxes filter, and a lost executor costs only
+    the tasks that read.
+    """
+    spark = df.sparkSession
+    if path is None:
+        path = f"{scratch_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def union_layers(layers: Sequence[DataFrame]) -> DataFrame:

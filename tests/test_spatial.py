@@ -9,7 +9,7 @@ from parcelgrid.operators import spatial as sp
 
 def boxes(spark, rows, names="id"):
     df = spark.createDataFrame(rows, f"{names} int, x0 double, y0 double, x1 double, y1 double")
-    return df.select(names, geo.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("geometry"))
+    return df.select(names, F.expr(geo.box("x0", "y0", "x1", "y1")).alias("geometry"))
 
 
 def sample(n, seed, large=0.0):
@@ -92,10 +92,9 @@ def test_hot_cell_is_split(spark):
         points = spark.range(0, 30000, 1, 8).select(
             "id",
             F.sha2(F.col("id").cast("string"), 256).alias("payload"),
-            geo.point(
-                F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") * 7 % 997) / 10.0),
-                F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise((F.col("id") * 13 % 991) / 10.0),
-            ).alias("geometry"),
+            F.expr(
+                    geo.point("if(id % 3 = 0, 0.5D, id * 7 % 997 / 10D)", "if(id % 3 = 0, 0.5D, id * 13 % 991 / 10D)")
+                ).alias("geometry"),
         )
         places = boxes(spark, [(i, float(i % 10) * 10, float(i // 10) * 10, i % 10 * 10 + 9.0, i // 10 * 10 + 9.0) for i in range(100)], "pid")
         out = sp.spatial_join(points, places, "intersects", "left", cell=10.0, left_points=True)
@@ -130,21 +129,21 @@ def test_circle_modes_and_batch(spark):
 def test_parts_and_vertices(spark):
     two = spark.range(1).select(
         F.lit("m").alias("k"),
-        geo.polygon(F.concat(geo.box(*[F.lit(float(v)) for v in (0, 0, 1, 1)])["rings"], geo.box(*[F.lit(float(v)) for v in (5, 5, 6, 7)])["rings"])).alias("geometry"),
+        F.expr(geo.polygon(f"concat({geo.box('0D', '0D', '1D', '1D')}.rings, {geo.box('5D', '5D', '6D', '7D')}.rings)")).alias("geometry"),
     )
     parts = sp.explode_parts(two).select("k", "geometry.xmin", "geometry.ymax").collect()
     assert sorted((r.k, r.xmin, r.ymax) for r in parts) == [("m", 0.0, 1.0), ("m", 5.0, 7.0)]
     first = sp.explode_parts(two).where("geometry.xmin = 0")
     patched = sp.patch_vertices(first, [("x", 2, 3, 9.0)])
     again = sp.ring_from_points(sp.vertices_table(patched, ["k"]), ["k"], "pos", "x", "y")
-    assert again.select(geo.area_planar(F.col("geometry"))).first()[0] == 9.0
+    assert again.select(F.expr(geo.area_planar("geometry"))).first()[0] == 9.0
 
 
 def test_region_difference(spark):
     region = boxes(spark, [(1, -117.3, 33.8, -117.0, 34.0)], "r")
     minus = boxes(spark, [(1, -117.2, 33.85, -117.15, 33.9)], "m")
     rows = [(1, -117.25, 33.95), (2, -117.18, 33.87), (3, -117.2005, 33.87), (4, -117.22, 33.87), (5, -116.5, 33.87)]
-    points = spark.createDataFrame(rows, "id int, x double, y double").select("id", geo.point(F.col("x"), F.col("y")).alias("geometry"))
+    points = spark.createDataFrame(rows, "id int, x double, y double").select("id", F.expr(geo.point("x", "y")).alias("geometry"))
     # point 3 is 46 m from the cut-out
     got = {r.id for r in sp.region_difference(points, region, minus, 100.0, cell=0.1).collect()}
     assert got == {1, 4}
