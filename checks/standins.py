@@ -16,6 +16,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """A small input in one file split over the cores; a large one already has its splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _rect(other_spelling: str = "false") -> Column:
     """Rectangle from the bounds; the other spelling runs clockwise from the upper right, with one
     collinear vertex."""
@@ -31,7 +37,7 @@ def _rect(other_spelling: str = "false") -> Column:
 
 
 def parcels(spark: SparkSession, d: str) -> DataFrame:
-    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
+    orders, customer = _spread(table(spark, d, "orders"), "o_orderkey"), table(spark, d, "customer")
     keyed = orders.selectExpr(
         "*", "CASE WHEN o_orderkey % 50 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS gk"
     )

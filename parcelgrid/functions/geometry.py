@@ -336,17 +336,35 @@ def _segments_touch(e: str, f: str) -> str:
     )
 
 
-def polygons_intersect(a_edges: str, a_heads: str, b_edges: str) -> str:
-    """Polygons share a point. If no boundaries meet, one ring lies wholly inside the other
-    polygon, so one vertex of each ring decides; the starts of ``b_edges`` stand for the
-    vertices of b."""
+def _near_box(segments: str, bounds: tuple[str, str, str, str]) -> str:
+    """Segments whose own box meets the bounds (xmin, ymin, xmax, ymax)."""
+    xmin, ymin, xmax, ymax = bounds
     return (
-        f"(exists({a_edges}, e -> exists({b_edges}, f -> {_segments_touch('e', 'f')}))"
-        f" OR exists({a_heads}, v -> {covers_point(b_edges, 'v.x', 'v.y')})"
-        f" OR exists({b_edges}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')}))"
+        f"filter({segments}, s -> greatest(s.ax, s.bx) >= {xmin} AND least(s.ax, s.bx) <= {xmax}"
+        f" AND greatest(s.ay, s.by) >= {ymin} AND least(s.ay, s.by) <= {ymax})"
     )
 
 
+def polygons_intersect(
+    a_edges: str, a_heads: str, b_edges: str, a_box: tuple[str, str, str, str]
+) -> str:
+    """Polygons share a point.
+
+    Without an edge of b in the box of a, all of a is on one side of b and one vertex decides.
+    Else, if no boundaries meet, one ring lies wholly inside the other polygon, so one vertex
+    of each ring decides; the starts of b's edges stand for its vertices.
+    """
+    def near(local: str) -> str:
+        return (
+            f"CASE WHEN size({local}) = 0 THEN {covers_point(b_edges, f'{a_heads}[0].x', f'{a_heads}[0].y')}"
+            f" ELSE exists({a_edges}, e -> exists({local}, f -> {_segments_touch('e', 'f')}))"
+            f" OR exists({a_heads}, v -> {covers_point(b_edges, 'v.x', 'v.y')})"
+            f" OR exists({local}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')}) END"
+        )
+
+    return let(_near_box(b_edges, a_box), near)
+
+
 def _middles(e: str, others: str) -> str:
     """Middles of the pieces into which the vertices of ``others`` cut segment e."""
     dx, dy = f"({e}.bx - {e}.ax)", f"({e}.by - {e}.ay)"
@@ -375,22 +393,29 @@ def _inner_points(segments: str) -> str:
     return f"flatten(transform({bands}, y -> {gaps}))"
 
 
-def polygon_contains(a_edges: str, b_edges: str) -> str:
+def polygon_contains(a_edges: str, b_edges: str, b_box: tuple[str, str, str, str]) -> str:
     """b lies in a and they share inner points; a common boundary is allowed.
 
-    Exact for concave containers and holes. The boundary of b stays in a: its vertices do, no
-    edges cross, and every piece of its edges between touching vertices does. The boundary of a
-    does not enter b. Then every piece of b's inside is wholly in or out, and one inner point
-    of each decides.
+    Without an edge of a in the box of b, all of b is on one side of a and one vertex decides.
+    Else the test is exact for concave containers and holes: the boundary of b stays in a (its
+    vertices do, no edges cross, and every piece of its edges between touching vertices does)
+    and the boundary of a does not enter b. Then every piece of b's inside is wholly in or
+    out, and one inner point of each decides.
     """
     crossing = f"{_straddle('e', 'f')} < 0 AND {_straddle('f', 'e')} < 0"
-    return (
-        f"(forall({b_edges}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')})"
-        f" AND NOT exists({b_edges}, f -> exists({a_edges}, e -> {crossing}))"
-        f" AND forall({b_edges}, f -> forall({_middles('f', a_edges)}, m -> {covers_point(a_edges, 'm.x', 'm.y')}))"
-        f" AND NOT exists({a_edges}, e -> exists({_middles('e', b_edges)}, m -> {contains_point(b_edges, 'm.x', 'm.y')}))"
-        f" AND forall({_inner_points(b_edges)}, m -> {covers_point(a_edges, 'm.x', 'm.y')}))"
-    )
+
+    def near(local: str) -> str:
+        exact = (
+            f"forall({b_edges}, f -> {covers_point(a_edges, 'f.ax', 'f.ay')})"
+            f" AND NOT exists({b_edges}, f -> exists({local}, e -> {crossing}))"
+            f" AND forall({b_edges}, f -> forall({_middles('f', local)}, m -> {covers_point(a_edges, 'm.x', 'm.y')}))"
+            f" AND NOT exists({local}, e -> exists({_middles('e', b_edges)}, m -> {contains_point(b_edges, 'm.x', 'm.y')}))"
+            f" AND forall({_inner_points(b_edges)}, m -> {covers_point(a_edges, 'm.x', 'm.y')})"
+        )
+        one = covers_point(a_edges, f"{b_edges}[0].ax", f"{b_edges}[0].ay")
+        return f"CASE WHEN size({local}) = 0 THEN {one} ELSE {exact} END"
+
+    return let(_near_box(a_edges, b_box), near)
 
 
 def _distance2(e: str, px: str, py: str) -> str:

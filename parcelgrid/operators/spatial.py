@@ -45,6 +45,10 @@ class Side:
     def box(self, bound: str) -> str:
         return f"{self.prefix}{bound}"
 
+    @property
+    def bounds(self) -> tuple[str, ...]:
+        return tuple(self.box(b) for b in geo.BOX)
+
     @property
     def x(self) -> str:
         return self.box("xmin")
@@ -270,11 +274,11 @@ def _pair_test(predicate: str, driver_points: bool, index_points: bool) -> Test:
             return lambda a, b: geo.contains_point(a.edges, b.x, b.y)
     if not driver_points and not index_points:
         if predicate == "intersects":
-            return lambda a, b: geo.polygons_intersect(a.edges, a.heads, b.edges)
+            return lambda a, b: geo.polygons_intersect(a.edges, a.heads, b.edges, a.bounds)
         if predicate == "contains":
-            return lambda a, b: f"{_box_inside(b, a)} AND {geo.polygon_contains(a.edges, b.edges)}"
+            return lambda a, b: f"{_box_inside(b, a)} AND {geo.polygon_contains(a.edges, b.edges, b.bounds)}"
         if predicate == "within":
-            return lambda a, b: f"{_box_inside(a, b)} AND {geo.polygon_contains(b.edges, a.edges)}"
+            return lambda a, b: f"{_box_inside(a, b)} AND {geo.polygon_contains(b.edges, a.edges, a.bounds)}"
     raise ValueError(f"no test for {predicate!r} on these geometry kinds")
 
 

@@ -88,7 +88,7 @@ def read_geojson(
         return parse_features(spark.read.text(path), schema)
     if layout != "document":
         raise ValueError("layout is 'lines' or 'document'")
-    document = spark.read.option("wholetext", True).text(path)
+    document = spark.read.text(path, wholetext=True)
     features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
     return parse_features(document.select(F.explode(features).alias("value")), schema)
 

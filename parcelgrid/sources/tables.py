@@ -130,7 +130,7 @@ def scratch_folder(spark: SparkSession) -> str:
     A local session without the setting gets a temporary folder; a cluster must name one that
     all executors reach.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
