@@ -7,10 +7,10 @@ side uses. So every pair of overlapping boxes meets exactly once, there is nothi
 deduplicate afterwards, and inner, left, semi and anti joins are Spark's own join types with
 the exact test in the join condition.
 
-The indexed side carries no whole rings. Per cell it carries only the boundary segments that
-can matter there: those in the horizontal band of the cell and not to its left, which is all
-a ray towards growing x needs. A county with ten thousand vertices then costs a parcel a few
-dozen segment tests.
+The indexed side carries no whole rings. Cells wholly outside a polygon are dropped, cells
+wholly inside are marked and match without any test, and cells on the boundary carry only the
+segments that can matter there. A county with ten thousand vertices then costs most parcels
+nothing and those at its border a few dozen segment tests.
 
 A cell that is hot on the driving side is an ordinary skewed key: with the indexed side
 broadcast there is no shuffle at all, and otherwise adaptive execution splits the hot
@@ -62,6 +62,8 @@ class Side:
 Test = Callable[[Side, Side], str]
 DRIVER = Side("_d_", "_d_edges", "_d_heads")
 INDEX = Side("_i_", "_i_near")
+# true in cells that lie wholly inside the indexed polygon
+INSIDE = "_i_in"
 
 
 def indexed(column: str) -> str:
@@ -128,16 +130,57 @@ def _cells_sql(cell: float, reach: int) -> str:
     return f"CASE WHEN _i_k < {LEVELS} THEN {grid} ELSE array({key('0', '0')}) END"
 
 
-def _near_sql(cell: float, reach: int) -> str:
-    """The boundary segments of the indexed row that matter in its cell."""
+def _window_sql(cell: float, reach: int, pad: str) -> dict[str, str]:
+    """Bounds and middle of the square in which every driving box of an index cell lies."""
     size = f"(pow(4D, _i_cell.k) * {cell!r}D)"
-    slack = f"({size} * 1e-6D + _i_pad)"
+    slack = f"({size} * 1e-6D + {pad})"
+    return {
+        "xmin": f"(_i_cell.cx * {size} - {slack})",
+        "ymin": f"(_i_cell.cy * {size} - {slack})",
+        "xmax": f"((_i_cell.cx + {1 + reach}) * {size} + {slack})",
+        "ymax": f"((_i_cell.cy + {1 + reach}) * {size} + {slack})",
+        "x": f"((_i_cell.cx + {(1 + reach) / 2}D) * {size})",
+        "y": f"((_i_cell.cy + {(1 + reach) / 2}D) * {size})",
+    }
+
+
+def _settle_cells(cells: DataFrame, cell: float, reach: int) -> DataFrame:
+    """Decide each index cell once instead of once per driving row.
+
+    If no boundary segment meets the cell's window, the whole window is inside or outside: an
+    outside cell is dropped, an inside one (``_i_in``) needs no segments any more. A cell that
+    the boundary crosses keeps the segments in its horizontal band and not to its left, which
+    is all a ray towards growing x needs.
+    """
+    w = _window_sql(cell, reach, "_i_pad")
+    meets = (
+        "exists(_i_edges, e ->"
+        f" greatest(e.ax, e.bx) >= {w['xmin']} AND least(e.ax, e.bx) <= {w['xmax']}"
+        f" AND greatest(e.ay, e.by) >= {w['ymin']} AND least(e.ay, e.by) <= {w['ymax']})"
+    )
     near = (
-        f"filter(_i_edges, e -> greatest(e.ax, e.bx) >= _i_cell.cx * {size} - {slack}"
-        f" AND greatest(e.ay, e.by) >= _i_cell.cy * {size} - {slack}"
-        f" AND least(e.ay, e.by) <= (_i_cell.cy + {1 + reach}) * {size} + {slack})"
+        f"filter(_i_edges, e -> greatest(e.ax, e.bx) >= {w['xmin']}"
+        f" AND greatest(e.ay, e.by) >= {w['ymin']} AND least(e.ay, e.by) <= {w['ymax']})"
+    )
+    middle = geo.contains_point("_i_edges", w["x"], w["y"])
+    # a polygon wholly in the window is on its boundary there; it keeps all its few segments
+    whole = (
+        f"(_i_cell.k = {LEVELS} OR (_i_xmin >= {w['xmin']} AND _i_xmax <= {w['xmax']}"
+        f" AND _i_ymin >= {w['ymin']} AND _i_ymax <= {w['ymax']}))"
+    )
+    crossed = f"{whole} OR {meets}"
+    decided = _one_row(cells, [F.expr(crossed).alias("_i_crossed")])
+    decided = _one_row(
+        decided,
+        [
+            F.expr(f"NOT _i_crossed AND {middle}").alias("_i_in"),
+            F.expr(
+                f"CASE WHEN {whole} THEN _i_edges WHEN _i_crossed THEN {near}"
+                " ELSE slice(_i_edges, 1, 0) END"
+            ).alias("_i_near"),
+        ],
     )
-    return f"CASE WHEN _i_cell.k < {LEVELS} THEN {near} ELSE _i_edges END"
+    return decided.where("_i_crossed OR _i_in")
 
 
 # ---------------------------------------------------------- broadcast decision
@@ -239,7 +282,8 @@ def grid_join(
     )
     kept = [F.col(c).alias(indexed(c)) for c in own]
     if index_edges:
-        kept.append(F.expr(_near_sql(cell, reach)).alias("_i_near"))
+        cells = _settle_cells(cells, cell, reach)
+        kept += [F.col("_i_near"), F.col("_i_in")]
     right = cells.select("_i_cell", "_i_pad", *[f"_i_{n}" for n in geo.BOX], *kept)
     right = _sized_hint(
         index, right, index_geometry, cell, pad, index_edges, 0 if driver_points else LEVELS
@@ -264,9 +308,9 @@ def _pair_test(predicate: str, driver_points: bool, index_points: bool) -> Test:
     """Exact test for driver <predicate> index."""
     if driver_points and not index_points:
         if predicate == "intersects":
-            return lambda a, b: geo.covers_point(b.edges, a.x, a.y)
+            return lambda a, b: f"({INSIDE} OR {geo.covers_point(b.edges, a.x, a.y)})"
         if predicate == "within":
-            return lambda a, b: geo.contains_point(b.edges, a.x, a.y)
+            return lambda a, b: f"({INSIDE} OR {geo.contains_point(b.edges, a.x, a.y)})"
     if index_points and not driver_points:
         if predicate == "intersects":
             return lambda a, b: geo.covers_point(a.edges, b.x, b.y)
@@ -274,11 +318,15 @@ def _pair_test(predicate: str, driver_points: bool, index_points: bool) -> Test:
             return lambda a, b: geo.contains_point(a.edges, b.x, b.y)
     if not driver_points and not index_points:
         if predicate == "intersects":
-            return lambda a, b: geo.polygons_intersect(a.edges, a.heads, b.edges, a.bounds)
+            return lambda a, b: (
+                f"({INSIDE} OR {geo.polygons_intersect(a.edges, a.heads, b.edges, a.bounds)})"
+            )
         if predicate == "contains":
             return lambda a, b: f"{_box_inside(b, a)} AND {geo.polygon_contains(a.edges, b.edges, b.bounds)}"
         if predicate == "within":
-            return lambda a, b: f"{_box_inside(a, b)} AND {geo.polygon_contains(b.edges, a.edges, a.bounds)}"
+            return lambda a, b: (
+                f"{_box_inside(a, b)} AND ({INSIDE} OR {geo.polygon_contains(b.edges, a.edges, a.bounds)})"
+            )
     raise ValueError(f"no test for {predicate!r} on these geometry kinds")
 
 
@@ -427,7 +475,7 @@ def points_near_polygons(
     return grid_join(
         a,
         b,
-        lambda d, i: geo.within_distance(i.edges, d.x, d.y, feet),
+        lambda d, i: f"({INSIDE} OR {geo.within_distance(i.edges, d.x, d.y, feet)})",
         how,
         cell=cell_ft,
         driver_geometry="_plane",
