@@ -145,7 +145,7 @@ def district_layer(spark: SparkSession, d: str, house: str) -> DataFrame:
 
 
 def projects(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr(
+    rows = _spread(table(spark, d, "part"), "p_partkey").selectExpr(
         "*",
         "p_partkey * 5 AS gk",
         "-119e0 + ((p_partkey * 5 * 7919) % 100000) / 1e5 * 4e0 AS lon",
