@@ -38,4 +38,5 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.queries()) == set(registry.QUERIES)
+    assert set(entry.queries()) >= set(registry.QUERIES)
+    assert set(entry.oracle_sql()) >= set(registry.ORACLES)
