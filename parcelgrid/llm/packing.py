@@ -39,7 +39,10 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 40_000
 CACHE = 1_200_000
-SEARCH = 400
+#: Of the local search: bins looked at, passes over them, pieces of a bin that can form pairs.
+OPEN = 128
+PASSES = 20
+PAIRED = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -144,56 +147,72 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _gain(fill_a: int, fill_b: int, moved: int) -> int:
-    """By how much the sum of squared fills grows if ``moved`` tokens go from b to a."""
-    return 2 * moved * (fill_a - fill_b + moved)
+def _sums(held: list[int]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """What can leave a bin: nothing, one piece, or two; longest first."""
+    held = sorted(held, reverse=True)[:PAIRED]
+    ways = [(), *((n,) for n in held), *((n, m) for k, n in enumerate(held) for m in held[:k])]
+    return np.array([sum(w) for w in ways]), ways
 
 
-def _better(a: list[int], b: list[int], lengths: list[int], capacity: int) -> tuple[list[int], list[int]] | None:
-    """The exchange between bins a and b that gains most: what leaves a, what leaves b."""
-    fill_a, fill_b = sum(lengths[i] for i in a), sum(lengths[i] for i in b)
-    room_a, room_b = capacity - fill_a, capacity - fill_b
-    best, found = 0, None
-    out_of_b = [[j] for j in b] + [[b[x], b[y]] for x in range(len(b)) for y in range(x)]
-    for give in [[], *([i] for i in a)]:
-        for take in out_of_b:
-            if len(take) == 2 and not give:
-                continue
-            moved = sum(lengths[j] for j in take) - sum(lengths[i] for i in give)
-            if -room_b <= moved <= room_a and (gain := _gain(fill_a, fill_b, moved)) > best:
-                best, found = gain, (give, take)
-    return found
+def _exchange(a: list[int], b: list[int], capacity: int) -> bool:
+    """Makes the exchange from b to the fuller bin a that gains most; False if none gains.
 
-
-def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, most: int = SEARCH) -> list[list[int]]:
-    """Local search over the emptiest bins (``most`` of those that are underfull) until no exchange gains.
-
-    Each exchange increases the sum of squared fills, which is bounded, so the search ends.
+    Moving m tokens from b to a adds 2m(fill a - fill b + m) to the sum of squared fills, which
+    grows with m, so the best exchange is the one that leaves a the least room.
+    """
+    room = capacity - sum(a)
+    gives, give_ways = _sums(a)
+    takes, take_ways = _sums(b)
+    ones = np.array([len(w) < 2 for w in give_ways])
+    gives, give_ways = gives[ones], [w for w, one in zip(give_ways, ones, strict=True) if one]
+    moved = takes[:, None] - gives[None, :]
+    moved[moved > room] = 0
+    at = int(moved.argmax())
+    if moved.flat[at] <= 0:
+        return False
+    take, give = take_ways[at // len(gives)], give_ways[at % len(gives)]
+    for n in take:
+        b.remove(n)
+    for n in give:
+        a.remove(n)
+    a.extend(take)
+    b.extend(give)
+    return True
+
+
+def swap_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Empties bins (of lengths) by exchanges between the emptiest ones.
+
+    Takes the OPEN emptiest bins, and from the emptiest on moves its pieces to fuller ones, one
+    for one, two for one or two for none, as long as that increases the sum of squared fills.
+    Stops at the least possible number of bins, when no exchange gains, or after PASSES passes.
     """
-    least = -(-sum(lengths) // capacity)
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted(range(len(bins)), key=lambda k: fills[k])
-    open_bins = [bins[k] for k in order if fills[k] < capacity][:most]
-    chosen = {id(b) for b in open_bins}
-    done = [b for b in bins if id(b) not in chosen]
-    changed = True
-    while changed and len(done) + len(open_bins) > least:
+    least = -(-sum(map(sum, bins)) // capacity)
+    bins = sorted(bins, key=sum)
+    open_bins, done = [b for b in bins[:OPEN] if sum(b) < capacity], bins[OPEN:]
+    done += [b for b in bins[:OPEN] if sum(b) == capacity]
+    for _ in range(PASSES):
+        if len(done) + len(open_bins) <= least:
+            break
         changed = False
-        for b in list(open_bins):  # the emptiest first: its pieces go to the others
-            for a in reversed(open_bins):
-                if a is b or not b:
-                    continue
-                while b and (found := _better(a, b, lengths, capacity)):
-                    give, take = found
-                    a[:] = [i for i in a if i not in give] + take
-                    b[:] = [j for j in b if j not in take] + give
-                    changed = True
-        open_bins = sorted((b for b in open_bins if b), key=lambda b: sum(lengths[i] for i in b))
+        for k, b in enumerate(open_bins):
+            for a in reversed(open_bins[k + 1 :]):
+                if sum(a) >= sum(b):
+                    while b and _exchange(a, b, capacity):
+                        changed = True
+        open_bins = sorted((b for b in open_bins if b), key=sum)
+        if not changed:
+            break
     return done + open_bins
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    return swap_search(best_fit(lengths, capacity), lengths, capacity)
+    """Bins of indices into ``lengths``."""
+    bins = swap_search([[lengths[i] for i in b] for b in best_fit(lengths, capacity)], capacity)
+    of: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        of.setdefault(n, []).append(i)
+    return [[of[n].pop() for n in b] for b in bins]
 
 
 def _placed(frame: pd.DataFrame, bins: list[list[int]], first: int) -> pd.DataFrame:
