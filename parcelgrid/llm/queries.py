@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_rules, simhash
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, pii, quality_rules, simhash, warc
 from .rows import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -25,6 +29,26 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join(F.array_sort("licenses"), ",").alias("licenses"),
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.KINDS],
+        F.sha2(pii.listed(pii.all_spans(pii.BASE)), 256).alias("base_sha256"),
+        pii.listed(pii.all_spans()).alias("spans"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -33,11 +57,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_deleted.alias("n_deleted"), lines.alias("deleted_lines"), "text")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    index = warc.write_archives(pages, folder)
+    read = warc.read_records(index, folder)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shared", "n_shingles", "containment").distinct()
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_format.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.withColumn("spans", F.array_join(spans, ","))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -48,12 +86,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
+    "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_licenses": license_scan.SQL,
+    "op8_chat_format": chat_format.SQL,
+}

@@ -69,3 +69,31 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def _scan(values: Column) -> Column:
+    """0 and the sums of the first one, two, ... values."""
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(values, start, lambda sums, v: F.concat(sums, F.array(F.element_at(sums, -1) + v)))
+
+
+def sums_before(values: Column, block: int = 256) -> Column:
+    """For each value of an array of longs the sum of those before it.
+
+    In blocks and then over the blocks: appending to one growing array would cost the square of
+    its length.
+    """
+
+    def joined(scans: Column) -> Column:
+        return let(
+            _scan(F.transform(scans, lambda s: F.element_at(s, -1))),
+            lambda starts: F.flatten(
+                F.transform(
+                    scans, lambda s, j: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + F.get(starts, j))
+                )
+            ),
+        )
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(block)).cast("int"))
+    scans = F.transform(blocks, lambda j: let(F.slice(values, j * block + 1, F.lit(block)), _scan))
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(let(scans, joined))
