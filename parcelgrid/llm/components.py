@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parcelgrid.sources.tables import materialise
 
 
+#: Links in a file of a step, so that a small step is not written as hundreds of files.
+FILE_ROWS = 100_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the least of its neighbours and itself."""
     both = edges.union(edges.select("b", "a")).toDF("a", "b")
@@ -42,4 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select("b", "b").distinct()
             )
         seen = mark
-        now = materialise(_small_star(materialise(_large_star(now))))
+        files = 1 + mark[0] // FILE_ROWS
+        large = materialise(_large_star(now).coalesce(files))
+        now = materialise(_small_star(large).coalesce(files))
