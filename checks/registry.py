@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +83,9 @@ def _impact_sql(source: str, where: str, *, far="0.55e0", vacancy="5.7e0", rate=
 SELECT category, warehouses, acreage, floor_sq_ft, truck_trips,
   round_even({miles}*truck_trips*0.0000364e0,1) AS dpm_lb, round_even({miles}*truck_trips*0.0041e0,0) AS nox_lb,
   round_even({miles}*truck_trips*2.44e0*0.000453592e0,1) AS co2_t,
-  CASE WHEN category IS DISTINCT FROM 'Vacant' THEN round_even({jobs}*acreage,0) END AS jobs
-FROM (SELECT *, CASE WHEN category IS DISTINCT FROM 'Vacant' THEN round_even({rate}*0.001e0*floor_sq_ft,-3) END AS truck_trips FROM (
-  SELECT category, warehouses, acreage, floor_sq_ft FROM step WHERE category IS DISTINCT FROM 'Existing'
+  CASE WHEN category<>'Vacant' THEN round_even({jobs}*acreage,0) END AS jobs
+FROM (SELECT *, CASE WHEN category<>'Vacant' THEN round_even({rate}*0.001e0*floor_sq_ft,-3) END AS truck_trips FROM (
+  SELECT category, warehouses, acreage, floor_sq_ft FROM step WHERE category<>'Existing'
   UNION ALL SELECT 'Existing', round_even((100e0-{vacancy})*warehouses/100e0,0), round_even((100e0-{vacancy})*acreage/100e0,0),
     round_even((100e0-{vacancy})*floor_sq_ft/100e0,0) FROM step WHERE category='Existing'
   UNION ALL SELECT 'Vacant', round_even({vacancy}*warehouses/100e0,0), round_even({vacancy}*acreage/100e0,0),
@@ -960,20 +961,113 @@ def geojson_round_trip(spark, d):
     return _bounds(back, "apn", "class", "year_built", "shape_area")
 
 
-@register("wkt_layer", "SELECT name, xmin,ymin,xmax,ymax, round((xmax-xmin)*(ymax-ymin),9) AS planar FROM towns_fx")
+def _new_folder(spark) -> str:
+    return f"{tables.scratch_folder(spark).rstrip('/')}/check-{uuid.uuid4().hex}"
+
+
+#: Rows in one written file of the source queries, so that files grow in number with the table.
+_FILE_ROWS = 2000
+_LAYOUTS = (
+    # the head, what is between features, the tail; a feature's own text as SQL
+    ('{\n"type": "FeatureCollection", "name": "a ] } b",\n"features": [\n', ",\n", "\n]\n}", "value"),
+    ('{"type":"FeatureCollection","features":[', ",\n", "]}", "value"),
+    ('{"type":"FeatureCollection","features":[', ", ", '], "bbox": [1, 2]}', "value"),
+    ('{ "type" : "FeatureCollection" , "features" : [\n', ",\n", "\n] }", """replace(replace(value, '"type":"Feature",', '\n"type": "Feature",\n'), '"properties":', '\n"properties":\n')"""),
+    ("", "\n", "", "value"),
+)
+
+
+def _write_groups(lines: DataFrame, path: str) -> None:
+    """One text file for each row of (file, value)."""
+    lines.repartition("file").write.partitionBy("file").text(path)
+
+
+@register("geojson_files", "SELECT apn, class, year_built, shape_area, xmin,ymin,xmax,ymax FROM serving_fx")
+def geojson_files(spark, d):
+    """Files in five layouts, among them features that share lines with each other, with the
+    collection's head and tail, and features spread over lines."""
+    rows = fx.serving(spark, d).select("apn", "class", "year_built", "shape_area", "geometry")
+    file = F.expr(f"CAST(CAST(regexp_replace(apn, '[^0-9]', '') AS BIGINT) / {_FILE_ROWS} AS BIGINT)")
+    lines = geojson.feature_lines(rows.withColumn("file", file))
+    keyed = lines.withColumn("file", F.get_json_object("value", "$.properties.file").cast("long"))
+    kind = F.pmod("file", F.lit(len(_LAYOUTS)))
+    text = F.lit(None).cast("string")
+    for k, (head, between, tail, own) in enumerate(_LAYOUTS):
+        joined = F.array_join(F.collect_list(F.expr(own)), between)
+        text = F.when(F.first(kind) == k, F.concat(F.lit(head), joined, F.lit(tail))).otherwise(text)
+    path = _new_folder(spark)
+    _write_groups(keyed.groupBy("file").agg(text.alias("value")), path)
+    schema = "apn string, class string, year_built double, shape_area double"
+    return _bounds(geojson.read_geojson(spark, path, schema, "auto"), "apn", "class", "year_built", "shape_area")
+
+
+@register("export_selection", "SELECT apn, class, shape_area, xmin,ymin,xmax,ymax FROM serving_fx WHERE year_built<=2000")
+def export_selection(spark, d):
+    path = _new_folder(spark)
+    rows = fx.serving(spark, d).where("year_built <= 2000").select("apn", "class", "shape_area", "geometry")
+    impact.export_selection(rows, path)
+    return _bounds(geojson.read_geojson(spark, path, "apn string, class string, shape_area double"), "apn", "class", "shape_area")
+
+
+_TOWNS_SQL = "SELECT name, xmin,ymin,xmax,ymax, round((xmax-xmin)*(ymax-ymin),9) AS planar FROM towns_fx"
+
+
+def _planar(shapes: DataFrame) -> DataFrame:
+    return _bounds(shapes.withColumn("planar", F.round(F.expr(geo.area_planar("geometry")), 9)), "name", "planar")
+
+
+@register("wkt_layer", _TOWNS_SQL)
 def wkt_layer(spark, d):
     pairs = geo.each(geo.vertices("geometry"), lambda v: f"concat_ws(' ', CAST({v}.x AS STRING), CAST({v}.y AS STRING))")
     layer = fx.towns(spark, d).selectExpr("name", f"concat('POLYGON ((', array_join({pairs}, ', '), '))') AS wkt")
-    shapes = layer.withColumn("geometry", F.expr(tables.geometry_from_wkt("wkt")))
-    return _bounds(shapes.withColumn("planar", F.round(F.expr(geo.area_planar("geometry")), 9)), "name", "planar")
+    path = _new_folder(spark)
+    layer.write.parquet(path)
+    return _planar(tables.read_layer(spark, path))
+
+
+@register("geojson_layer", _TOWNS_SQL)
+def geojson_layer(spark, d):
+    layer = fx.towns(spark, d).select("name", geojson.geometry_to_json(F.col("geometry")).alias("shape"))
+    path = _new_folder(spark)
+    layer.write.parquet(path)
+    return _planar(tables.read_layer(spark, path, "shape", "geojson"))
 
 
-@register("csv_lines", "SELECT fuel, trips, total_vmt, n_ox_totex FROM emis_fx")
-def csv_lines(spark, d):
-    """Inventory rows as CSV text under a header of the usual spelling, read back by the CSV source."""
+@register("csv_files", "SELECT fuel, trips, total_vmt, n_ox_totex FROM emis_fx")
+def csv_files(spark, d):
+    """Several inventory files, each with a preamble of its own that holds lines equal to data rows."""
     rows = fx.emissions(spark, d).select("fuel", "trips", "total_vmt", "n_ox_totex")
     lines = rows.select(F.to_csv(F.struct("*")).alias("value"))
-    return tables.parse_csv_lines(lines, "Fuel,Trips,Total VMT,NOx_TOTEX", types={"fuel": "string"})
+    keyed = lines.withColumn("file", F.pmod(F.xxhash64("value"), F.lit(8)))
+    head = F.concat(F.lit("Model: "), F.col("file").cast("string"), F.lit("\n"), F.first("value"), F.lit("\n"), F.max("value"))
+    header = '\nFuel,Trips,"Total VMT",NOx_TOTEX\n'
+    text = F.concat(head, F.lit(header), F.array_join(F.collect_list("value"), "\n"))
+    path = _new_folder(spark)
+    _write_groups(keyed.groupBy("file").agg(text.alias("value")), path)
+    return tables.read_csv_skip(spark, path, 3, {"fuel": "string"})
+
+
+@register("csv_sink", "SELECT apn, class, county FROM serving_fx")
+def csv_sink(spark, d):
+    path = f"{_new_folder(spark)}.csv"
+    tables.write_csv(fx.serving(spark, d).select("apn", "class", "county"), path)
+    return tables.read_table(spark, path)
+
+
+@register("parcels_by_county", "SELECT apn, shape_area, county FROM serving_fx WHERE county='Orange County'")
+def parcels_by_county(spark, d):
+    path = _new_folder(spark)
+    tables.write_parcels(fx.serving(spark, d), path)
+    return spark.read.parquet(path).where("county = 'Orange County'").select("apn", "shape_area", "county")
+
+
+@register("serving_snapshot", "SELECT apn, xmin,ymin,xmax,ymax FROM serving_fx WHERE xmin>=-118 AND xmax<=-117 AND ymax<=34.5")
+def serving_snapshot(spark, d):
+    path = _new_folder(spark)
+    tables.save_serving({"parcels": fx.serving(spark, d)}, path)
+    stored = tables.load_serving(spark, path, ["parcels"])["parcels"]
+    boxed = stored.where("geometry.xmin >= -118 AND geometry.xmax <= -117 AND geometry.ymax <= 34.5")
+    return _bounds(boxed, "apn")
 
 
 @register("clean_names", "SELECT o_orderkey, o_orderstatus, o_totalprice AS n_ox_totex FROM orders")

@@ -105,7 +105,7 @@ def choice_list(table: DataFrame, column: str) -> DataFrame:
 def impact_summary(parcels: DataFrame, params: Params = Params()) -> DataFrame:
     """Cumulative impact per category of a :func:`parcel_list`, a handful of rows.
 
-    One aggregation; the vacant share is split off the existing row afterwards. Every rounded
+    Parcels without a category are left out. One aggregation; the vacant share is split off the existing row afterwards. Every rounded
     number feeds the next one, so the order of rounding is part of the result.
     """
     acreage = F.col("acreage")
@@ -125,7 +125,7 @@ def impact_summary(parcels: DataFrame, params: Params = Params()) -> DataFrame:
     existing = F.array(
         split("Existing", 100.0 - params.vacancy_percent), split("Vacant", params.vacancy_percent)
     )
-    rows = totals.select(
+    rows = totals.where(F.col("category").isNotNull()).select(
         F.explode(
             F.when(F.col("category") == "Existing", existing).otherwise(
                 F.array(F.struct("category", *measures))
@@ -133,7 +133,7 @@ def impact_summary(parcels: DataFrame, params: Params = Params()) -> DataFrame:
         ).alias("_r")
     ).select("_r.*")
 
-    used = F.coalesce(F.col("category") != "Vacant", F.lit(True))
+    used = F.col("category") != "Vacant"
     trips = half_even(
         F.lit(params.trips_per_1000_sq_ft) * F.lit(0.001) * F.col("floor_sq_ft"), -3
     )
@@ -146,7 +146,7 @@ def impact_summary(parcels: DataFrame, params: Params = Params()) -> DataFrame:
         .withColumn("jobs", F.when(used, half_even(F.lit(params.jobs_per_acre) * F.col("acreage"), 0)))
     )
     rank = first_match([(F.col("category") == "Existing", 1), (F.col("category") == "Vacant", 2)], default=0)
-    return rows.orderBy(rank, F.col("category").asc_nulls_last())
+    return rows.orderBy(rank, "category")
 
 
 def answer(serving: DataFrame, params: Params, districts: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
-"""GeoJSON as line tables: one feature per line, read and written in parallel.
+"""GeoJSON as tables, read and written in parallel, with every feature or an error.
 
 The usual writers put each feature of a collection on its own line, so a file of any size
-splits by lines like plain text; newline-delimited features read the same way. Only a
-collection written as one long value needs ``layout="document"``, which takes one task per
-file.
+splits by lines like plain text; newline-delimited features read the same way, and so do
+several features on a line, a whole collection on a line, and features that share a line with
+the collection's head or tail. A file whose features spread over lines is cut as one document,
+which takes one task per file; ``layout="auto"`` finds out which files those are.
 """
 
 from __future__ import annotations
@@ -55,19 +56,70 @@ def geometry_to_json(g: Column) -> Column:
     )
 
 
-def parse_features(lines: DataFrame, schema: str | T.StructType, column: str = "value") -> DataFrame:
-    """Feature lines to attribute columns plus ``geometry``; lines without a feature are skipped."""
-    text = F.regexp_replace(F.col(column), r",\s*$", "")
-    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    feature = lines.select(text.alias("_feature")).where(
-        F.get_json_object("_feature", "$.type") == "Feature"
+#: What opens a feature, wherever its line ends.
+_OPENED = r'"type"\s*:\s*"Feature"'
+
+
+def _feature_array(text: str) -> str:
+    """SQL: the features of a comma-separated list of them; NULL if it is not wholly one."""
+    parsed = f"from_json(concat('[', {text}, ']'), 'array<string>')"
+    return geo.let(
+        parsed,
+        lambda a: f"CASE WHEN size({a}) > 0 AND forall({a}, f -> coalesce(get_json_object(f, '$.type') = 'Feature', false)) THEN {a} END",
     )
-    return feature.select(
+
+
+def _line_features(line: str) -> str:
+    """SQL: the features of one line, NULL if it holds none or only a part of one.
+
+    Tried as it is, as a whole collection, and without the collection's head and tail.
+    """
+    bare = rf"regexp_replace(trim({line}), r',\s*$', '')"
+    headless = rf"""regexp_replace({bare}, r'^\s*[{{].*?"features"\s*:\s*\[', '')"""
+    tailless = rf"regexp_replace({headless}, r'\]\s*(,[^\[\]]*)?[}}]\s*$', '')"
+    whole = f"CASE WHEN get_json_object({bare}, '$.type') = 'FeatureCollection' THEN from_json(get_json_object({bare}, '$.features'), 'array<string>') END"
+    tries = ", ".join([whole, *(_feature_array(t) for t in (bare, headless, tailless))])
+    return f"CASE WHEN {line} IS NOT NULL THEN coalesce({tries}) END"
+
+
+def _document_features(text: str) -> str:
+    """SQL: the features of a whole file; an error if fewer than were opened could be read."""
+    found = f"""CASE get_json_object({text}, '$.type') WHEN 'Feature' THEN array({text})
+      ELSE from_json(get_json_object({text}, '$.features'), 'array<string>') END"""
+    return geo.let(
+        found,
+        lambda a: f"CASE WHEN coalesce(size({a}), 0) < regexp_count({text}, r'{_OPENED}')"
+        f" THEN raise_error('a GeoJSON file holds features that could not be read') ELSE {a} END",
+    )
+
+
+def _opened_only(line: str) -> str:
+    """SQL: whether a line opens a feature but does not hold whole ones."""
+    return f"({line} RLIKE r'{_OPENED}' AND {_line_features(line)} IS NULL)"
+
+
+def _parsed(features: DataFrame, schema: str | T.StructType) -> DataFrame:
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    return features.select(
         F.from_json(F.get_json_object("_feature", "$.properties"), fields).alias("_p"),
         F.expr(geometry_from_json("get_json_object(_feature, '$.geometry')")).alias("geometry"),
     ).select("_p.*", "geometry")
 
 
+def parse_features(lines: DataFrame, schema: str | T.StructType, column: str = "value") -> DataFrame:
+    """Feature lines to attribute columns plus ``geometry``.
+
+    Lines that open no feature are skipped; a line that opens one and does not close it is an
+    error, since its feature would be lost.
+    """
+    found = geo.let(
+        _line_features(f"`{column}`"),
+        lambda a: f"CASE WHEN {a} IS NULL AND `{column}` RLIKE r'{_OPENED}'"
+        f" THEN raise_error('a GeoJSON feature spreads over lines: read it with layout auto or document') ELSE {a} END",
+    )
+    return _parsed(lines.select(F.explode(F.expr(found)).alias("_feature")), schema)
+
+
 def feature_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Rows to feature lines in one column ``value``."""
     names = [c for c in df.columns if c != geometry]
@@ -80,17 +132,34 @@ def feature_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     )
 
 
+def _documents(spark: SparkSession, paths: str | list[str], schema: str | T.StructType) -> DataFrame:
+    document = spark.read.text(paths, wholetext=True)
+    return _parsed(document.select(F.explode(F.expr(_document_features("value"))).alias("_feature")), schema)
+
+
 def read_geojson(
     spark: SparkSession, path: str, schema: str | T.StructType, layout: str = "lines"
 ) -> DataFrame:
-    """GeoJSON files to a table; ``schema`` names the attributes to keep."""
+    """GeoJSON files to a table; ``schema`` names the attributes to keep.
+
+    ``lines`` refuses features that spread over lines, ``document`` reads every file as one
+    value, and ``auto`` looks once through the lines for files that need that (the names of
+    those files come to the driver).
+    """
+    if layout == "document":
+        return _documents(spark, path, schema)
+    if layout not in ("lines", "auto"):
+        raise ValueError("layout is 'lines', 'document' or 'auto'")
+    lines = spark.read.text(path)
     if layout == "lines":
-        return parse_features(spark.read.text(path), schema)
-    if layout != "document":
-        raise ValueError("layout is 'lines' or 'document'")
-    document = spark.read.text(path, wholetext=True)
-    features = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-    return parse_features(document.select(F.explode(features).alias("value")), schema)
+        return parse_features(lines, schema)
+    name = F.col("_metadata.file_path")
+    spread = lines.where(F.expr(_opened_only("value"))).select(name.alias("name")).distinct()
+    names = [r["name"] for r in spread.collect()]
+    if not names:
+        return parse_features(lines, schema)
+    rest = parse_features(lines.where(~name.isin(names)).select("value"), schema)
+    return rest.unionByName(_documents(spark, names, schema))
 
 
 def write_geojson(df: DataFrame, path: str) -> None:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.semantics import clean_names, snake_case
+from .geojson import geometry_from_json
 
 
 # ------------------------------------------------------------------------ WKT
@@ -46,37 +47,68 @@ def geometry_from_wkt(text: str) -> str:
     )
 
 
-def read_layer(spark: SparkSession, path: str, wkt_column: str = "wkt") -> DataFrame:
-    """A vector layer exported to Parquet with a WKT column; the column becomes ``geometry``."""
+def read_layer(
+    spark: SparkSession, path: str, column: str = "wkt", encoding: str = "wkt", unreadable: str = "error"
+) -> DataFrame:
+    """A vector layer exported to Parquet with a text column of shapes, which becomes ``geometry``.
+
+    ``encoding`` is wkt or geojson. A shape of another kind than point, polygon and multipolygon
+    is an error, or NULL with ``unreadable="null"``.
+    """
     layer = spark.read.parquet(path)
-    return layer.withColumn("geometry", F.expr(geometry_from_wkt(f"`{wkt_column}`"))).drop(wkt_column)
+    parse = {"wkt": geometry_from_wkt, "geojson": geometry_from_json}[encoding]
+    shape = F.expr(parse(f"`{column}`"))
+    if unreadable == "error":
+        text = F.substring(F.col(column), 1, 60)
+        lost = F.raise_error(F.concat(F.lit("a shape could not be read: "), text)).cast(layer.select(shape.alias("g")).schema["g"].dataType)
+        shape = F.when(F.col(column).isNotNull() & shape.isNull(), lost).otherwise(shape)
+    return layer.withColumn("geometry", shape).drop(column)
 
 
 # ------------------------------------------------------------------------ CSV
 
-def parse_csv_lines(lines: DataFrame, header: str, drop: Sequence[str] = (), types: Mapping[str, str] | None = None) -> DataFrame:
-    """Text lines under a known header line to snake-cased columns.
+def parse_csv_lines(lines: DataFrame, header: str, types: Mapping[str, str] | None = None) -> DataFrame:
+    """Text lines of CSV to the snake-cased columns that ``header`` names; blank lines are skipped.
 
-    ``drop`` lists preamble lines; they and the header are removed by value, so the files
-    still split. Columns are double unless ``types`` says otherwise.
+    Columns are double unless ``types`` says otherwise.
     """
     types = dict(types or {})
-    names = [snake_case(h.strip().strip('"')) for h in header.split(",")]
+    names = [snake_case(h.strip()) for h in next(csv.reader([header]))]
     schema = ", ".join(f"`{n}` {types.get(n, 'double')}" for n in names)
-    body = lines.where(~F.col("value").isin([header, *drop]) & (F.length(F.trim("value")) > 0))
+    body = lines.where(F.length(F.trim("value")) > 0)
     return body.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): line counts from 0 in the first block of each file and is NULL in later ones.
+
+    Lines of a block are read in order by one task, so a running id minus that of the file's first
+    line is the line's number, and the files still split.
+    """
+    held = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    first = held.where("start = 0").groupBy("file").agg(F.min("id").alias("first"))
+    return held.join(first, "file").select("file", F.expr("CASE WHEN start = 0 THEN id - first END").alias("line"), "value")
+
+
 def read_csv_skip(
     spark: SparkSession, path: str, skip: int, types: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """CSV files whose first ``skip`` lines are a preamble, then one header line.
+    """CSV files that each begin with ``skip`` lines of preamble and one header line.
 
-    Only the first ``skip + 1`` lines are looked at on the driver.
+    Lines are dropped by their position in their own file, never by what they say. Files with
+    different headers are an error; only distinct headers come to the driver.
     """
-    lines = spark.read.text(path)
-    first = [r.value for r in lines.limit(skip + 1).collect()]
-    return parse_csv_lines(lines, first[skip], first[:skip], types)
+    lines = numbered_lines(spark, path)
+    headers = [r.value for r in lines.where(F.col("line") == skip).select("value").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError(f"the files under {path} do not share one header: {headers}")
+    body = lines.where(F.col("line").isNull() | (F.col("line") > skip))
+    return parse_csv_lines(body, headers[0], types)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -150,8 +182,3 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
         path = f"{scratch_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def union_layers(layers: Sequence[DataFrame]) -> DataFrame:
-    """Layers with equal column names to one table."""
-    return reduce(DataFrame.unionByName, layers)

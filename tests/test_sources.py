@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as geo
@@ -73,3 +74,60 @@ def test_materialise_uses_the_shared_folder(spark):
     assert out.count() == 5
     if spark.conf.get("spark.checkpoint.dir", None):
         assert folder in out.inputFiles()[0]
+
+
+FEATURES = [
+    '{"type":"Feature","properties":{"apn":"%d","note":"] } , {"},"geometry":{"type":"Point","coordinates":[%d,2]}}' % (i, i)
+    for i in range(3)
+]
+
+
+def _layouts():
+    one, two, three = FEATURES
+    head, tail = '{"type":"FeatureCollection","name":"a","features":[', "]}"
+    spread = ",\n".join(f.replace(',"geometry"', ',\n"geometry"').replace('"type":"Feature",', '\n "type": "Feature",\n') for f in FEATURES)
+    return {
+        "one_line": f"{head}{one},{two},{three}{tail}",
+        "first_on_head": f"{head}{one},\n{two},\n{three}{tail}",
+        "two_on_a_line": f"{head}\n{one},{two},\n{three}\n{tail}",
+        "one_spread_feature": f"{head}{spread}{tail}",
+    }
+
+
+def test_geojson_layouts_lose_nothing(spark, tmp_path):
+    for name, text in _layouts().items():
+        path = tmp_path / f"{name}.geojson"
+        path.write_text(text)
+        for layout in ("auto", "document") + (("lines",) if name != "one_spread_feature" else ()):
+            rows = geojson.read_geojson(spark, str(path), "apn string", layout).collect()
+            assert sorted(r.apn for r in rows) == ["0", "1", "2"], (name, layout)
+    assert geojson.read_geojson(spark, str(tmp_path), "apn string", "auto").count() == 12
+
+
+def test_geojson_refuses_what_it_cannot_read(spark, tmp_path):
+    path = tmp_path / "spread.geojson"
+    path.write_text(_layouts()["one_spread_feature"])
+    with pytest.raises(Exception, match="spreads over lines"):
+        geojson.read_geojson(spark, str(path), "apn string").count()
+    (tmp_path / "cut.geojson").write_text(_layouts()["one_spread_feature"][:-20])
+    with pytest.raises(Exception, match="could not be read"):
+        geojson.read_geojson(spark, str(tmp_path / "cut.geojson"), "apn string", "document").collect()
+
+
+def test_csv_preamble_is_dropped_by_position_in_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Model: A\nMDV,1,2\n"Vehicle, Category",Trips,VMT\nMDV,1,2\nT7,3,4\n')
+    (tmp_path / "b.csv").write_text('Model: B longer preamble\nT7,3,4\n"Vehicle, Category",Trips,VMT\nModel: A,5,6\n')
+    df = tables.read_csv_skip(spark, str(tmp_path), 2, {"vehicle_category": "string"})
+    assert df.columns == ["vehicle_category", "trips", "vmt"]
+    assert sorted(map(tuple, df.collect())) == [("MDV", 1.0, 2.0), ("Model: A", 5.0, 6.0), ("T7", 3.0, 4.0)]
+    (tmp_path / "c.csv").write_text("x\ny\nOther,Header,Here\n1,2,3\n")
+    with pytest.raises(ValueError, match="share one header"):
+        tables.read_csv_skip(spark, str(tmp_path), 2)
+
+
+def test_layer_of_other_shapes_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    spark.createDataFrame([("POINT (1 2)",), ("LINESTRING (0 0, 1 1)",), (None,)], "wkt string").write.parquet(path)
+    with pytest.raises(Exception, match="could not be read"):
+        tables.read_layer(spark, path).collect()
+    assert tables.read_layer(spark, path, unreadable="null").where("geometry IS NULL").count() == 2
