@@ -148,14 +148,14 @@ FROM projects_fx WHERE county IN ('Los Angeles','Orange','Riverside','San Bernar
 
 TABLES["geocoded_fx"] = """
 SELECT c_custkey AS id, c_name AS company, CAST(c_custkey AS VARCHAR)||' Main St' AS address, c_mktsegment AS city, 90000+c_custkey%700 AS zip,
-  33.4e0+((c_custkey*10*104729)%100000)/1e5*1.6e0+1e-4 AS lat, -119e0+((c_custkey*10*7919)%100000)/1e5*4e0+2e-4 AS long,
+  33.4e0+((c_custkey*10*104729)%100000)/1e5*1.6e0+CASE WHEN c_custkey%5=0 THEN (100+c_custkey*10%900)/728000e0+((c_custkey%10)*30+7)/364000e0 ELSE 0e0 END AS lat, -119e0+((c_custkey*10*7919)%100000)/1e5*4e0+(100+c_custkey*10%900)/604000e0+((c_custkey%18)*25-12)/302000e0 AS long,
   (c_custkey%100)/1e2 AS accuracy, CASE WHEN c_custkey%3=0 THEN 'rooftop' ELSE 'range' END AS accuracy_type FROM customer"""
 
 TABLES["notices_fx"] = """
 SELECT c_name AS company, CAST(c_custkey AS VARCHAR)||' Main St' AS address, c_mktsegment AS city,
   CASE WHEN c_custkey%41=0 THEN 0 ELSE 90000+c_custkey%700 END AS zip,
-  CASE WHEN c_custkey%7=0 THEN 33.4e0+((c_custkey*10*104729)%100000)/1e5*1.6e0+1e-4 END AS lat,
-  CASE WHEN c_custkey%7=0 THEN -119e0+((c_custkey*10*7919)%100000)/1e5*4e0+2e-4 END AS lng
+  CASE WHEN c_custkey%7=0 THEN 33.4e0+((c_custkey*10*104729)%100000)/1e5*1.6e0+CASE WHEN c_custkey%5=0 THEN (100+c_custkey*10%900)/728000e0+((c_custkey%10)*30+7)/364000e0 ELSE 0e0 END END AS lat,
+  CASE WHEN c_custkey%7=0 THEN -119e0+((c_custkey*10*7919)%100000)/1e5*4e0+(100+c_custkey*10%900)/604000e0+((c_custkey%18)*25-12)/302000e0 END AS lng
 FROM customer, (VALUES (1),(2)) v(copy) WHERE copy=1 OR c_custkey%5=0"""
 
 TABLES["notice_points_fx"] = """

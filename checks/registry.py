@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as geo
 from parcelgrid.functions import projection
-from parcelgrid.functions.semantics import clean_names, half_even
+from parcelgrid.functions.semantics import clean_names, half_even, parse_date, year_of
 from parcelgrid.operators import relational as rel
 from parcelgrid.operators import spatial as sp
 from parcelgrid.plans import addresses, compliance, emissions, impact, parcels, places, planned
@@ -250,6 +250,18 @@ def flag_notices_metres(spark, d):
     return compliance.flag_notices(fx.serving(spark, d), points, radius=250.0, unit="m").select("apn", "shape_area")
 
 
+@register("flag_notices_touching", _near_sql("0e0"))
+def flag_notices_touching(spark, d):
+    points = compliance.notice_points(fx.notices(spark, d), fx.geocoded(spark, d))
+    return compliance.flag_notices(fx.serving(spark, d), points, radius=0.0).select("apn", "shape_area")
+
+
+@register("flag_notices_70m", _near_sql("(70e0*3937e0/1200e0)"))
+def flag_notices_70m(spark, d):
+    points = compliance.notice_points(fx.notices(spark, d), fx.geocoded(spark, d))
+    return compliance.flag_notices(fx.serving(spark, d), points, radius=70.0, unit="m").select("apn", "shape_area")
+
+
 # ------------------------------------------------------------------ emissions
 
 _LONG_SQL = """SELECT vehicle_category, calendar_year, fuel, trips, total_vmt, emissions_type, tons_day FROM emis_fx
@@ -489,12 +501,14 @@ def _plane_area_sql() -> str:
 
 @register(
     "attach_points",
-    f"""SELECT g.address, g.zip, p.apn, round(p.size,0) AS size FROM (SELECT * FROM geocoded_fx WHERE accuracy_type='rooftop') g
+    f"""SELECT g.address, g.zip, p.apn, round(p.size,0) AS size FROM (SELECT * FROM geocoded_fx WHERE accuracy_type='rooftop' AND address<>'3 Main St') g
 LEFT JOIN (SELECT * FROM ({_plane_area_sql()}) a WHERE size>100000) p ON g.long BETWEEN p.xmin AND p.xmax AND g.lat BETWEEN p.ymin AND p.ymax""",
 )
 def attach_points(spark, d):
     stored = fx.parcels(spark, d).select("apn", F.expr(_box_in_plane()).alias("geometry"))
-    out = parcels.attach_points(stored, fx.geocoded(spark, d), projection.state_plane_inverse)
+    out = parcels.attach_points(
+        stored, fx.geocoded(spark, d), projection.state_plane_inverse, excluded=("3 Main St",)
+    )
     return out.select("address", "zip", "apn", F.round("size", 0).alias("size"))
 
 
@@ -1070,6 +1084,88 @@ def serving_snapshot(spark, d):
     return _bounds(boxed, "apn")
 
 
+@register("row_ids", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS row_id FROM lineitem")
+def row_ids(spark, d):
+    return rel.row_ids(fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
+@register(
+    "parse_dates",
+    """SELECT o_orderkey, CASE WHEN o_orderkey%11=0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS received,
+  CASE WHEN o_orderkey%11=0 THEN NULL ELSE CAST(year(CAST(o_orderdate AS DATE)) AS DOUBLE) END AS year_built FROM orders""",
+)
+def parse_dates(spark, d):
+    """Month/day/year text without leading zeros, and some text that is no date."""
+    text = "CASE WHEN o_orderkey % 11 = 0 THEN '13/45/x' ELSE date_format(o_orderdate, ' M/d/yyyy ') END"
+    dates = fx.table(spark, d, "orders").select("o_orderkey", parse_date(F.expr(text)).alias("received"))
+    return dates.withColumn("year_built", year_of(F.col("received")))
+
+
+@register(
+    "quarantine",
+    """SELECT apn, CASE WHEN id%11=0 THEN 'missing' WHEN id%7=0 THEN 'open ring' WHEN id%5=0 THEN 'no area' END AS reason FROM parcels_fx""",
+)
+def quarantine(spark, d):
+    """Good rows and, with the reason, the others: shapes missing, left open and flat."""
+    flat = geo.box("xmin", "ymin", "xmax", "ymin")
+    opened = geo.ring_polygon(f"slice({geo.vertices('geometry')}, 1, 4)")
+    shape = f"CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN {opened} WHEN id % 5 = 0 THEN {flat} ELSE geometry END"
+    good, bad = sp.split_valid(fx.parcels(spark, d).select("apn", F.expr(shape).alias("geometry")))
+    return good.select("apn", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("apn", "reason"))
+
+
+@register(
+    "point_discs",
+    "SELECT company, 121 AS n_vertices, round(cos(pi()/120),3) AS narrowest FROM (SELECT c_name AS company, 500e0 AS radius FROM customer) q",
+)
+def point_discs(spark, d):
+    """Circles around notices as drawn polygons: closed, and flat edges at cos(pi / edges) of the radius."""
+    shapes = fx.geocoded(spark, d).select("company", "long", "lat", F.expr(geo.disc("`long`", "lat", "500D")).alias("g"))
+    x0, y0 = projection.mercator("`long`", "lat")
+    mid = geo.each(
+        geo.edges("g"),
+        lambda e: "sqrt(pow(({0}) - ({2}), 2) + pow(({1}) - ({3}), 2))".format(
+            *[f"({projection.mercator(f'{e}.ax', f'{e}.ay')[k]} + {projection.mercator(f'{e}.bx', f'{e}.by')[k]}) / 2" for k in (0, 1)], x0, y0
+        ),
+    )
+    return shapes.select(
+        "company", F.size(F.expr(geo.vertices("g"))).alias("n_vertices"), F.round(F.array_min(F.expr(mid)) / 500, 3).alias("narrowest")
+    )
+
+
+@register(
+    "page_lines",
+    """SELECT c_custkey AS page, unnest([1,2,3]) AS line_no, unnest([c_name, '', c_mktsegment]) AS line FROM customer""",
+)
+def page_lines(spark, d):
+    pages = fx.table(spark, d, "customer").selectExpr("c_custkey AS page", "concat(c_name, '\n\n', c_mktsegment) AS text")
+    return addresses.page_lines(pages)
+
+
+@register(
+    "external_without_year",
+    """SELECT substring(k,1,4)||'-'||substring(k,5,3)||'-'||substring(k,8,2)||'-0000' AS apn_formatted, y AS year_built FROM (
+  SELECT lpad(CAST(l_orderkey AS VARCHAR),9,'0') AS k, CASE WHEN l_linenumber%3=0 THEN NULL WHEN l_linenumber%3=1 THEN 0
+    ELSE CAST(1840+l_suppkey%180 AS INT) END AS y FROM lineitem) q WHERE y IS NULL OR y=0""",
+)
+def external_without_year(spark, d):
+    return parcels.without_year(fx.external_years(spark, d))
+
+
+@register("count_rows", "SELECT count(*) AS n FROM serving_fx")
+def count_rows(spark, d):
+    return fx.serving(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "place_choices",
+    "SELECT place_name FROM (SELECT DISTINCT coalesce(place_name,'unincorporated') AS place_name FROM serving_fx) q ORDER BY place_name='unincorporated', place_name",
+)
+def place_choices(spark, d):
+    named = fx.serving(spark, d).withColumn("place_name", F.coalesce("place_name", F.lit("unincorporated")))
+    return impact.place_choices(named)
+
+
 @register("clean_names", "SELECT o_orderkey, o_orderstatus, o_totalprice AS n_ox_totex FROM orders")
 def clean_names_query(spark, d):
     raw = fx.table(spark, d, "orders").selectExpr("o_orderkey AS `O OrderKey`", "o_orderstatus AS `O_OrderStatus`", "o_totalprice AS `NOx_TOTEX`")

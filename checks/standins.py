@@ -170,6 +170,18 @@ def projects(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("geometry", _rect())
 
 
+#: Beside the right edge of a parcel, from 12 feet inside to 400 feet outside; every fifth also
+#: above the upper edge, so that the corner is nearest.
+_NOTICE_LNG = (
+    "-119e0 + ((c_custkey * 10 * 7919) % 100000) / 1e5 * 4e0"
+    " + (100 + c_custkey * 10 % 900) / 604000e0 + ((c_custkey % 18) * 25 - 12) / 302000e0"
+)
+_NOTICE_LAT = (
+    "33.4e0 + ((c_custkey * 10 * 104729) % 100000) / 1e5 * 1.6e0"
+    " + CASE WHEN c_custkey % 5 = 0 THEN (100 + c_custkey * 10 % 900) / 728000e0 + ((c_custkey % 10) * 30 + 7) / 364000e0 ELSE 0e0 END"
+)
+
+
 def geocoded(spark: SparkSession, d: str) -> DataFrame:
     """Every notice address with the geocoder's answer."""
     return table(spark, d, "customer").selectExpr(
@@ -177,8 +189,8 @@ def geocoded(spark: SparkSession, d: str) -> DataFrame:
         "concat(CAST(c_custkey AS STRING), ' Main St') AS address",
         "c_mktsegment AS city",
         "90000 + c_custkey % 700 AS zip",
-        "33.4e0 + ((c_custkey * 10 * 104729) % 100000) / 1e5 * 1.6e0 + 1e-4 AS lat",
-        "-119e0 + ((c_custkey * 10 * 7919) % 100000) / 1e5 * 4e0 + 2e-4 AS long",
+        f"{_NOTICE_LAT} AS lat",
+        f"{_NOTICE_LNG} AS long",
         "(c_custkey % 100) / 1e2 AS accuracy",
         "CASE WHEN c_custkey % 3 = 0 THEN 'rooftop' ELSE 'range' END AS accuracy_type",
     )
@@ -191,8 +203,8 @@ def notices(spark: SparkSession, d: str) -> DataFrame:
         "concat(CAST(c_custkey AS STRING), ' Main St') AS address",
         "c_mktsegment AS city",
         "CASE WHEN c_custkey % 41 = 0 THEN 0 ELSE 90000 + c_custkey % 700 END AS zip",
-        "CASE WHEN c_custkey % 7 = 0 THEN 33.4e0 + ((c_custkey * 10 * 104729) % 100000) / 1e5 * 1.6e0 + 1e-4 END AS lat",
-        "CASE WHEN c_custkey % 7 = 0 THEN -119e0 + ((c_custkey * 10 * 7919) % 100000) / 1e5 * 4e0 + 2e-4 END AS lng",
+        f"CASE WHEN c_custkey % 7 = 0 THEN {_NOTICE_LAT} END AS lat",
+        f"CASE WHEN c_custkey % 7 = 0 THEN {_NOTICE_LNG} END AS lng",
         "explode(CASE WHEN c_custkey % 5 = 0 THEN array(1, 2) ELSE array(1) END) AS copy",
     )
     return rows.drop("copy")

@@ -231,6 +231,25 @@ def is_valid(g: str) -> str:
     return f"coalesce({let(g, check)}, false)"
 
 
+def invalid_reason(g: str) -> str:
+    """Why a geometry is not valid, NULL if it is."""
+    def reason(v: str) -> str:
+        rings = f"flatten({v}.rings)"
+        r = _name()
+        return (
+            f"CASE WHEN {v} IS NULL THEN 'missing'"
+            f" WHEN {is_valid(v)} THEN NULL"
+            f" WHEN {v}.kind = 'point' THEN 'not finite'"
+            f" WHEN coalesce(size({rings}), 0) <= 0 THEN 'no ring'"
+            f" WHEN exists({rings}, {r} -> {r}[0] <> element_at({r}, -1)) THEN 'open ring'"
+            f" WHEN exists({rings}, {r} -> size({r}) < 4) THEN 'too few vertices'"
+            f" WHEN exists({rings}, {r} -> exists({r}, w -> NOT coalesce(abs(w.x) < double('Infinity') AND abs(w.y) < double('Infinity'), false))) THEN 'not finite'"
+            f" ELSE 'no area' END"
+        )
+
+    return let(g, reason)
+
+
 # ------------------------------------------------------------------- canonical
 
 def _canonical_ring(ring: str) -> str:

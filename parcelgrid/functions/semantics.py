@@ -88,6 +88,15 @@ def replace_first(text: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(text, f"(?s)^(.*?){re.escape(pattern)}", "$1" + quoted)
 
 
+def parse_date(text: Column, pattern: str = "M/d/yyyy") -> Column:
+    """Month/day/year text to a date; NULL where it is none."""
+    return F.try_to_timestamp(F.trim(text), F.lit(pattern)).cast("date")
+
+
+def year_of(date: Column) -> Column:
+    return F.year(date).cast("double")
+
+
 def squish(text: Column) -> Column:
     """Trim, and collapse inner white space to one blank."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

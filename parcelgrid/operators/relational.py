@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
+
 
 def not_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows whose value is not listed; a missing value is kept. ``ids`` has one column."""
@@ -51,6 +53,30 @@ def natural_join(
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """A dense row number from 1 in the order of ``order``; ties in the order of a hash of the row.
+
+    Rows are range-partitioned and sorted, each task numbers its own, and the counts of the
+    tasks before (one small row for each task) are added. No task sees more than its range.
+    """
+    keys = [F.col(c) for c in order]
+    tie = F.xxhash64(*df.columns).alias("_tie")
+    dealt = df.select("*", tie).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie")
+    numbered = materialise(
+        dealt.drop("_tie").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    )
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = numbered.join(F.broadcast(starts), "_part")  # as many rows as tasks wrote
+    return out.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
+def hash_ids(df: DataFrame, by: Sequence[str], name: str = "row_id") -> DataFrame:
+    """An id that depends on the given columns only, so it stays when other rows come or go."""
+    return df.withColumn(name, F.xxhash64(*by))
+
+
 def bind_rows(*tables: DataFrame) -> DataFrame:
     """Union all by name; a column a table lacks is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions import projection
 from ..functions.units import US_FT_PER_M
+from ..sources.tables import materialise
 from .relational import natural_join
 
 LEVELS = 12          # cell sizes cell * 4**k; the level after the last is one cell for everything
-_BROADCAST_BYTES = 64 * 1024 * 1024
+_BROADCAST_BYTES = 16 * 1024 * 1024  # of Parquet, which unfolds to a few times that
 
 
 @dataclass(frozen=True)
@@ -185,48 +186,16 @@ def _settle_cells(cells: DataFrame, cell: float, reach: int) -> DataFrame:
 
 # ---------------------------------------------------------- broadcast decision
 
-def _plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's own size estimate, where the session exposes its plans."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
+def _boundary_cells(cells: DataFrame) -> DataFrame:
+    """The cells of a boundary table, written once and broadcast if what was written is small.
 
-
-def _session_threshold(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    for unit, factor in (("kb", 2**10), ("mb", 2**20), ("gb", 2**30), ("b", 1)):
-        if text.endswith(unit):
-            return int(text[: -len(unit)]) * factor
-    return int(text)
-
-
-def _sized_hint(
-    index: DataFrame, cells: DataFrame, geometry: str, cell: float, pad: Column, edges: bool, levels: int
-) -> DataFrame:
-    """Broadcast the indexed side only after measuring what it grows to.
-
-    The optimizer's estimate does not know how far the cells multiply a row. If it is above
-    the session's threshold already, Spark will not broadcast and nothing is measured. Else one
-    aggregate over the indexed boxes tells the true size, and beyond the bound the join is
-    told to sort and merge.
+    The written columns hold everything the join carries, segments and own columns included, so
+    their size is the true one; above the bound the planner chooses. Boundaries are prepared
+    once and not again for every task or every use.
     """
-    threshold = _session_threshold(index)
-    estimate = _plan_bytes(index)
-    if threshold < 0 or (estimate is not None and estimate > threshold):
-        return cells
-    slim = _boxed(index.withColumn("_pad", pad).select(geometry, "_pad"), geometry, "_i_")
-    span_x = F.floor((F.col("_i_xmax") - F.col("_i_xmin") + F.col("_pad") * 2) / cell) + 3
-    span_y = F.floor((F.col("_i_ymax") - F.col("_i_ymin") + F.col("_pad") * 2) / cell) + 3
-    cells_bytes = F.sum((span_x * span_y + 9 * levels) * 400.0)
-    edge_bytes = F.lit(0.0)
-    if edges:
-        vertices = F.expr(f"coalesce(size({geo.vertices(geometry)}), 0)")
-        edge_bytes = F.sum((span_x + 3 * levels) * vertices * 3 * 48.0)
-    measured = slim.agg((cells_bytes + edge_bytes).alias("size")).first()[0] or 0.0
-    if measured <= max(threshold, _BROADCAST_BYTES):
-        return F.broadcast(cells)
-    return cells.hint("merge")
+    written = materialise(cells)
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(written) if size <= _BROADCAST_BYTES else written
 
 
 # ---------------------------------------------------------------- the core join
@@ -245,12 +214,17 @@ def grid_join(
     index_edges: bool = True,
     driver_edges: bool = True,
     keep_index_geometry: bool = False,
+    boundary: bool = False,
 ) -> DataFrame:
     """Join rows whose boxes (the indexed one padded) overlap and that pass ``test``.
 
     ``how`` is inner, left, left_semi or left_anti, seen from the driving side. Columns of the
     indexed side whose name is taken get the suffix ``_right``. ``cell`` is the smallest cell
     size in coordinate units: near the usual size of the larger side's boxes is right.
+
+    ``boundary`` says that the indexed side is a table of boundaries (counties, places): it is
+    written while the query is built, and broadcast if that proves small. Without it no job
+    runs until the result is asked for and the planner chooses from what it knows by then.
     """
     pad = pad if isinstance(pad, Column) else F.lit(float(pad))
     reach = 0 if driver_points else 1
@@ -285,9 +259,8 @@ def grid_join(
         cells = _settle_cells(cells, cell, reach)
         kept += [F.col("_i_near"), F.col("_i_in")]
     right = cells.select("_i_cell", "_i_pad", *[f"_i_{n}" for n in geo.BOX], *kept)
-    right = _sized_hint(
-        index, right, index_geometry, cell, pad, index_edges, 0 if driver_points else LEVELS
-    )
+    if boundary:
+        right = _boundary_cells(right)
 
     condition = (
         "_d_k = _i_cell.k AND _d_cx = _i_cell.cx AND _d_cy = _i_cell.cy"
@@ -348,6 +321,7 @@ def spatial_join(
     keep_right_geometry: bool = False,
     left_geometry: str = "geometry",
     right_geometry: str = "geometry",
+    boundary: bool = False,
 ) -> DataFrame:
     """``left <predicate> right`` for intersects, contains or within; many matches, many rows.
 
@@ -365,6 +339,7 @@ def spatial_join(
         driver_points=left_points,
         index_edges=not right_points,
         keep_index_geometry=keep_right_geometry,
+        boundary=boundary,
     )
 
 
@@ -392,6 +367,7 @@ def container_join(
         "inner",
         cell=cell,
         driver_points=member_points,
+        boundary=True,
     )
     # containers' own columns first, members' clashing ones with the suffix
     taken = [c for c in containers.columns if c != "geometry"]
@@ -408,7 +384,7 @@ def container_join(
 
 
 def spatial_semi(left: DataFrame, right: DataFrame, predicate: str = "intersects", **options) -> DataFrame:
-    """Left rows that match any right row, each once. Copies on the right are reduced first."""
+    """Left rows that match any right row, each once."""
     return _existence(left, right, predicate, "left_semi", options)
 
 
@@ -418,7 +394,7 @@ def spatial_anti(left: DataFrame, right: DataFrame, predicate: str = "intersects
 
 
 def _existence(left, right, predicate, how, options) -> DataFrame:
-    shapes = right.select(options.get("right_geometry", "geometry")).distinct()
+    shapes = right.select(options.get("right_geometry", "geometry"))
     return spatial_join(left, shapes, predicate, how, **options)
 
 
@@ -446,7 +422,7 @@ def within_distance(
     a = in_state_plane(left)
     b = in_state_plane(right_points).drop("geometry")
     if how in ("left_semi", "left_anti"):
-        b = b.select("_plane").distinct()
+        b = b.select("_plane")
 
     def test(d: Side, i: Side) -> str:
         if left_points:
@@ -467,11 +443,12 @@ def points_near_polygons(
     how: str = "left_semi",
     *,
     cell_ft: float = 5000.0,
+    boundary: bool = False,
 ) -> DataFrame:
     """Points inside, or within ``margin`` of, any polygon (or, with left_anti, of none)."""
     feet = margin * _FEET[unit]
     a = in_state_plane(points)
-    b = in_state_plane(polygons).select("_plane").distinct()
+    b = in_state_plane(polygons).select("_plane")
     return grid_join(
         a,
         b,
@@ -482,6 +459,7 @@ def points_near_polygons(
         index_geometry="_plane",
         driver_points=True,
         pad=feet,
+        boundary=boundary,
     ).drop("_plane")
 
 
@@ -489,8 +467,8 @@ def region_difference(
     points: DataFrame, region: DataFrame, minus: DataFrame, margin: float, unit: str = "m", *, cell: float
 ) -> DataFrame:
     """Points in any polygon of ``region`` and farther than ``margin`` from all of ``minus``."""
-    inside = spatial_semi(points, region, cell=cell, left_points=True)
-    return points_near_polygons(inside, minus, margin, unit, "left_anti")
+    inside = spatial_semi(points, region, cell=cell, left_points=True, boundary=True)
+    return points_near_polygons(inside, minus, margin, unit, "left_anti", boundary=True)
 
 
 # ---------------------------------------------------------------------- circles
@@ -563,6 +541,12 @@ def in_circles(
 
 # -------------------------------------------------------------------- equality
 
+def split_valid(df: DataFrame, column: str = "geometry") -> tuple[DataFrame, DataFrame]:
+    """(rows with a valid geometry, the others with the reason), to put ahead of the jobs."""
+    checked = df.withColumn("reason", F.expr(geo.invalid_reason(f"`{column}`")))
+    return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
+
+
 def distinct_geometries(df: DataFrame, column: str = "geometry") -> DataFrame:
     """One row per polygon as a point set; the canonical geometry is its own identity."""
     return df.select(F.expr(geo.canonical(column)).alias(column)).distinct()

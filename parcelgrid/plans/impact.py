@@ -69,7 +69,7 @@ def filter_parcels(
         if districts is None:
             raise ValueError("choosing districts needs the district table")
         chosen = districts.where(F.col("district_label").isin(*params.districts))
-        rows = spatial_semi(rows, chosen, cell=cell)
+        rows = spatial_semi(rows, chosen, cell=cell, boundary=True)
     if params.circle is not None:
         rows = in_circle(rows, *params.circle, params.radius_km, params.circle_mode)
     return rows.withColumn("shape_area", half_even(F.col("shape_area"), 0))
@@ -102,6 +102,12 @@ def choice_list(table: DataFrame, column: str) -> DataFrame:
     return table.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def place_choices(table: DataFrame, column: str = "place_name", last: str = "unincorporated") -> DataFrame:
+    """Sorted distinct places, with the areas outside all of them at the end."""
+    rows = table.select(column).where(F.col(column).isNotNull()).distinct()
+    return rows.orderBy(F.col(column) == last, column)
+
+
 def impact_summary(parcels: DataFrame, params: Params = Params()) -> DataFrame:
     """Cumulative impact per category of a :func:`parcel_list`, a handful of rows.
 

@@ -22,7 +22,8 @@ from ..functions.semantics import (
 )
 from ..functions.units import SQ_FT_PER_M2
 from ..operators.relational import bind_rows, is_in, keep_first, not_in
-from ..operators.spatial import explode_parts, spatial_anti, spatial_join, spatial_semi
+from ..operators.spatial import container_join, explode_parts, spatial_anti, spatial_join
+from ..sources.tables import materialise
 
 MAYBE_WAREHOUSE_SQ_FT = 150_000   # minimum size of parcels not called a warehouse
 WAREHOUSE_FLOOR_SQ_FT = 28_000    # minimum floor space of a parcel that is kept
@@ -32,6 +33,9 @@ UNKNOWN_YEAR = 1910
 FIRST_SHOWN_YEAR = 1980
 MISSING_YEAR = 1776
 
+# Fixed value: an address whose parcel is not its own.
+EXCLUDED_ADDRESSES = ("1051S East St Anaheim, CA 92805",)
+
 # Words that select a use-code description, first match wins.
 DESCRIPTION_TYPES = (
     ("warehouse", "warehouse"),
@@ -210,6 +214,11 @@ def override_years(base: DataFrame, external: DataFrame) -> DataFrame:
     )
 
 
+def without_year(external: DataFrame) -> DataFrame:
+    """External rows to look up by hand: the year is missing or 0."""
+    return external.where(F.col("year_built").isNull() | (F.col("year_built") == 0))
+
+
 def append_site(parcels: DataFrame, site: DataFrame, constants: Mapping[str, object]) -> DataFrame:
     """One hand-drawn site (name, geometry) with constant attributes under the parcels."""
     row = site.select(
@@ -268,26 +277,38 @@ def keep_first_geometry(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def orphan_geometries(shapes: DataFrame, parcels: DataFrame, *, cell: float = 0.01) -> DataFrame:
     """Polygons (shape_id, geometry) that equal no parcel's polygon, with the parcels inside them."""
-    have = parcels.select(F.expr(geo.canonical("geometry"))["rings"].alias("_have")).distinct()
+    have = parcels.select(F.expr(geo.canonical("geometry"))["rings"].alias("_have"))
+    have = have.withColumn("_have_hash", F.xxhash64("_have"))
     keyed = shapes.withColumn("_shape", F.expr(geo.canonical("geometry"))["rings"])
-    orphans = keyed.join(have, keyed["_shape"] == have["_have"], "left_anti").drop("_shape")
-    return spatial_join(orphans, parcels, "contains", "left", cell=cell)
+    keyed = keyed.withColumn("_hash", F.xxhash64("_shape"))
+    same = (keyed["_hash"] == have["_have_hash"]) & (keyed["_shape"] == have["_have"])
+    orphans = materialise(keyed.join(have, same, "left_anti").drop("_shape", "_hash"))
+    return container_join(orphans, parcels, "contains", key="shape_id", cell=cell)
 
 
 # ------------------------------------------------------------- two-source counties
 
 def attach_points(
-    parcels_plane: DataFrame, points: DataFrame, to_lonlat, *, min_area: float = 100_000, cell: float = 0.02
+    parcels_plane: DataFrame,
+    points: DataFrame,
+    to_lonlat,
+    *,
+    excluded: Sequence[str] = EXCLUDED_ADDRESSES,
+    min_area: float = 100_000,
+    cell: float = 0.02,
 ) -> DataFrame:
     """Geocoded rooftop addresses with the large parcel around them (size, geometry).
 
     ``parcels_plane`` is stored in zone 6 feet: the area is planar, then ``to_lonlat`` maps the
-    kept polygons. Addresses in no large parcel come back with missing size and geometry.
+    kept polygons. Addresses in no large parcel come back with missing size and geometry; those
+    in ``excluded`` do not come back.
     """
     large = parcels_plane.withColumn("size", F.expr(geo.area_planar("geometry"))).where(
         F.col("size") > min_area
     ).withColumn("geometry", F.expr(geo.map_coordinates("geometry", to_lonlat)))
-    rooftop = points.where(F.col("accuracy_type") == "rooftop").withColumn(
+    rooftop = points.where(
+        (F.col("accuracy_type") == "rooftop") & ~F.col("address").isin(*excluded)
+    ).withColumn(
         "_at", F.expr(geo.point("`long`", "lat"))
     ).drop("lat", "long", "accuracy_type")
     return spatial_join(
@@ -307,10 +328,12 @@ def merge_sources(
     """All of ``first`` plus what of ``second`` touches none of it, with constant attributes.
 
     Both hold (apn, shape_area, geometry). Of ``first`` only the rows that touch ``second``
-    are made distinct. Both sides are type 'warehouse', so the size rule drops no row.
+    are made distinct; one written join tells which those are. Both sides are type 'warehouse', so the size rule drops no row.
     """
-    touching = spatial_semi(first, second, cell=cell).distinct()
-    alone = spatial_anti(first, second, cell=cell)
+    marks = second.select("geometry", F.lit(True).alias("_touches"))
+    found = materialise(spatial_join(first, marks, "intersects", "left", cell=cell))
+    touching = found.where(F.col("_touches")).drop("_touches").distinct()
+    alone = found.where(F.col("_touches").isNull()).drop("_touches")
     rest = spatial_anti(second, first, cell=cell)
     merged = bind_rows(touching, alone, rest).select("apn", "shape_area", "geometry")
     merged = with_cols(

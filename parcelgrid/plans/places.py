@@ -43,7 +43,7 @@ def select_counties(layer: DataFrame, names: Sequence[str] = COUNTIES) -> DataFr
 
 def build_jurisdictions(places: DataFrame, counties: DataFrame, *, cell: float = 0.25) -> DataFrame:
     """Places that touch a county, then the counties: (name, geometry)."""
-    touching = spatial_semi(places.select("name", "geometry"), counties, cell=cell)
+    touching = spatial_semi(places.select("name", "geometry"), counties, cell=cell, boundary=True)
     return bind_rows(touching, counties.select(F.col("county").alias("name"), "geometry"))
 
 
@@ -52,7 +52,7 @@ def build_districts(
 ) -> DataFrame:
     """Districts of both houses that touch a county: (district_label, geometry)."""
     def labelled(layer: DataFrame, prefix: str) -> DataFrame:
-        return spatial_semi(layer, counties, cell=cell).select(
+        return spatial_semi(layer, counties, cell=cell, boundary=True).select(
             F.concat(F.lit(f"{prefix} "), "name").alias("district_label"), "geometry"
         )
 
@@ -78,7 +78,7 @@ def build_places(
     place of several pieces is several rows with one name. ``carved`` marks rows whose
     membership leaves out the authority and a margin, see :func:`members_of_carved`.
     """
-    chosen = spatial_semi(cities, counties, cell=cell).where(F.col("lsad") == city_code)
+    chosen = spatial_semi(cities, counties, cell=cell, boundary=True).where(F.col("lsad") == city_code)
     chosen = keep_first_geometry(chosen.select("name", "lsad", "geometry"), ["name", "lsad"])
     pieces = authority.select(F.lit(authority_name).alias("name"), F.lit("JPA").alias("lsad"), "geometry")
     rest = unincorporated.where(

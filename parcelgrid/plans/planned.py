@@ -71,7 +71,10 @@ def polygon_only_pairs(parcels: DataFrame, planned: DataFrame, *, cell: float =
 
 
 def planned_not_built(parcels: DataFrame, planned: DataFrame, **options) -> DataFrame:
-    """Planned projects that match no built one on name, number and link."""
+    """Planned projects that match no built one on name, number and link.
+
+    Both pair searches are behind it: write it once where it is read more than once.
+    """
     return natural_join(planned, built_projects(parcels, planned, **options), "left_anti", on=_PROJECT_KEY)
 
 
@@ -132,11 +135,11 @@ def locate(
     centre = combined.withColumn("_at", F.expr(geo.centroid("geometry"))).drop("geometry", "county")
     in_county = spatial_join(
         centre, counties.select("county", "geometry"), "intersects", "left",
-        cell=county_cell, left_points=True, left_geometry="_at",
+        cell=county_cell, left_points=True, left_geometry="_at", boundary=True,
     )
     in_place = spatial_join(
         in_county, places.select(F.col("name").alias("place_name"), "geometry"), "intersects", "left",
-        cell=place_cell, left_points=True, left_geometry="_at",
+        cell=place_cell, left_points=True, left_geometry="_at", boundary=True,
     )
     return in_place.drop("_at").withColumn(
         "place_name", F.coalesce(F.col("place_name"), F.lit("unincorporated"))

@@ -148,3 +148,54 @@ def test_region_difference(spark):
     got = {r.id for r in sp.region_difference(points, region, minus, 100.0, cell=0.1).collect()}
     assert got == {1, 4}
     assert {r.id for r in sp.region_difference(points, region, minus, 10.0, cell=0.1).collect()} == {1, 3, 4}
+
+
+def _boundaries(spark):
+    rows = [("A County", 0.0, 0.0, 10.0, 10.0), ("B County", 10.0, 0.0, 20.0, 10.0)]
+    table = spark.createDataFrame(rows, "county string, x0 double, y0 double, x1 double, y1 double")
+    return table.select("county", F.expr(geo.box("x0", "y0", "x1", "y1")).alias("geometry"))
+
+
+def _jobs(spark, build):
+    """Result and number of Spark jobs while a query is built."""
+    group = f"build-{build.__name__}-{id(build)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = build()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_boundaries_are_broadcast(spark):
+    from parcelgrid.plans import planned
+
+    combined = spark.range(100).selectExpr("CAST(id AS STRING) AS apn", "'x' AS county", "id * 0.15D AS x").select(
+        "apn", "county", F.expr(geo.box("x", "x / 2", "x + 0.1D", "x / 2 + 0.1D")).alias("geometry")
+    )
+    counties = _boundaries(spark)
+    places = counties.select(F.col("county").alias("name"), "geometry")
+    plan = planned.locate(combined, counties, places)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_wide_boundaries_are_not_broadcast(spark, monkeypatch):
+    counties = _boundaries(spark).withColumn("wide", F.repeat(F.hex(F.rand(1)), 2000))
+    points = spark.range(50).select("id", F.expr(geo.point("id * 0.3D", "2D")).alias("geometry"))
+
+    def plan():
+        out = sp.spatial_join(points, counties, cell=5.0, left_points=True, boundary=True)
+        return out._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(sp, "_BROADCAST_BYTES", 1000)
+    assert "strategy=broadcast" not in plan()
+
+
+def test_no_job_runs_while_a_join_is_built(spark):
+    left = spark.range(50).select("id", F.expr(geo.point("id * 0.3D", "2D")).alias("geometry"))
+    right = _boundaries(spark)
+    _, none = _jobs(spark, lambda: sp.spatial_join(left, right, cell=5.0, left_points=True))
+    _, semi = _jobs(spark, lambda: sp.spatial_semi(left, right, cell=5.0, left_points=True))
+    _, written = _jobs(spark, lambda: sp.spatial_join(left, right, cell=5.0, left_points=True, boundary=True))
+    assert (none, semi) == (0, 0) and 1 <= written <= 2
