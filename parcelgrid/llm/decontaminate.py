@@ -252,3 +252,23 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
     return without(docs, materialise(contaminated(docs, items, threshold).select("doc_id", "text_key")))
+
+
+#: The same as what query op7 returns.
+SQL = f"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), items AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM (SELECT *, least({SHINGLE}, len(w)) AS k FROM item_words WHERE len(w) > 0) q
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+') AS w FROM documents
+), docs AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM doc_words, (SELECT DISTINCT k FROM items) widths
+)
+SELECT doc_id, item_id, n_shared, n_shingles, round(n_shared / n_shingles, 6) AS containment FROM (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM docs JOIN items USING (k, s) GROUP BY ALL) x
+JOIN (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY 1) n USING (item_id)
+WHERE n_shared >= {THRESHOLD} * n_shingles
+"""

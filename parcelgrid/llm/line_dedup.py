@@ -114,3 +114,31 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     text = F.when(F.col(n).isNull(), F.col("text")).otherwise(left)
     return joined.select(*[(text.alias(c) if c == "text" else own[c]) for c in docs.columns], n)
+
+
+#: The same over tables without null or repeated doc_ids and null texts, as what query op5 returns.
+SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents
+), sized AS (
+  SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines
+), units AS (
+  SELECT doc_id, n, line, unnest(range(1, CAST(ceil(words / {UNIT_WORDS}.0) AS BIGINT) + 1)) AS k FROM sized
+), placed AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS pos, sha256(line) || k AS unit FROM units
+), windows AS (
+  SELECT doc_id, pos, n AS from_line, lead(n, {RUN - 1}) OVER w AS to_line,
+    unit || {" || ".join(f"lead(unit, {i}) OVER w" for i in range(1, RUN))} AS run
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+  SELECT doc_id, from_line, to_line FROM (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS seen FROM windows WHERE run IS NOT NULL) s
+  WHERE seen > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(from_line, to_line + 1)) AS n FROM later
+)
+SELECT l.doc_id, count(g.n) AS n_deleted, coalesce(string_agg(CAST(g.n AS VARCHAR), ',' ORDER BY g.n), '') AS deleted_lines,
+  coalesce(string_agg(CASE WHEN g.n IS NULL THEN line END, chr(10) ORDER BY l.n), '') AS text
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id
+"""

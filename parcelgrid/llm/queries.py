@@ -101,5 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {
     "op3_licenses": license_scan.SQL,
+    "op5_line_dedup": line_dedup.SQL,
+    "op6_warc": warc.SQL,
+    "op7_decontamination": decontaminate.SQL,
     "op8_chat_format": chat_format.SQL,
 }

@@ -189,3 +189,19 @@ def archive_folder(pages: DataFrame) -> str:
         store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/")
         shared = ("file://" if store == "file:" else store) + shared
     return f"{shared}/warc-{uuid.uuid4().hex}"
+
+
+#: The same over tables without null or repeated page_ids, as what query op6 returns.
+SQL = """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha1 FROM pages
+), bits AS (
+  SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1, CAST(CAST(unhex(sha1) AS BIT) AS VARCHAR) AS b FROM own
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    16 * (substr(b, 5 * i + 1, 1) = '1')::INT + 8 * (substr(b, 5 * i + 2, 1) = '1')::INT + 4 * (substr(b, 5 * i + 3, 1) = '1')::INT
+    + 2 * (substr(b, 5 * i + 4, 1) = '1')::INT + (substr(b, 5 * i + 5, 1) = '1')::INT AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY sha1) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER (PARTITION BY sha1) THEN max(page_id) OVER (PARTITION BY sha1) END AS refers_to
+FROM bits
+"""
