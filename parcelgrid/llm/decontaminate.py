@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,9 +163,7 @@ def item_signatures(shingles: DataFrame, classes: int = 40) -> DataFrame:
     its bin's minimum from some class on stays so in larger ones, so only its first is kept.
     """
 
-    def run(key: tuple, frame):
-        import pandas as pd
-
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         hashes = np.unique(frame["hash"].to_numpy(np.int64).view(np.uint64))
         first = np.full(len(hashes), classes, np.int32)
         if len(hashes) < SMALL:

@@ -100,7 +100,7 @@ def deleted_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated runs cut out of ``text``, and an array ``deleted`` of line numbers."""
     a, b, k, n = (fresh(docs, x) for x in ("found_id", "found_key", "own_key", "deleted"))
-    gone = materialise(deleted_lines(docs)).toDF(a, b, n)
+    gone = materialise(deleted_lines(docs)).toDF(a, b, n).hint("shuffle_hash")
     own = docs.withColumn(k, text_key())
     joined = own.join(gone, own["doc_id"].eqNullSafe(gone[a]) & (own[k] == gone[b]), "left")
     left = let(

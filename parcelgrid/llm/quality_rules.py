@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.sources.tables import materialise
 
-from .rows import BLANKS, SPACE, let, text_key, text_or_empty, without
+from .rows import BLANKS, SPACE, let, text_or_empty
 
 MIN_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -102,17 +102,18 @@ MEASURES = (
 )
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and MEASURES (long) for every row."""
+def measures(docs: DataFrame, carried: Column | None = None) -> DataFrame:
+    """doc_id, MEASURES (long) and ``carried`` as ``row`` for every row."""
+    row = F.lit(0) if carried is None else carried
     text = docs.select(
         F.col("doc_id").cast("long"),
-        text_key().alias("text_key"),
+        row.alias("row"),
         text_or_empty().alias("text"),
         F.btrim(text_or_empty(), F.lit(BLANKS)).alias("bare"),
     )
     split = text.select(
         "doc_id",
-        "text_key",
+        "row",
         F.when(F.col("bare") == "", F.array().cast("array<string>"))
         .otherwise(F.split("bare", f"[{SPACE}]+", -1))
         .alias("words"),
@@ -125,7 +126,7 @@ def measures(docs: DataFrame) -> DataFrame:
     stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     found = split.select(
         "doc_id",
-        "text_key",
+        "row",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -220,9 +221,12 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = 30, enough: float = 1e-
     return model
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text_key, the measures, votes, base_failed, posterior and kept for every row."""
-    voted = materialise(votes(measures(docs), rules))
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carried: Column | None = None) -> DataFrame:
+    """doc_id, the measures, votes, base_failed, posterior, kept and ``carried`` as ``row`` for every row.
+
+    The measures are written with what is carried, so the texts are read once and never joined.
+    """
+    voted = materialise(votes(measures(docs, carried), rules))
     patterns = materialise(voted.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1))
     posterior = F.round(fit(patterns, len(rules)).posterior(), 6)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
@@ -233,4 +237,4 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return without(docs, materialise(judged(docs).where("NOT kept").select("doc_id", "text_key")))
+    return judged(docs, carried=F.struct(*[F.col(f"`{c}`") for c in docs.columns])).where("kept").select("row.*")

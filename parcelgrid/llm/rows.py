@@ -43,11 +43,11 @@ def fresh(df: DataFrame, name: str) -> str:
 def without(docs: DataFrame, refused: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, text_key) is not in ``refused``; a null id equals a null id.
 
-    ``refused`` should be a written table: its known size then lets the planner broadcast it
-    below the session's threshold and sort-merge it above.
+    Both sides are dealt by key and the refused keys of a partition are held in a hash table, so
+    the plan is the same at every size and the texts are neither sorted nor met by a broadcast.
     """
     a, b, k = (fresh(docs, n) for n in ("refused_id", "refused_key", "own_key"))
-    gone = refused.select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct()
+    gone = refused.select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct().hint("shuffle_hash")
     own = docs.withColumn(k, text_key())
     return own.join(gone, own["doc_id"].eqNullSafe(gone[a]) & (own[k] == gone[b]), "left_anti").drop(k)
 
