@@ -72,7 +72,8 @@ def _kept(spark, d):
 
 def serving_table(spark, d):
     kept = _kept(spark, d)
-    future = planned.finish_planned(planned.planned_not_built(kept, _planned(spark, d), **_EXCEPTIONS))
+    open_projects = tables.materialise(planned.planned_not_built(kept, _planned(spark, d), **_EXCEPTIONS))
+    future = planned.finish_planned(open_projects)
     return planned.build_serving(kept, future, _counties(spark), _jurisdictions(spark, d))
 
 

@@ -113,58 +113,21 @@ def exact_quantiles(
     probabilities: Sequence[float],
     *,
     bins: int = 128,
+    levels: int = 2,
 ) -> DataFrame:
     """Exact interpolated quantiles per group: columns ``by`` and ``quantiles`` (an array).
 
     A group may hold most of the table, so its values never meet in one task. Equal values
     are first counted; a sketch then only proposes bin edges, the bins' counts tell which
-    bins hold the wanted ranks, and only those bins are ranked. The answer does not depend
-    on how good the sketch is.
+    bins hold the wanted ranks, and only those bins go on. They are binned again at each
+    further level, so what is ranked in one task at the end is about one in bins ** levels of a
+    group's distinct values. The answer does not depend on how good the sketches are.
     """
     by = list(by)
     groups = [F.col(c) for c in by]
-    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    counts = known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cut_at = [i / bins for i in range(1, bins)]
-    cuts = known.groupBy(*by).agg(
-        F.percentile_approx("_v", cut_at, 10 * bins).alias("_cuts")
-    )
-    position = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_v")))
-    binned = _beside(counts, cuts, by).select(*groups, "_v", "_n", position.alias("_bin"))
-
-    # at most `bins` rows per group
-    running = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    all_bins = Window.partitionBy(*by)
-    sizes = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_size"))
-    sizes = sizes.withColumn("_upto", F.sum("_size").over(running)).withColumn(
-        "_all", F.sum("_size").over(all_bins)
-    )
-
-    # 0-based ranks on both sides of each wanted position
-    ranks = []
-    for i, p in enumerate(probabilities):
-        at = (F.col("_all") - 1) * F.lit(float(p))
-        low = F.floor(at)
-        part = at - low
-        ranks += [
-            F.struct(F.lit(i).alias("_i"), low.alias("_rank"), (F.lit(1.0) - part).alias("_weight")),
-            F.struct(F.lit(i).alias("_i"), (low + 1).alias("_rank"), part.alias("_weight")),
-        ]
-
-    def inside(r: Column) -> Column:
-        first = F.col("_upto") - F.col("_size")
-        return (r["_rank"] >= first) & (r["_rank"] < F.col("_upto")) & (r["_weight"] > 0)
-
-    wanted = (
-        sizes.withColumn("_ranks", F.filter(F.array(*ranks), inside))
-        .where(F.size("_ranks") > 0)
-        .select(*groups, "_bin", "_ranks", (F.col("_upto") - F.col("_size")).alias("_before"))
-    )
-
+    pool = _quantile_candidates(df, by, value, probabilities, bins, levels)
     within = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _beside(binned, wanted, [*by, "_bin"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(within)
-    )
+    ranked = pool.withColumn("_end", F.col("_before") + F.sum("_n").over(within))
     hits = ranked.select(
         *groups, "_v", "_n", "_end", F.explode("_ranks").alias("_r")
     ).where((F.col("_r._rank") < F.col("_end")) & (F.col("_r._rank") >= F.col("_end") - F.col("_n")))
@@ -179,6 +142,56 @@ def exact_quantiles(
     return per.groupBy(*by).agg(F.transform(ordered, lambda s: s["q"]).alias("quantiles"))
 
 
+def _quantile_candidates(
+    df: DataFrame, by: list[str], value: str, probabilities: Sequence[float], bins: int, levels: int
+) -> DataFrame:
+    """(by, _v, _n, _bin, _before, _ranks): the counted values of the bins that hold a wanted rank.
+
+    Counts and each level's values are written, since sketch, sizes and choice all read them.
+    """
+    groups = [F.col(c) for c in by]
+    known = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    counts = materialise(known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+    # 0-based ranks on both sides of each wanted position
+    ranks = []
+    for i, p in enumerate(probabilities):
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        low = F.floor(at)
+        part = at - low
+        ranks += [
+            F.struct(F.lit(i).alias("_i"), low.alias("_rank"), (F.lit(1.0) - part).alias("_weight")),
+            F.struct(F.lit(i).alias("_i"), (low + 1).alias("_rank"), part.alias("_weight")),
+        ]
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    wanted = totals.select(
+        *groups,
+        F.lit(0).cast("long").alias("_bin"),
+        F.filter(F.array(*ranks), lambda r: r["_weight"] > 0).alias("_ranks"),
+        F.lit(0).cast("long").alias("_before"),
+    )
+    pool = _beside(counts, wanted.select(*by, "_bin", "_before", "_ranks"), by)
+    cut_at = [i / bins for i in range(1, bins)]
+    for _ in range(levels):
+        cuts = pool.groupBy(*by, "_bin").agg(F.percentile_approx("_v", cut_at, 10 * bins).alias("_cuts"))
+        position = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_v")))
+        finer = _beside(pool, cuts, [*by, "_bin"]).withColumn("_part", position).drop("_cuts")
+        # at most `bins` rows for each bin of the level before
+        running = Window.partitionBy(*by, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = finer.groupBy(*by, "_bin", "_part").agg(
+            F.sum("_n").alias("_size"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks")
+        )
+        sizes = sizes.withColumn("_upto", F.col("_before") + F.sum("_size").over(running))
+        first = F.col("_upto") - F.col("_size")
+        held = F.filter(F.col("_ranks"), lambda r: (r["_rank"] >= F.col("_upto") - F.col("_size")) & (r["_rank"] < F.col("_upto")))
+        wanted = sizes.withColumn("_held", held).where(F.size("_held") > 0).select(
+            *groups, "_bin", "_part", F.col("_held").alias("_ranks"), first.alias("_before")
+        )
+        pool = natural_join(finer.drop("_before", "_ranks"), wanted, "inner", on=[*by, "_bin", "_part"])
+        pool = materialise(pool.withColumn("_bin", F.col("_bin") * bins + F.col("_part")).drop("_part"))
+    return pool
+
+
 def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join where a missing key matches itself; without keys, the right side is one row."""
     if keys:

@@ -275,7 +275,7 @@ def keep_first_geometry(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return keep_first(shape, [F.col("_hash"), F.col("_shape")], order).drop("_hash", "_shape")
 
 
-def orphan_geometries(shapes: DataFrame, parcels: DataFrame, *, cell: float = 0.01) -> DataFrame:
+def orphan_geometries(shapes: DataFrame, parcels: DataFrame, *, cell: float = 0.004) -> DataFrame:
     """Polygons (shape_id, geometry) that equal no parcel's polygon, with the parcels inside them."""
     have = parcels.select(F.expr(geo.canonical("geometry"))["rings"].alias("_have"))
     have = have.withColumn("_have_hash", F.xxhash64("_have"))
@@ -323,7 +323,7 @@ def merge_sources(
     *,
     county: str = "Orange",
     min_area: float = MAYBE_WAREHOUSE_SQ_FT,
-    cell: float = 0.01,
+    cell: float = 0.004,
 ) -> DataFrame:
     """All of ``first`` plus what of ``second`` touches none of it, with constant attributes.
 

@@ -34,7 +34,7 @@ def planned_projects(projects: DataFrame, counties: Sequence[str] = COUNTIES) ->
 
 
 def built_pairs(
-    parcels: DataFrame, planned: DataFrame, by: str = "centroid", *, cell: float = 0.01
+    parcels: DataFrame, planned: DataFrame, by: str = "centroid", *, cell: float = 0.004
 ) -> DataFrame:
     """Recently built parcels and the early projects they touch, by centroid or by outline."""
     recent = parcels.where(F.col("year_built") > RECENT_YEAR).select("apn", "geometry")
@@ -52,7 +52,7 @@ def built_projects(
     *,
     less_than_half: Sequence[str] = LESS_THAN_HALF_BUILT,
     off_centre: Sequence[str] = BUILT_OFF_CENTRE,
-    cell: float = 0.01,
+    cell: float = 0.004,
 ) -> DataFrame:
     """(project, apn, sch_number, ceqa_url) of projects that stand, exceptions by number."""
     number = F.col("sch_number")
@@ -63,7 +63,7 @@ def built_projects(
     return bind_rows(centred, built_pairs(parcels, listed, "outline", cell=cell))
 
 
-def polygon_only_pairs(parcels: DataFrame, planned: DataFrame, *, cell: float = 0.01) -> DataFrame:
+def polygon_only_pairs(parcels: DataFrame, planned: DataFrame, *, cell: float = 0.004) -> DataFrame:
     """Outline pairs whose project number has no centroid pair: the review list, each pair once."""
     outline = built_pairs(parcels, planned, "outline", cell=cell)
     centred = built_pairs(parcels, planned, "centroid", cell=cell)

@@ -98,3 +98,14 @@ def test_exact_quantiles_do_not_depend_on_the_bins(spark):
             assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
     whole = rel.exact_quantiles(df, [], "v", [0.5]).first().quantiles
     assert abs(whole[0] - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-9
+
+
+def test_quantile_ranking_is_bounded(spark):
+    """One group of distinct values: what one task ranks at the end is a small part of it."""
+    df = spark.range(20_000).selectExpr("'all' AS g", "CAST((id * 7919) % 20011 AS DOUBLE) AS v")
+    pool = rel._quantile_candidates(df, ["g"], "v", [0.25, 0.5, 0.9], 8, 3)
+    largest = max(r["count"] for r in pool.groupBy("g", "_bin").count().collect())
+    assert largest <= 4 * 20_000 / 8**3
+    got = rel.exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], bins=8, levels=3).first().quantiles
+    want = df.select(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))).first()[0]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
