@@ -53,7 +53,7 @@ def _line_units(lines: Column) -> Column:
 
 
 def _windows(units: Column) -> Column:
-    """Per window: first unit, its first and last line, its hash, its fingerprint, the fingerprint's (last) unit."""
+    """Per window: first unit, first and last line, hash, fingerprint, and 1 if the window before chose another unit for it."""
 
     def window(start: Column) -> Column:
         return let(
@@ -71,7 +71,13 @@ def _windows(units: Column) -> Column:
             ),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.size(units) - RUN), window)
+    def marked(windows: Column) -> Column:
+        return F.transform(
+            windows,
+            lambda w, i: w.withField("new", F.when(F.get(windows, i - 1)["at"] == w["at"], 0).otherwise(1)).dropFields("at"),
+        )
+
+    return let(F.transform(F.sequence(F.lit(0), F.size(units) - RUN), window), marked)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -87,12 +93,13 @@ def deleted_lines(docs: DataFrame) -> DataFrame:
     windows = held.select("doc_id", "text_key", F.explode(_windows(F.col("units"))).alias("w")).select(
         "doc_id", "text_key", "w.*"
     )
-    at = F.struct("doc_id", "text_key", "at")
-    several = windows.groupBy("print").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi")
-    found = materialise(windows.join(several.select("print"), "print", "left_semi").drop("print", "at"))
+    # written apart, so that the joins deal out both sides and can split a popular line or passage
+    several = materialise(windows.groupBy("print").agg(F.sum("new").alias("n")).where("n > 1").select("print"))
+    found = materialise(windows.join(several, "print", "left_semi").drop("print", "new"))
     place = F.struct("doc_id", "text_key", "start")
     runs = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    later = found.join(runs.where("first <> last").select("run", "first"), "run").where(place != F.col("first"))
+    repeated = materialise(runs.where("first <> last").select("run", "first"))
+    later = found.join(repeated, "run").where(place != F.col("first"))
     spans = F.transform(F.collect_set(F.struct("from_line", "to_line")), lambda s: F.sequence(s["from_line"], s["to_line"]))
     return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("lines"))
 
