@@ -107,11 +107,6 @@ def paste(*parts: Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(p.cast("string"), F.lit("NA")) for p in parts])
 
 
-def contains_folded(text: Column, word: str) -> Column:
-    """Case-folded substring test."""
-    return F.lower(text).contains(word)
-
-
 def snake_case(name: str) -> str:
     """One header in snake case: 'NOx_TOTEX' -> 'n_ox_totex', 'Shape__Area' -> 'shape_area'."""
     name = name.replace("%", "_percent_").replace("#", "_number_")

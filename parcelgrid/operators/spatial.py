@@ -357,7 +357,8 @@ def container_join(
 
     Every member is keyed by one cell and the boundaries are indexed, so the work spreads over
     the members' cells instead of one key per boundary. ``key`` names a unique column of the
-    boundaries; boundaries without a member come back with NULLs when ``how`` is left.
+    boundaries; boundaries without a member come back with NULLs when ``how`` is left, for
+    which the pairs are written once.
     """
     inverse = {"contains": "within", "intersects": "intersects"}[predicate]
     pairs = grid_join(
@@ -379,7 +380,8 @@ def container_join(
     )
     if how == "inner":
         return out
-    empty = natural_join(containers.drop("geometry"), out.select(key), "left_anti", on=[key])
+    out = materialise(out)
+    empty = natural_join(containers.drop("geometry"), out.select(key).distinct(), "left_anti", on=[key])
     return out.unionByName(empty, allowMissingColumns=True)
 
 
