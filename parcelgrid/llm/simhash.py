@@ -40,25 +40,32 @@ SEED = 42
 BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
+def shingle_hashes(text: bytes, shingle: int = 3) -> Iterator[np.ndarray]:
+    """In blocks, the hash of every run of ``shingle`` words, or of all if there are fewer; no words have none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     width = min(shingle, len(words))
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
-    set_bits = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), BLOCK):
         hashes = [
             xxh64_intdigest(joined[s:e], SEED)
             for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)
         ]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array(hashes, "<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    set_bits, count = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<u8")[0])
+        count += len(hashes)
+    return int(np.packbits(2 * set_bits > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -121,13 +128,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return own.join(names, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row of every group of near copies: the one with the component's doc_id.
 
+    ``found`` has (doc_id, text_key, component_id) of every row, by default those of near_duplicates.
+
     Of rows that share that doc_id, the one with the least text_key stays, and of repeated rows
     with one doc_id and text any one.
     """
-    found = near_duplicates(docs, shingle, radius)
+    found = near_duplicates(docs) if found is None else found
     keys = materialise(found.groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("times")))
     best = keys.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("best")
