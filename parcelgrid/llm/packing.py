@@ -3,8 +3,8 @@
 A document is its token ids and an end id. Only a document longer than a sequence is cut, into
 full pieces and a rest. Full pieces are sequences by themselves. All other pieces are dealt by a
 hash to groups of about ``GROUP`` pieces; each group is packed in one task: best fit over the
-pieces in decreasing length, then a local search over the underfull bins, which moves a piece,
-exchanges one for one or two for one, whenever that increases the sum of squared fills. Bins that
+pieces in decreasing length, then a local search over all underfull bins, which moves a piece,
+exchanges one for one or two for one, until none increases the sum of squared fills. Bins that
 lose their last piece vanish. What is in each group's underfull bins then meets that of other
 groups in a second round, so that dealing into groups costs no bin per group.
 
@@ -39,10 +39,6 @@ CAPACITY = 4096
 END_ID = 1
 GROUP = 40_000
 CACHE = 1_200_000
-#: Of the local search: bins looked at, passes over them, pieces of a bin that can form pairs.
-OPEN = 128
-PASSES = 20
-PAIRED = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -147,63 +143,101 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _sums(held: list[int]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """What can leave a bin: nothing, one piece, or two; longest first."""
-    held = sorted(held, reverse=True)[:PAIRED]
-    ways = [(), *((n,) for n in held), *((n, m) for k, n in enumerate(held) for m in held[:k])]
-    return np.array([sum(w) for w in ways]), ways
+class _Index:
+    """Where a piece could go: for every underfull bin the room it has, and has without one of its pieces.
 
-
-def _exchange(a: list[int], b: list[int], capacity: int) -> bool:
-    """Makes the exchange from b to the fuller bin a that gains most; False if none gains.
-
-    Moving m tokens from b to a adds 2m(fill a - fill b + m) to the sum of squared fills, which
-    grows with m, so the best exchange is the one that leaves a the least room.
+    Entries (space, bin) are sorted within classes of rooms of [2^(c-1), 2^c). An exchange that
+    gives a bin n tokens for a piece (or nothing) leaves it ``space - n``. It adds to the sum of
+    squared fills exactly if that is less than both bins' rooms before it.
     """
-    room = capacity - sum(a)
-    gives, give_ways = _sums(a)
-    takes, take_ways = _sums(b)
-    ones = np.array([len(w) < 2 for w in give_ways])
-    gives, give_ways = gives[ones], [w for w, one in zip(give_ways, ones, strict=True) if one]
-    moved = takes[:, None] - gives[None, :]
-    moved[moved > room] = 0
-    at = int(moved.argmax())
-    if moved.flat[at] <= 0:
-        return False
-    take, give = take_ways[at // len(gives)], give_ways[at % len(gives)]
-    for n in take:
-        b.remove(n)
-    for n in give:
-        a.remove(n)
-    a.extend(take)
-    b.extend(give)
-    return True
+
+    def __init__(self, bins: list[list[int]], capacity: int) -> None:
+        self.bins, self.capacity = bins, capacity
+        self.rooms = [capacity - sum(b) for b in bins]
+        self.classes: list[list[tuple[int, int]]] = [[] for _ in range(capacity.bit_length() + 1)]
+        for i, room in enumerate(self.rooms):
+            self.classes[room.bit_length()] += self._entries(i)
+        for entries in self.classes:
+            entries.sort()
+
+    def _entries(self, i: int) -> list[tuple[int, int]]:
+        room = self.rooms[i]
+        return [(room + n, i) for n in {0, *self.bins[i]}] if room and self.bins[i] else []
+
+    def best(self, n: int, own: int, most: int) -> tuple[int, int] | None:
+        """(room left, bin) of the bin that n tokens from bin ``own`` fill best, with less than ``most`` left."""
+        found = None
+        for bits, entries in enumerate(self.classes):
+            if not entries:
+                continue
+            bound = n + min(most, 1 << bits)
+            for k in range(bisect_left(entries, (n, -1)), len(entries)):
+                space, i = entries[k]
+                if space >= bound:
+                    break
+                if i != own and space - n < self.rooms[i]:
+                    found, most = (space - n, i), space - n
+                    break
+            if not most:
+                break
+        return found
+
+    def change(self, i: int, out: tuple[int, ...], into: tuple[int, ...]) -> None:
+        entries = self.classes[self.rooms[i].bit_length()]
+        for e in self._entries(i):
+            entries.pop(bisect_left(entries, e))
+        for n in out:
+            self.bins[i].remove(n)
+        self.bins[i].extend(into)
+        self.rooms[i] += sum(out) - sum(into)
+        entries = self.classes[self.rooms[i].bit_length()]
+        for e in self._entries(i):
+            insort(entries, e)
+
+    def exchange(self, b: int) -> bool:
+        """Makes the exchange of one or two pieces of bin b that fills another bin best; False if none gains."""
+        lengths = sorted(set(self.bins[b]), reverse=True)
+        twice = {n for n in lengths if self.bins[b].count(n) > 1}
+        ways = {n: (n,) for n in lengths}
+        for k, n in enumerate(lengths):
+            for m in lengths[k if n in twice else k + 1 :]:
+                ways.setdefault(n + m, (n, m))
+        best, most = None, self.rooms[b]
+        for n, way in ways.items():
+            if hit := self.best(n, b, most):
+                most, best = hit[0], (way, n, hit[1])
+                if not most:
+                    break
+        if best is None:
+            return False
+        take, n, a = best
+        given = most + n - self.rooms[a]
+        give = (given,) if given else ()
+        self.change(a, give, take)
+        self.change(b, take, give)
+        return True
 
 
 def swap_search(bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empties bins (of lengths) by exchanges between the emptiest ones.
+    """Empties bins (of lengths) by exchanges between all underfull ones.
 
-    Takes the OPEN emptiest bins, and from the emptiest on moves its pieces to fuller ones, one
-    for one, two for one or two for none, as long as that increases the sum of squared fills.
-    Stops at the least possible number of bins, when no exchange gains, or after PASSES passes.
+    From the emptiest on, moves a bin's pieces to others, one for one, two for one, or one or two
+    for none, as long as that increases the sum of squared fills; partners are looked up by the
+    space they have. Stops at the least possible number of bins or when no exchange gains.
     """
     least = -(-sum(map(sum, bins)) // capacity)
-    bins = sorted(bins, key=sum)
-    open_bins, done = [b for b in bins[:OPEN] if sum(b) < capacity], bins[OPEN:]
-    done += [b for b in bins[:OPEN] if sum(b) == capacity]
-    for _ in range(PASSES):
-        if len(done) + len(open_bins) <= least:
-            break
+    done = [b for b in bins if sum(b) == capacity]
+    index = _Index([list(b) for b in bins if sum(b) < capacity], capacity)
+    left, changed = len(bins), True
+    while changed and left > least:
         changed = False
-        for k, b in enumerate(open_bins):
-            for a in reversed(open_bins[k + 1 :]):
-                if sum(a) >= sum(b):
-                    while b and _exchange(a, b, capacity):
-                        changed = True
-        open_bins = sorted((b for b in open_bins if b), key=sum)
-        if not changed:
-            break
-    return done + open_bins
+        for b in sorted(range(len(index.bins)), key=lambda i: -index.rooms[i]):
+            while index.bins[b] and index.rooms[b] and index.exchange(b):
+                changed = True
+            left = len(done) + sum(map(bool, index.bins)) if not index.bins[b] else left
+            if left <= least:
+                break
+    return done + [b for b in index.bins if b]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
