@@ -1,10 +1,13 @@
 """License scans by sentence rules: known sentences become identifiers, sequences of them licences.
 
-A text is cut into sentences at line ends and at full stops before white space; a sentence is
-normalised to lower-case letters and digits with single blanks between. Each normalised sentence
-that is one of SENTENCES becomes its identifier; all others are passed over. RULES, in order, are
-then looked for as runs of the identifiers; a rule that matches names its licence and takes those
-identifiers out, so a longer licence text is not also reported as the shorter ones it contains.
+A text is normalised to lower-case letters and digits with single blanks between, so comment signs
+and white space go; line ends, and full stops, colons and semicolons before white space, are kept
+as cuts. A known sentence (SENTENCES, SPELLINGS) is found where its words stand in a row from one
+cut (and a list number after it) to another, whatever cuts are between: wrapped at any width, or
+on one line. One of LONG words or more may also follow other words, as after the names in a
+copyright line that has no end. It becomes its identifier; all else is passed over. RULES, in order, are then looked
+for as runs of the identifiers; a rule that matches names its licence and takes those identifiers
+out, so a longer licence text is not also reported as the shorter ones it contains.
 
 All of it is expressions over one row; nothing is shuffled.
 
@@ -46,6 +49,16 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+#: Further sentences of the canonical texts that have an identifier of SENTENCES.
+SPELLINGS = {
+    "licensed under the apache license version 2 0 the license": "apache-ref",
+    "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "spdx license identifier gpl 3 0 or later": "spdx-gpl3+",
+}
+
+#: Words of a sentence that tell it wherever it begins.
+LONG = 9
+
 #: Ordered: the first that matches takes its identifiers.
 RULES = (
     ("Apache-2.0", ("apache-ref", "apache-limit", "apache-copy", "apache-asis")),
@@ -68,25 +81,35 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 
+#: Before RULES: canonical texts whose copyright line ends in a sentence that is a rule by itself.
+WHOLE = (
+    ("BSD-3-Clause", ("reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("reserved", "bsd-grant", "bsd-source", "bsd-binary")),
+    ("GPL-3.0-or-later", ("spdx-gpl3+",)),
+)
+
 
 def _key(ids: tuple[str, ...]) -> str:
     return "".join(f"|{i}|" for i in ids)
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    """(doc_id, sentence_ids, licenses): both arrays; licences in the order of RULES, each once."""
+    """(doc_id, sentence_ids, licenses): both arrays; licences in the order of WHOLE and RULES, each once."""
     own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    # of the whole text at once: sentences are then told by the line ends that are left
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), "[.](\\s|\\z)", "\n"), "[^a-z0-9\\n]+", " "), " ?\n ?", "\n")
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    longest = max(map(len, SENTENCES.values()))
-    candidates = F.filter(F.split(flat, "\n", -1), lambda s: F.length(s).between(10, longest + 2))
-    cut = own.select("doc_id", candidates.alias("sentences"))
+    # of the whole text at once: words are then parted by a blank, or by a line end at a cut
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), "[.:;](\\s|\\z)", "\n"), "[^a-z0-9\\n]+", " "), "(?: ?\n)+ ?", "\n")
+    sentences = {s: i for i, s in SENTENCES.items()} | SPELLINGS
+    known = F.create_map(*[F.lit(x) for s, i in sentences.items() for x in (s, i)])
+    ways = [s.replace(" ", "[ \\n]") for s in sorted(sentences, key=len, reverse=True)]
+    long = [w for w in ways if w.count("[") >= LONG - 1]
+    begin = f"^(?:[0-9]{{1,2}}[ \\n])?|(?<= )(?={'|'.join(long)})"
+    found = F.regexp_extract_all(F.trim(flat), F.lit(f"(?md)(?:{begin})({'|'.join(ways)}) ?$"), F.lit(1))
+    cut = own.select("doc_id", found.alias("found"))
     named = cut.select(
         "doc_id",
-        F.filter(F.transform("sentences", lambda s: F.try_element_at(known, F.trim(s))), lambda i: i.isNotNull()).alias("sentence_ids"),
+        F.filter(F.transform("found", lambda s: F.try_element_at(known, F.translate(s, "\n", " "))), lambda i: i.isNotNull()).alias("sentence_ids"),
     )
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(_key(k)).alias("key")) for n, k in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(_key(k)).alias("key")) for n, k in WHOLE + RULES])
     start = F.struct(
         F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), "")).alias("left"),
         F.array().cast("array<string>").alias("names"),
