@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, pii, quality_rules, simhash, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, pii, quality_rules, simhash, suffix_dedup, warc
 from .rows import table
 
 
@@ -85,6 +85,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
@@ -105,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.SQL,
     "op7_decontamination": decontaminate.SQL,
     "op8_chat_format": chat_format.SQL,
+    "op11_suffix_dedup": suffix_dedup.SQL,
 }
