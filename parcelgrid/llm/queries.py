@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, pii, quality_rules, simhash, suffix_dedup, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, phrases, pii, quality_rules, simhash, suffix_dedup, warc
 from .rows import table
 
 
@@ -89,6 +89,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_phrases": op12_phrases,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
@@ -111,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontaminate.SQL,
     "op8_chat_format": chat_format.SQL,
     "op11_suffix_dedup": suffix_dedup.SQL,
+    "op12_phrases": phrases.SQL,
 }
