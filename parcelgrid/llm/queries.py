@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, phrases, pii, quality_rules, simhash, suffix_dedup, warc
+from . import chat_format, decontaminate, license_scan, line_dedup, lm_scoring, packing, phrases, pii, quality_rules, simhash, suffix_dedup, token_alignment, warc
 from .rows import table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def alignment_files() -> token_alignment.Files:
+    import public_tokenizers as public
+
+    names = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
+    whole, ranks, pieces = map(public.path, names)
+    return token_alignment.Files(whole, ranks, public.PATTERN, pieces)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
@@ -93,6 +101,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.counted(table(spark, sf_dir, "documents"), alignment_files())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
@@ -106,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_suffix_dedup": op11_suffix_dedup,
     "op12_phrases": op12_phrases,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: DuckDB SQL by query, where SQL can express it.
