@@ -14,7 +14,7 @@ increasing value, and the search stops at ``length``: rows that no value parts b
 string of that length. It occurs again if the rows' counts are two or more. (The first eight bytes
 are read off the sorted keys, as a table of short strings would give them.)
 
-A bucket of over CROWD distinct contexts, as of a popular passage in ever new surroundings, is
+A bucket whose distinct contexts hold over CROWD bytes, as of a popular passage in ever new surroundings, is
 marked anew with longer grams, last with the whole strings, where a bucket is one string. So a task
 holds buckets of bounded size, whatever the data, and nothing is dropped.
 
@@ -40,8 +40,8 @@ from parcelgrid.sources.tables import materialise
 from .rows import byte_texts, slices, text_key
 
 LENGTH = 400
-#: Distinct contexts of a bucket that may meet in a task.
-CROWD = 256
+#: Bytes of a bucket's distinct contexts that may meet in a task.
+CROWD = 2 << 20
 #: Most starts in a run, and bytes of text that are marked or transformed at once.
 RUN = 512
 BLOCK = 1 << 19
@@ -314,21 +314,23 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD)
         raise ValueError(f"strings of {KEY} bytes or more are asked for")
     found, now = None, _with_key(docs)
     for level, width in enumerate(widths(length)):
-        held = materialise(marks(now, width, length))
+        every = materialise(marks(now, width, length))
+        times = every.groupBy("f").agg(F.count("*").alias("all"), F.max("inner").alias("any"))
+        held = materialise(every.join(times.where("all >= 2 OR any").select("f").hint("merge"), "f", "left_semi").drop("inner"))
         firsts = [F.first(c).alias(c) for c in ("doc_id", "text_key", "a", "b")]
-        contexts = materialise(held.groupBy("f", "h").agg(F.count("*").alias("times"), F.max("inner").alias("inner"), *firsts))
-        buckets = contexts.groupBy("f").agg(F.sum("times").alias("all"), F.max("inner").alias("any"), F.count("*").alias("n"))
-        buckets = buckets.where("all >= 2 OR any").select("f", "n")
+        contexts = materialise(held.groupBy("f", "h").agg(F.count("*").alias("times"), *firsts))
+        sizes = contexts.groupBy("f").agg(F.sum(F.col("b") - F.col("a") + (length - 1)).alias("size"))
         last = level == len(widths(length)) - 1
-        sized = materialise(contexts.join(buckets, "f").withColumn("crowded", (F.col("n") > crowd) & F.lit(not last)))
-        solved = materialise(repeated_in_buckets(_contexts(docs, sized.where("NOT crowded").drop("n", "crowded", "inner"), length), length))
-        here = held.join(solved, ["f", "h"]).select("doc_id", "text_key", "a", F.explode("starts").alias("s"))
+        crowded_now = (F.col("size") > crowd) & F.lit(not last)
+        sized = materialise(contexts.join(sizes.hint("merge"), "f").withColumn("crowded", crowded_now).drop("size"))
+        solved = materialise(repeated_in_buckets(_contexts(docs, sized.where("NOT crowded").drop("crowded"), length), length))
+        here = held.join(solved.hint("merge"), ["f", "h"]).select("doc_id", "text_key", "a", F.explode("starts").alias("s"))
         here = here.select("doc_id", "text_key", (F.col("a") + F.col("s.lo")).alias("lo"), (F.col("a") + F.col("s.hi")).alias("hi"))
         found = here if found is None else found.unionByName(here)
         crowded = sized.where("crowded").select("f").distinct()
         if last or crowded.isEmpty():
             return found
-        again = held.join(crowded, "f", "left_semi").groupBy("doc_id", "text_key")
+        again = held.join(crowded.hint("merge"), "f", "left_semi").groupBy("doc_id", "text_key")
         now = _joined(docs, again.agg(F.collect_set(F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"))).alias("ranges")), "inner")
     raise AssertionError("the last level ends the search")
 

@@ -63,9 +63,9 @@ def _table(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("crowd", [256, 2])
+@pytest.mark.parametrize("crowd", [sd.CROWD, 300])
 def test_query_equals_plain_counting(spark, crowd):
-    """With a crowd of two the longer grams and the whole strings get their turn."""
+    """With little room for a bucket the longer grams and the whole strings get their turn."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeéß漢") for _ in range(rng.randrange(1, 9)))
     passage, short = " ".join(word() for _ in range(60)), " ".join(word() for _ in range(22))
