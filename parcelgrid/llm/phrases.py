@@ -25,6 +25,7 @@ hashed block by block, cut where a piece ends.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -59,6 +60,9 @@ ENDS = bytes(np.flatnonzero(KIND == 2).tolist())
 
 POINTERS = "words int, fp long, seal long, times long, text_key long, start int, end int"
 ROOM = 1 << 16
+#: More than any place in a text, as an Arrow text has at most 2^31 bytes.
+ROW = 1 << 32
+BLANKS = re.compile("[ \t]+")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -271,34 +275,44 @@ def pointers(texts: DataFrame, levels: list[Broadcast]) -> DataFrame:
 
 
 def spelled(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(lang, phrase, a) of the runs (words, fp, seal, a, text_key, start, end), read where they point and checked."""
+    """(lang, phrase, a) of the runs (words, fp, seal, a, text_key, start, end), read where they point and checked.
+
+    A text is hashed once, however many runs point into it.
+    """
+    names = ["words", "fp", "seal", "a", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            rows = []
-            for lang, text, wanted in zip(batch.column("lang").to_pylist(), byte_texts(batch), batch.column("wanted").to_pylist(), strict=True):
-                for w in wanted:
-                    run = text[w["start"] : w["end"]].lower()
-                    words = Words(run + b"\n", np.array([seed(lang)], np.uint64), np.zeros(1, np.int64))
-                    at = np.zeros(1, np.int64)
-                    both = [int(words.hashes(at, w["words"], k).view(np.int64)[0]) for k in (0, 1)] if len(words.starts) == w["words"] else []
-                    if both != [w["fp"], w["seal"]]:
-                        raise ValueError(f"the text at a pointer is not its phrase: {run!r}")
-                    rows.append((lang, " ".join(_split(run)), w["fp"], w["seal"], w["a"]))
-            if rows:
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "phrase", "fp", "seal", "a"])
-
-    lists = found.groupBy("text_key").agg(F.collect_list(F.struct("words", "fp", "seal", "a", "start", "end")).alias("wanted"))
+        for whole in batches:
+            for batch in slices([whole], "text"):
+                lists = batch.column("wanted")
+                owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                asked = {c: lists.flatten().field(c).to_numpy() for c in names}
+                left = len(owner)
+                langs, raw = batch.column("lang").to_pylist(), byte_texts(batch)
+                wanted_key = owner * ROW + asked["start"]
+                for words, rows, shifts in blocks(batch):
+                    keys = rows[words.texts] * ROW + words.starts + shifts[words.texts]
+                    at = np.searchsorted(keys, wanted_key)
+                    here = np.flatnonzero(np.r_[keys, -1][at] == wanted_key)
+                    here = here[at[here] + asked["words"][here] <= len(keys)]
+                    for n in np.unique(asked["words"][here]).tolist():
+                        own = here[asked["words"][here] == n]
+                        fp, seal = (words.hashes(at[own], n, k).view(np.int64) for k in (0, 1))
+                        own = own[(fp == asked["fp"][own]) & (seal == asked["seal"][own])]
+                        left -= len(own)
+                        pointed = zip(owner[own].tolist(), asked["start"][own].tolist(), asked["end"][own].tolist(), strict=True)
+                        runs = [(langs[row], BLANKS.sub(" ", raw[row][s:e].lower().decode())) for row, s, e in pointed]
+                        columns = [pa.array(c, pa.string()) for c in zip(*runs, strict=True)] if runs else [pa.array([], pa.string())] * 2
+                        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(asked[c][own]) for c in ("fp", "seal", "a"))], ["lang", "phrase", "fp", "seal", "a"])
+                if left:
+                    raise ValueError(f"the text at {left} pointers is not their phrase")
+
+    lists = found.groupBy("text_key").agg(F.collect_list(F.struct(*names)).alias("wanted"))
     held = texts.join(lists.withColumnRenamed("text_key", "wanted_key").hint("shuffle_hash"), F.col("text_key") == F.col("wanted_key"))
     read = held.select("lang", "text", "wanted").mapInArrow(run, "lang string, phrase string, fp long, seal long, a long")
     return read.dropDuplicates(["fp", "seal"]).select("lang", "phrase", "a")
 
 
-def _split(run: bytes) -> list[str]:
-    return [w.decode() for w in run.replace(b"\t", b" ").split(b" ") if w]
-
-
 def frequent_phrases(docs: DataFrame, frequent: int = FREQUENT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, a) of all phrases of up to ``longest`` words that occur so often, (lang, n) of all words)."""
     texts = sources(docs)

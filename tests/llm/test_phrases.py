@@ -89,7 +89,7 @@ def test_colliding_fingerprints_are_told_apart(spark):
     texts = ph.sources(spark.createDataFrame([("en", "some words here")], "lang string, text string"))
     key = texts.first().text_key
     wrong = spark.createDataFrame([(2, 1, 1, 100, key, 0, 10)], "words int, fp long, seal long, a long, text_key long, start int, end int")
-    with pytest.raises(Exception, match="not its phrase"):
+    with pytest.raises(Exception, match="not their phrase"):
         ph.spelled(texts, wrong).collect()
 
 
