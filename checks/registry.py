@@ -1048,6 +1048,30 @@ def geojson_layer(spark, d):
     return _planar(tables.read_layer(spark, path, "shape", "geojson"))
 
 
+@register("wkb_layer", _TOWNS_SQL)
+def wkb_layer(spark, d):
+    """Binary shapes in both byte orders, with and without heights, as polygons and as multipolygons."""
+    path = _new_folder(spark)
+    fx.as_wkb(fx.towns(spark, d).select("name", "geometry"), "shape").write.parquet(path)
+    return _planar(tables.read_layer(spark, path, "shape", "wkb"))
+
+
+@register("geojson_spread", "SELECT apn, class, year_built, shape_area, xmin,ymin,xmax,ymax FROM serving_fx")
+def geojson_spread(spark, d):
+    """Collections whose features spread over lines, with braces and quotes in their texts, cut by blocks."""
+    rows = fx.serving(spark, d).select("apn", "class", "year_built", "shape_area", "geometry", F.lit('a } "b" ] {').alias("note"))
+    file = F.expr(f"CAST(CAST(regexp_replace(apn, '[^0-9]', '') AS BIGINT) / {_FILE_ROWS} AS BIGINT)")
+    lines = geojson.feature_lines(rows.withColumn("file", file))
+    spread = F.regexp_replace(F.regexp_replace("value", ',"properties"', ',\n "properties"'), '"type":"Feature"', '"type":\n  "Feature"')
+    keyed = lines.select(F.get_json_object("value", "$.properties.file").cast("long").alias("file"), spread.alias("value"))
+    head, tail = '{"type": "FeatureCollection",\n"crs": {"properties": {"name": "x"}},\n"features": [\n', "\n],\n\"links\": [{}]\n}\n"
+    text = F.concat(F.lit(head), F.array_join(F.collect_list("value"), ",\n"), F.lit(tail))
+    path = _new_folder(spark)
+    _write_groups(keyed.groupBy("file").agg(text.alias("value")), path)
+    read = geojson.read_geojson(spark, path, "apn string, class string, year_built double, shape_area double", "auto")
+    return _bounds(read, "apn", "class", "year_built", "shape_area")
+
+
 @register("csv_files", "SELECT fuel, trips, total_vmt, n_ox_totex FROM emis_fx")
 def csv_files(spark, d):
     """Several inventory files, each with a preamble of its own that holds lines equal to data rows."""

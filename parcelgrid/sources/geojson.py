@@ -3,8 +3,9 @@
 The usual writers put each feature of a collection on its own line, so a file of any size
 splits by lines like plain text; newline-delimited features read the same way, and so do
 several features on a line, a whole collection on a line, and features that share a line with
-the collection's head or tail. A file whose features spread over lines is cut as one document,
-which takes one task per file; ``layout="auto"`` finds out which files those are.
+the collection's head or tail. A file whose features spread over lines is cut at its braces by as
+many tasks as it has blocks (``json_blocks``); ``layout="auto"`` finds out which files those are, by
+the braces that their lines leave open.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as geo
+from . import json_blocks
+
 
 def _rings(coordinates: str) -> str:
     """Positions to vertices; a third number of a position (height) is dropped."""
@@ -38,6 +41,25 @@ def geometry_from_json(text: str) -> str:
     )
 
 
+def readable(shape: Column, source: Column, unreadable: str = "error") -> Column:
+    """The shape parsed from ``source`` if all its positions are numbers; else an error, or NULL."""
+    if unreadable not in ("error", "null"):
+        raise ValueError("unreadable is 'error' or 'null'")
+
+    def missing(v: Column) -> Column:
+        return v["x"].isNull() | v["y"].isNull() | F.isnan(v["x"]) | F.isnan(v["y"])
+
+    def whole(parsed: Column) -> Column:
+        odd = F.coalesce(F.exists(F.flatten(F.flatten(parsed["rings"])), missing), F.lit(False))
+        good = parsed["xmin"].isNotNull() & ~odd
+        if unreadable == "null":
+            return F.when(good, parsed)
+        lost = F.raise_error(F.concat(F.lit("a shape could not be read: "), F.substring(source.cast("string"), 1, 60)))
+        return F.when(source.isNull() | good, parsed).otherwise(lost.cast(geo.GEOMETRY_DDL))
+
+    return F.transform(F.array(shape), whole)[0]
+
+
 def geometry_to_json(g: Column) -> Column:
     """Geometry struct to GeoJSON text; one part is a Polygon, several a MultiPolygon."""
     def ring(r: Column) -> Column:
@@ -82,31 +104,21 @@ def _line_features(line: str) -> str:
     return f"CASE WHEN {line} IS NOT NULL THEN coalesce({tries}) END"
 
 
-def _document_features(text: str) -> str:
-    """SQL: the features of a whole file; an error if fewer than were opened could be read."""
-    found = f"""CASE get_json_object({text}, '$.type') WHEN 'Feature' THEN array({text})
-      ELSE from_json(get_json_object({text}, '$.features'), 'array<string>') END"""
-    return geo.let(
-        found,
-        lambda a: f"CASE WHEN coalesce(size({a}), 0) < regexp_count({text}, r'{_OPENED}')"
-        f" THEN raise_error('a GeoJSON file holds features that could not be read') ELSE {a} END",
-    )
-
-
-def _opened_only(line: str) -> str:
-    """SQL: whether a line opens a feature but does not hold whole ones."""
-    return f"({line} RLIKE r'{_OPENED}' AND {_line_features(line)} IS NULL)"
-
-
-def _parsed(features: DataFrame, schema: str | T.StructType) -> DataFrame:
+def _parsed(features: DataFrame, schema: str | T.StructType, unreadable: str = "error") -> DataFrame:
+    """Attributes and shapes of features (_feature); what cannot be read is an error, or NULL."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    source = F.get_json_object("_feature", "$.geometry")
+    options = {"mode": "FAILFAST" if unreadable == "error" else "PERMISSIVE"}
+    shape = F.expr(geometry_from_json("get_json_object(_feature, '$.geometry')"))
     return features.select(
-        F.from_json(F.get_json_object("_feature", "$.properties"), fields).alias("_p"),
-        F.expr(geometry_from_json("get_json_object(_feature, '$.geometry')")).alias("geometry"),
+        F.from_json(F.get_json_object("_feature", "$.properties"), fields, options).alias("_p"),
+        readable(shape, source, unreadable).alias("geometry"),
     ).select("_p.*", "geometry")
 
 
-def parse_features(lines: DataFrame, schema: str | T.StructType, column: str = "value") -> DataFrame:
+def parse_features(
+    lines: DataFrame, schema: str | T.StructType, column: str = "value", unreadable: str = "error"
+) -> DataFrame:
     """Feature lines to attribute columns plus ``geometry``.
 
     Lines that open no feature are skipped; a line that opens one and does not close it is an
@@ -117,7 +129,7 @@ def parse_features(lines: DataFrame, schema: str | T.StructType, column: str = "
         lambda a: f"CASE WHEN {a} IS NULL AND `{column}` RLIKE r'{_OPENED}'"
         f" THEN raise_error('a GeoJSON feature spreads over lines: read it with layout auto or document') ELSE {a} END",
     )
-    return _parsed(lines.select(F.explode(F.expr(found)).alias("_feature")), schema)
+    return _parsed(lines.select(F.explode(F.expr(found)).alias("_feature")), schema, unreadable)
 
 
 def feature_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -132,34 +144,70 @@ def feature_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     )
 
 
-def _documents(spark: SparkSession, paths: str | list[str], schema: str | T.StructType) -> DataFrame:
-    document = spark.read.text(paths, wholetext=True)
-    return _parsed(document.select(F.explode(F.expr(_document_features("value"))).alias("_feature")), schema)
+_HEAD = r'(?s)^.*?"features"\s*:\s*\[\s*'
+
+
+def _documents(
+    spark: SparkSession, paths: str | list[str], schema: str | T.StructType, unreadable: str = "error"
+) -> DataFrame:
+    """The features of files in any layout, cut at their braces."""
+    found = json_blocks.objects(spark, paths)
+    text = F.regexp_replace("text", r"^[\s,\x{1E}\x{FEFF}]+", "")
+    rows = found.select("before", "after", text.alias("text"))
+    element = F.col("after") == 2
+    head = element & ((F.col("before") == 0) | ~F.col("text").startswith("{"))
+    foreign = head & ~F.col("text").rlike(r'"features"\s*:\s*\[')
+    rest = ~element & ((F.col("before") != 0) | (F.col("after") != 0))
+    own = F.when(head, F.regexp_replace("text", _HEAD, "")).otherwise(F.col("text"))
+    none = head & own.startswith("]")
+    rows = rows.select(F.when(~(foreign | rest | none | (F.col("text") == "")), own).alias("object"))
+    start = F.substring("object", 1, 60)
+    lost = F.raise_error(F.concat(F.lit("a GeoJSON file holds features that could not be read: "), start)).cast("string")
+    unread = F.col("object").isNotNull() & F.json_object_keys("object").isNull()
+    feature = F.when(unread, lost).when(F.get_json_object("object", "$.type") == "Feature", F.col("object"))
+    return _parsed(rows.select(feature.alias("_feature")).where("_feature IS NOT NULL"), schema, unreadable)
+
+
+def spread_files(lines: DataFrame) -> list[str]:
+    """The files whose lines do not each hold whole features (their names come to the driver).
+
+    Lines that hold none may leave open one brace, that of a collection whose head names its
+    features; whatever else is left open belongs to an object that goes on in other lines. A line
+    that names a feature and holds no whole one counts as such, too.
+    """
+    whole = F.expr(_line_features("value")).isNotNull()
+    opened = F.regexp_replace(json_blocks.unmatched(json_blocks.plain_text(F.col("value"))), r"[^{]+", "")
+    seen = lines.select(
+        F.col("_metadata.file_path").alias("name"),
+        F.when(whole, 0).when(F.col("value").rlike(_OPENED), 2).otherwise(F.length(opened)).alias("opened"),
+        F.col("value").rlike(r'"features"\s*:').cast("int").alias("heads"),
+    )
+    sums = seen.groupBy("name").agg(F.sum("opened").alias("opened"), F.sum("heads").alias("heads"))
+    return [r["name"] for r in sums.where("opened > 1 OR (opened = 1 AND heads = 0)").select("name").collect()]
 
 
 def read_geojson(
-    spark: SparkSession, path: str, schema: str | T.StructType, layout: str = "lines"
+    spark: SparkSession, path: str, schema: str | T.StructType, layout: str = "lines", unreadable: str = "error"
 ) -> DataFrame:
     """GeoJSON files to a table; ``schema`` names the attributes to keep.
 
-    ``lines`` refuses features that spread over lines, ``document`` reads every file as one
-    value, and ``auto`` looks once through the lines for files that need that (the names of
-    those files come to the driver).
+    ``lines`` refuses files whose features spread over lines, ``document`` cuts every file at its
+    braces, and ``auto`` looks once through the lines for files that need that. An attribute that
+    is not of its type, a shape that is no point, polygon or multipolygon, or a position that is no
+    number is an error, or NULL with ``unreadable="null"``.
     """
     if layout == "document":
-        return _documents(spark, path, schema)
+        return _documents(spark, path, schema, unreadable)
     if layout not in ("lines", "auto"):
         raise ValueError("layout is 'lines', 'document' or 'auto'")
     lines = spark.read.text(path)
-    if layout == "lines":
-        return parse_features(lines, schema)
-    name = F.col("_metadata.file_path")
-    spread = lines.where(F.expr(_opened_only("value"))).select(name.alias("name")).distinct()
-    names = [r["name"] for r in spread.collect()]
+    names = spread_files(lines)
+    if names and layout == "lines":
+        raise ValueError(f"a GeoJSON feature spreads over lines: read it with layout auto or document: {names[:3]}")
     if not names:
-        return parse_features(lines, schema)
-    rest = parse_features(lines.where(~name.isin(names)).select("value"), schema)
-    return rest.unionByName(_documents(spark, names, schema))
+        return parse_features(lines, schema, unreadable=unreadable)
+    rest = parse_features(lines.where(~F.col("_metadata.file_path").isin(names)).select("value"), schema, unreadable=unreadable)
+    return rest.unionByName(_documents(spark, names, schema, unreadable))
 
 
 def write_geojson(df: DataFrame, path: str) -> None:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import csv
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.semantics import clean_names, snake_case
-from .geojson import geometry_from_json
+from . import wkb
+from .geojson import geometry_from_json, readable
+from .stages import materialise, scratch_folder  # noqa: F401  (also found here)
 
 
 # ------------------------------------------------------------------------ WKT
@@ -50,33 +50,44 @@ def geometry_from_wkt(text: str) -> str:
 def read_layer(
     spark: SparkSession, path: str, column: str = "wkt", encoding: str = "wkt", unreadable: str = "error"
 ) -> DataFrame:
-    """A vector layer exported to Parquet with a text column of shapes, which becomes ``geometry``.
+    """A vector layer exported to Parquet with a column of shapes, which becomes ``geometry``.
 
-    ``encoding`` is wkt or geojson. A shape of another kind than point, polygon and multipolygon
-    is an error, or NULL with ``unreadable="null"``.
+    ``encoding`` is wkt, geojson or wkb (binary). A shape of another kind than point, polygon and
+    multipolygon, or with a position that is no number, is an error, or NULL with ``unreadable="null"``.
     """
     layer = spark.read.parquet(path)
+    if encoding == "wkb":
+        return wkb.decoded(layer, column, unreadable)
     parse = {"wkt": geometry_from_wkt, "geojson": geometry_from_json}[encoding]
-    shape = F.expr(parse(f"`{column}`"))
-    if unreadable == "error":
-        text = F.substring(F.col(column), 1, 60)
-        lost = F.raise_error(F.concat(F.lit("a shape could not be read: "), text)).cast(layer.select(shape.alias("g")).schema["g"].dataType)
-        shape = F.when(F.col(column).isNotNull() & shape.isNull(), lost).otherwise(shape)
+    shape = readable(F.expr(parse(f"`{column}`")), F.col(column), unreadable)
     return layer.withColumn("geometry", shape).drop(column)
 
 
 # ------------------------------------------------------------------------ CSV
 
-def parse_csv_lines(lines: DataFrame, header: str, types: Mapping[str, str] | None = None) -> DataFrame:
+#: Column that holds the line of a row that does not fit its header.
+CORRUPT = "_corrupt_record"
+
+
+def parse_csv_lines(
+    lines: DataFrame, header: str, types: Mapping[str, str] | None = None, unreadable: str = "error"
+) -> DataFrame:
     """Text lines of CSV to the snake-cased columns that ``header`` names; blank lines are skipped.
 
-    Columns are double unless ``types`` says otherwise.
+    Columns are double unless ``types`` says otherwise. A row with a cell of another type, or with
+    more or fewer cells than the header, is an error; with ``unreadable="keep"`` a further column
+    ``_corrupt_record`` holds its line, NULL for sound rows, so that a job can set it aside.
     """
     types = dict(types or {})
     names = [snake_case(h.strip()) for h in next(csv.reader([header]))]
-    schema = ", ".join(f"`{n}` {types.get(n, 'double')}" for n in names)
+    schema = ", ".join([*(f"`{n}` {types.get(n, 'double')}" for n in names), f"{CORRUPT} string"])
     body = lines.where(F.length(F.trim("value")) > 0)
-    return body.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
+    rows = body.select(F.from_csv("value", schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("_r"))
+    if unreadable == "keep":
+        return rows.select("_r.*")
+    lost = F.raise_error(F.concat(F.lit("a CSV row does not fit its header: "), F.col(f"_r.{CORRUPT}")))
+    sound = F.when(F.col(f"_r.{CORRUPT}").isNull(), F.col("_r")).otherwise(lost.cast(rows.schema["_r"].dataType))
+    return rows.select(sound.alias("_r")).select(*[f"_r.`{n}`" for n in names])
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +107,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_skip(
-    spark: SparkSession, path: str, skip: int, types: Mapping[str, str] | None = None
+    spark: SparkSession, path: str, skip: int, types: Mapping[str, str] | None = None, unreadable: str = "error"
 ) -> DataFrame:
     """CSV files that each begin with ``skip`` lines of preamble and one header line.
 
@@ -108,7 +119,7 @@ def read_csv_skip(
     if len(headers) != 1:
         raise ValueError(f"the files under {path} do not share one header: {headers}")
     body = lines.where(F.col("line").isNull() | (F.col("line") > skip))
-    return parse_csv_lines(body, headers[0], types)
+    return parse_csv_lines(body, headers[0], types, unreadable)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -154,31 +165,3 @@ def save_serving(tables: Mapping[str, DataFrame], path: str, cell: float = 0.1)
 
 def load_serving(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names}
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` as the session has it.
-
-    A local session without the setting gets a temporary folder; a cluster must name one that
-    all executors reach.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-    return tempfile.mkdtemp(prefix="parcelgrid-")
-
-
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a slow stage once and go on from the written table, which also cuts the lineage.
-
-    Without a path the table goes to a new subfolder of :func:`scratch_folder`. What is read
-    back is plain Parquet: its columns prune, its boxes filter, and a lost executor costs only
-    the tasks that read.
-    """
-    spark = df.sparkSession
-    if path is None:
-        path = f"{scratch_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

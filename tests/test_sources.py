@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as geo
 from parcelgrid.plans import impact
-from parcelgrid.sources import geojson, tables
+from parcelgrid.sources import geojson, json_blocks, tables
 
 
 def test_geojson_files(spark, tmp_path):
@@ -131,3 +131,178 @@ def test_layer_of_other_shapes_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="could not be read"):
         tables.read_layer(spark, path).collect()
     assert tables.read_layer(spark, path, unreadable="null").where("geometry IS NULL").count() == 2
+
+
+def _pretty(features, indent=1):
+    import json
+
+    collection = {
+        "type": "FeatureCollection", "name": 'a } "quoted\\" ] name',
+        "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}},
+        "features": features, "links": [{"href": "x"}, {"href": "y"}],
+    }
+    return json.dumps(collection, indent=indent)
+
+
+def _feature(i):
+    return {
+        "type": "Feature",
+        "properties": {"apn": str(i), "note": '{ "}\\" [' + "\\" * (i % 3), "more": {"deep": {"er": [[i], {"x": i}]}}},
+        "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 1], [i, 0]]]},
+    }
+
+
+def test_spread_documents_are_cut_by_many_tasks(spark, tmp_path):
+    """Pretty-printed, on one line, newline-delimited and spread single features, over many small blocks."""
+    import json
+
+    features = [_feature(i) for i in range(100)]
+    texts = {
+        "pretty": _pretty(features), "wide": _pretty(features, 7), "one_line": _pretty(features, None),
+        "delimited": "\n".join(json.dumps(f) for f in features) + "\n", "single_objects": "\n".join(json.dumps(f, indent=2) for f in features),
+        "no_features": _pretty([]), "record_separated": "".join("\x1e" + json.dumps(f) + "\n" for f in features),
+    }
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        for name, text in texts.items():
+            path = tmp_path / f"{name}.geojson"
+            path.write_text(text)
+            want = [] if name == "no_features" else [str(i) for i in range(100)]
+            for layout in ("document", "auto") if name in ("pretty", "delimited") else ("auto",):
+                read = geojson.read_geojson(spark, str(path), "apn string, note string", layout)
+                rows = {r.apn: r for r in read.collect()}
+                assert sorted(rows, key=int) == want, (name, layout)
+                assert all(r.geometry.xmin == int(k) and r.note.startswith('{ "}') for k, r in rows.items())
+        blocks = json_blocks.raw_pieces(spark, str(tmp_path / "pretty.geojson"))
+        assert blocks.select("start").distinct().count() > 5 and blocks.rdd.getNumPartitions() > 5
+        every = geojson.read_geojson(spark, str(tmp_path), "apn string", "auto")
+        assert every.count() == 6 * 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 40, 200])
+def test_a_cut_document_is_an_error(spark, tmp_path, cut):
+    path = tmp_path / "cut.geojson"
+    path.write_text(_pretty([_feature(i) for i in range(5)])[:-cut])
+    with pytest.raises(Exception, match="could not be read"):
+        geojson.read_geojson(spark, str(path), "apn string", "document").collect()
+
+
+def test_type_and_feature_on_two_lines(spark, tmp_path):
+    path = tmp_path / "a.geojson"
+    path.write_text('{ "type":\n "Feature", "properties": {"apn": "1"},\n "geometry": {"type": "Point", "coordinates": [1, 2]}}')
+    assert [r.apn for r in geojson.read_geojson(spark, str(path), "apn string", "auto").collect()] == ["1"]
+    with pytest.raises(ValueError, match="spreads over lines"):
+        geojson.read_geojson(spark, str(path), "apn string", "lines")
+
+
+@pytest.mark.parametrize(
+    ("properties", "shape"),
+    [
+        ('{"n": 1}', '{"type": "LineString", "coordinates": [[0, 0], [1, 1]]}'),
+        ('{"n": 1}', '{"type": "GeometryCollection", "geometries": []}'),
+        ('{"n": 1}', '{"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, "x"], [0, 0]]]}'),
+        ('{"n": "zz"}', '{"type": "Point", "coordinates": [1, 2]}'),
+    ],
+)
+def test_features_that_would_lose_something_are_errors(spark, tmp_path, properties, shape):
+    path = tmp_path / "a.geojson"
+    good = '{"type":"Feature","properties":{"n":7},"geometry":null}'
+    path.write_text(f'{good}\n{{"type":"Feature","properties":{properties},"geometry":{shape}}}\n')
+    for layout in ("lines", "document"):
+        with pytest.raises(Exception, match="could not be read|FAILFAST|MALFORMED"):
+            geojson.read_geojson(spark, str(path), "n int", layout).collect()
+        rows = geojson.read_geojson(spark, str(path), "n int", layout, unreadable="null").collect()
+        assert len(rows) == 2 and [r.n for r in rows if r.n == 7] == [7]
+
+
+def test_a_position_that_is_no_number_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    spark.createDataFrame([("POLYGON((0 0,1 0,1 x,0 0))",), ("POINT (1 2)",)], "wkt string").write.parquet(path)
+    with pytest.raises(Exception, match="could not be read"):
+        tables.read_layer(spark, path).collect()
+    assert [r.geometry is None for r in tables.read_layer(spark, path, unreadable="null").orderBy("geometry").collect()] == [True, False]
+
+
+def test_csv_rows_that_do_not_fit_are_told(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("A,B\n1,2\nq,4\n5\n6,7,8\n,9\n")
+    with pytest.raises(Exception, match="does not fit its header"):
+        tables.read_csv_skip(spark, str(path), 0).collect()
+    rows = tables.read_csv_skip(spark, str(path), 0, unreadable="keep")
+    assert sorted(r._corrupt_record for r in rows.where("_corrupt_record IS NOT NULL").collect()) == ["5", "6,7,8", "q,4"]
+    assert sorted((str(r.a), r.b) for r in rows.where("_corrupt_record IS NULL").collect()) == [("1.0", 2.0), ("None", 9.0)]
+
+
+def _wkb(shape, order="<", size=2, style="iso", srid=None):
+    import struct
+
+    kind = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3, "MULTIPOINT": 4, "MULTIPOLYGON": 6, "COLLECTION": 7}[shape[0]]
+    code = kind + ({2: 0, 3: 1000, 4: 3000}[size] if style == "iso" else {2: 0, 3: 0x80000000, 4: 0xC0000000}[size])
+    out = struct.pack("B", order == "<") + struct.pack(f"{order}I", code | (0x20000000 if srid else 0))
+    out += struct.pack(f"{order}I", srid) if srid else b""
+    positions = lambda ps: b"".join(struct.pack(f"{order}{size}d", *p, *[9.0] * (size - 2)) for p in ps)
+    if shape[0] == "POINT":
+        return out + positions([shape[1]])
+    out += struct.pack(f"{order}I", len(shape[1]))
+    if shape[0] == "LINESTRING":
+        return out + positions(shape[1])
+    if shape[0] == "POLYGON":
+        return out + b"".join(struct.pack(f"{order}I", len(r)) + positions(r) for r in shape[1])
+    return out + b"".join(_wkb(s, order, size, style) for s in shape[1])
+
+
+SQUARE = [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)], [(0.5, 0.5), (1, 0.5), (1, 1), (0.5, 0.5)]]
+FAR = [[(5, 5), (6, 5), (6, 6), (5, 5)]]
+
+
+def test_wkb_in_every_spelling(spark, tmp_path):
+    rows = []
+    for order in "<>":
+        for size in (2, 3, 4):
+            for style in ("iso", "flags"):
+                for srid in (None, 4326) if style == "flags" else (None,):
+                    how = (order, size, style, srid)
+                    rows.append(("point", bytearray(_wkb(("POINT", (1.5, -2)), *how))))
+                    rows.append(("square", bytearray(_wkb(("POLYGON", SQUARE), *how))))
+                    rows.append(("both", bytearray(_wkb(("MULTIPOLYGON", [("POLYGON", SQUARE), ("POLYGON", FAR)]), *how))))
+    rows += [("none", None), ("both", bytearray(_wkb(("COLLECTION", [("MULTIPOLYGON", [("POLYGON", SQUARE)]), ("POLYGON", FAR)])))), ("point", bytearray(_wkb(("MULTIPOINT", [("POINT", (1.5, -2))]))))]
+    path = str(tmp_path / "layer")
+    spark.createDataFrame(rows, "wkb_x string, shape binary").repartition(3).write.parquet(path)
+    read = tables.read_layer(spark, path, "shape", "wkb")
+    assert read.columns == ["wkb_x", "geometry"]
+    want = {
+        "point": ("point", 1.5, -2.0, 1.5, -2.0, None, 0.0), "none": (None,) * 7,
+        "square": ("polygon", 0.0, 0.0, 2.0, 2.0, [[5, 4]], 3.875), "both": ("polygon", 0.0, 0.0, 6.0, 6.0, [[5, 4], [4]], 4.375),
+    }
+    got = read.withColumn("area", F.expr(geo.area_planar("geometry"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        g = r.geometry
+        sizes = None if g is None or g.rings is None else [[len(ring) for ring in p] for p in g.rings]
+        own = (None,) * 7 if g is None else (g.kind, g.xmin, g.ymin, g.xmax, g.ymax, sizes, r.area)
+        assert own == want[r.wkb_x]
+        if r.wkb_x in ("square", "both"):
+            assert [[(v.x, v.y) for v in ring] for ring in g.rings[0]] == SQUARE
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        _wkb(("LINESTRING", [(0, 0), (1, 1)])), _wkb(("POLYGON", SQUARE))[:-3], _wkb(("POLYGON", SQUARE)) + b"\0", _wkb(("POINT", (1, float("nan")))),
+        _wkb(("MULTIPOINT", [("POINT", (1, 2)), ("POINT", (3, 4))])), _wkb(("COLLECTION", [("POINT", (1, 2)), ("POLYGON", SQUARE)])), b"", b"\x02" * 30,
+        b"\x01\x03\x00\x00\x00\x01\x00\x00\x00\xff\xff\xff\xff",
+    ],
+)
+def test_wkb_of_another_kind_is_an_error(spark, tmp_path, data):
+    path = str(tmp_path / "layer")
+    spark.createDataFrame([(1, bytearray(data)), (2, bytearray(_wkb(("POINT", (1, 2)))))], "n int, shape binary").coalesce(1).write.parquet(path)
+    with pytest.raises(Exception, match="could not be read"):
+        tables.read_layer(spark, path, "shape", "wkb").collect()
+    got = {r.n: r.geometry for r in tables.read_layer(spark, path, "shape", "wkb", unreadable="null").collect()}
+    assert got[1] is None and got[2].ymax == 2.0
