@@ -13,6 +13,7 @@ from parcelgrid.functions import projection
 from parcelgrid.functions.semantics import clean_names, half_even, parse_date, year_of
 from parcelgrid.operators import relational as rel
 from parcelgrid.operators import spatial as sp
+from parcelgrid.operators import stored
 from parcelgrid.plans import addresses, compliance, emissions, impact, parcels, places, planned
 from parcelgrid.sources import geojson, tables
 
@@ -734,6 +735,25 @@ def spatial_poly_poly(spark, d):
     ).select("apn", "name")
 
 
+_POLY_POLY = f"SELECT a.apn, p.name FROM parcels_fx a JOIN places_fx p ON {_touches_place('a', 'p')}"
+
+
+@register("bucketed_join", _POLY_POLY)
+def bucketed_join(spark, d):
+    """Parcels stored by grid cell, dense cells in parts; the join reads their buckets."""
+    path = _new_folder(spark)
+    parcels = fx.parcels(spark, d).select("apn", "geometry")
+    stored.save_bucketed(parcels, path, cell=0.1, buckets=16, crowd=2000)
+    return stored.load_bucketed(spark, path).join(fx.places(spark, d), "intersects", "inner").select("apn", "name")
+
+
+@register("crowded_join", _POLY_POLY)
+def crowded_join(spark, d):
+    """Coarse cells that hold many parcels each, split as they are counted."""
+    parcels = fx.parcels(spark, d).select("apn", "geometry")
+    return sp.spatial_join(parcels, fx.places(spark, d), "intersects", "inner", cell=0.4, crowd=1000).select("apn", "name")
+
+
 @register(
     "spatial_overlay_pairs",
     f"SELECT a.apn, t.sch_number FROM parcels_fx a JOIN projects_fx t ON {_OVERLAP.format(a='a', b='t')}",

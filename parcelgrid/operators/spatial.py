@@ -14,7 +14,9 @@ nothing and those at its border a few dozen segment tests.
 
 A cell that is hot on the driving side is an ordinary skewed key: with the indexed side
 broadcast there is no shuffle at all, and otherwise adaptive execution splits the hot
-partition of the driving side.
+partition of the driving side. Where that cannot work (the driving side is read by buckets, or
+what follows needs the rows where they are), cells of over ``crowd`` driving rows are split: their
+rows are dealt to as many parts as it takes, and the indexed rows of such a cell go to all of them.
 """
 
 from __future__ import annotations
@@ -111,6 +113,35 @@ def _keyed_driver(df: DataFrame, geometry: str, cell: float, points: bool) -> Da
     return _one_row(boxed, [number("_d_xmin").alias("_d_cx"), number("_d_ymin").alias("_d_cy")])
 
 
+#: Grid key columns of a table that is stored by them, in the order of the buckets.
+KEYS = ("cell_k", "cell_cx", "cell_cy", "cell_part")
+_DRIVER_KEYS = ("_d_k", "_d_cx", "_d_cy", "_d_part")
+
+
+def dense_cells(keyed: DataFrame, crowd: int) -> DataFrame:
+    """(k, cx, cy, parts) of the cells with over ``crowd`` driving rows; at most a ``crowd``-th as many as rows."""
+    cells = keyed.groupBy(*[F.col(d).alias(n) for d, n in zip(_DRIVER_KEYS, ("k", "cx", "cy"))])
+    counts = cells.agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    return counts.select("k", "cx", "cy", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+
+
+def _dealt(keyed: DataFrame, dense: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Driving rows with their part of a dense cell, by a hash of the row; 0 elsewhere."""
+    cell = dense.select(*[F.col(c).alias(f"_c_{c}") for c in dense.columns])
+    here = [F.col(d).eqNullSafe(F.col(f"_c_{c}")) for d, c in zip(_DRIVER_KEYS, ("k", "cx", "cy"))]
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.col("_c_parts"))
+    held = keyed.join(cell, here[0] & here[1] & here[2], "left")
+    return held.withColumn("_d_part", F.coalesce(part, F.lit(0)).cast("int")).drop(*cell.columns)
+
+
+def keyed_rows(df: DataFrame, *, cell: float, crowd: int, geometry: str = "geometry", points: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows with their grid keys (KEYS) as columns, and the dense cells."""
+    keyed = _keyed_driver(df, geometry, cell, points)
+    dense = materialise(dense_cells(keyed, crowd))
+    rows = _dealt(keyed, dense, df.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(d).alias(n) for d, n in zip(_DRIVER_KEYS, KEYS)]), dense
+
+
 def _cells_sql(cell: float, reach: int) -> str:
     """array<struct(k, cx, cy)> of every cell of level ``_i_k`` that a driving row which meets
     the box may be keyed by. A driving polygon may start one cell lower in each direction
@@ -215,6 +246,8 @@ def grid_join(
     driver_edges: bool = True,
     keep_index_geometry: bool = False,
     boundary: bool = False,
+    crowd: int | None = None,
+    dense: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows whose boxes (the indexed one padded) overlap and that pass ``test``.
 
@@ -225,11 +258,23 @@ def grid_join(
     ``boundary`` says that the indexed side is a table of boundaries (counties, places): it is
     written while the query is built, and broadcast if that proves small. Without it no job
     runs until the result is asked for and the planner chooses from what it knows by then.
+
+    ``crowd`` splits cells of more driving rows, which are counted first. A driving side that is
+    stored by its grid keys (columns KEYS, of the same cell size) comes with its ``dense`` cells;
+    its keys are then used as they are, so buckets by them need no exchange.
     """
     pad = pad if isinstance(pad, Column) else F.lit(float(pad))
     reach = 0 if driver_points else 1
 
-    left = _keyed_driver(driver, driver_geometry, cell, driver_points)
+    stored = dense is not None
+    columns = [c for c in driver.columns if not (stored and c in KEYS)]
+    if stored:
+        left = _boxed(driver, driver_geometry, "_d_").withColumns(dict(zip(_DRIVER_KEYS, map(F.col, KEYS))))
+    else:
+        left = _keyed_driver(driver, driver_geometry, cell, driver_points)
+    if crowd and not stored:
+        dense = materialise(dense_cells(left, crowd))
+        left = _dealt(left, dense, driver.columns)
     if driver_edges and not driver_points:
         left = left.withColumns(
             {
@@ -238,13 +283,15 @@ def grid_join(
             }
         )
     levels = F.array(F.lit(0))
-    if not driver_points:
+    if not driver_points and stored:
+        levels = driver.select(F.expr("collect_set(cell_k)")).scalar()
+    elif not driver_points:
         in_use = _boxed(driver.select(driver_geometry), driver_geometry, "_d_")
         levels = in_use.select(F.expr(f"collect_set({_level_sql(cell)})")).scalar()
 
     own = [c for c in index.columns if c != index_geometry or keep_index_geometry]
     wanted = [] if how in ("left_semi", "left_anti") else own
-    out_names = {c: f"{c}_right" if c in driver.columns else c for c in wanted}
+    out_names = {c: f"{c}_right" if c in columns else c for c in wanted}
     shapes = index.withColumn("_i_pad", pad).withColumn("_i_levels", levels)
     if index_edges:
         shapes = shapes.withColumn(
@@ -259,6 +306,11 @@ def grid_join(
         cells = _settle_cells(cells, cell, reach)
         kept += [F.col("_i_near"), F.col("_i_in")]
     right = cells.select("_i_cell", "_i_pad", *[f"_i_{n}" for n in geo.BOX], *kept)
+    if dense is not None:
+        spread = dense.select(F.struct("k", "cx", "cy").alias("_c_cell"), F.col("parts").alias("_c_parts"))
+        right = right.join(spread, F.col("_i_cell") == F.col("_c_cell"), "left")
+        every = F.sequence(F.lit(0), F.coalesce("_c_parts", F.lit(1)) - 1)
+        right = right.withColumn("_i_part", F.explode(every)).drop("_c_cell", "_c_parts")
     if boundary:
         right = _boundary_cells(right)
 
@@ -268,9 +320,11 @@ def grid_join(
         " AND _d_ymin <= _i_ymax + _i_pad AND _d_ymax >= _i_ymin - _i_pad"
         f" AND {test(DRIVER, INDEX)}"
     )
+    if dense is not None:
+        condition = f"_d_part = _i_part AND {condition}"
     joined = left.join(right, F.expr(condition), how)
     return joined.select(
-        *[F.col(f"`{c}`") for c in driver.columns],
+        *[F.col(f"`{c}`") for c in columns],
         *[F.col(indexed(c)).alias(name) for c, name in out_names.items()],
     )
 
@@ -322,6 +376,8 @@ def spatial_join(
     left_geometry: str = "geometry",
     right_geometry: str = "geometry",
     boundary: bool = False,
+    crowd: int | None = None,
+    dense: DataFrame | None = None,
 ) -> DataFrame:
     """``left <predicate> right`` for intersects, contains or within; many matches, many rows.
 
@@ -340,6 +396,8 @@ def spatial_join(
         index_edges=not right_points,
         keep_index_geometry=keep_right_geometry,
         boundary=boundary,
+        crowd=crowd,
+        dense=dense,
     )
 
 
