@@ -1159,6 +1159,29 @@ def quarantine(spark, d):
     return good.select("apn", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("apn", "reason"))
 
 
+@register(
+    "invalid_rings",
+    """SELECT apn, id%2 AS table_no, CASE WHEN id%9=0 THEN 'crossing rings' WHEN id%7=0 THEN 'hole outside its shell'
+  WHEN id%5=0 THEN 'overlapping parts' END AS reason FROM parcels_fx""",
+)
+def invalid_rings(spark, d):
+    """Two tables of parcels with rings that cross, holes beside their shell and parts in parts, split before the job."""
+    def ring(*at: tuple[float, float]) -> str:
+        corners = [geo.vertex(f"xmin + {x} * (xmax - xmin)", f"ymin + {y} * (ymax - ymin)") for x, y in (*at, at[0])]
+        return f"array({', '.join(corners)})"
+
+    whole, bow = ring((0, 0), (1, 0), (1, 1), (0, 1)), ring((0, 0), (1, 1), (1, 0), (0, 0.75))
+    beside, inner = ring((2, 0), (3, 0), (3, 1), (2, 1)), ring((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75))
+    shape = (
+        f"CASE WHEN id % 9 = 0 THEN {geo.ring_polygon(bow)} WHEN id % 7 = 0 THEN {geo.polygon(f'array(array({whole}, {beside}))')}"
+        f" WHEN id % 5 = 0 THEN {geo.polygon(f'array(array({whole}), array({inner}))')} ELSE geometry END"
+    )
+    every = fx.parcels(spark, d).select("apn", "id", F.expr(shape).alias("geometry"))
+    good, refused = parcels.refuse_invalid([every.where(f"id % 2 = {k}") for k in (0, 1)])
+    kept = [t.select("apn", F.lit(k).alias("table_no"), F.lit(None).cast("string").alias("reason")) for k, t in enumerate(good)]
+    return rel.bind_rows(*kept, refused.select("apn", "table_no", "reason"))
+
+
 @register(
     "point_discs",
     "SELECT company, 121 AS n_vertices, round(cos(pi()/120),3) AS narrowest FROM (SELECT c_name AS company, 500e0 AS radius FROM customer) q",

@@ -250,6 +250,59 @@ def invalid_reason(g: str) -> str:
     return let(g, reason)
 
 
+def segments_cross(e: str, f: str) -> str:
+    """Whether two segments cross inside both, or share more than a point of one line."""
+    def span(axis: str) -> tuple[str, str]:
+        low = f"greatest(least({e}.a{axis}, {e}.b{axis}), least({f}.a{axis}, {f}.b{axis}))"
+        high = f"least(greatest({e}.a{axis}, {e}.b{axis}), greatest({f}.a{axis}, {f}.b{axis}))"
+        return low, high
+
+    (x0, x1), (y0, y1) = span("x"), span("y")
+
+    def side(a: str, b: str, end: str) -> str:
+        return f"sign({_cross(a, f'{b}.{end}x', f'{b}.{end}y')})"
+
+    proper = f"{side(e, f, 'a')} * {side(e, f, 'b')} < 0 AND {side(f, e, 'a')} * {side(f, e, 'b')} < 0"
+    one_line = f"{side(e, f, 'a')} = 0 AND {side(e, f, 'b')} = 0 AND ({x0} < {x1} OR {y0} < {y1})"
+    return f"({x0} <= {x1} AND {y0} <= {y1} AND (({proper}) OR ({one_line})))"
+
+
+def crossing(g: str) -> str:
+    """Whether any two boundary segments cross; compares all of them, so for shapes of few."""
+    def pairs(es: str) -> str:
+        i, f = _name(), _name()
+        later = f"slice({es}, {i} + 1, size({es}))"
+        here = let(f"{es}[{i} - 1]", lambda e: f"exists({later}, {f} -> {segments_cross(e, f)})")
+        return f"CASE WHEN size({es}) > 1 THEN exists(sequence(1, size({es}) - 1), {i} -> {here}) ELSE false END"
+
+    return f"coalesce({let(edges(g), pairs)}, false)"
+
+
+def misplaced(g: str) -> str:
+    """Why the rings of a shape without crossings do not make one: a hole or a part in the wrong place; else NULL."""
+    def ring_edges(r: str) -> str:
+        return _ring_edges(r)
+
+    def hole_out(part: str) -> str:
+        h = _name()
+        shell = let(ring_edges(f"{part}[0]"), lambda es: f"exists(slice({part}, 2, size({part})), {h} -> NOT exists({h}, w -> {contains_point(es, 'w.x', 'w.y')}))")
+        return f"(size({part}) > 1 AND {shell})"
+
+    def parts(rings: str) -> str:
+        p, q, i, j = _name(), _name(), _name(), _name()
+        within = let(ring_edges(f"{p}[0]"), lambda es: f"exists({q}[0], w -> {contains_point(es, 'w.x', 'w.y')})")
+        holes = let(
+            f"flatten(transform(slice({p}, 2, size({p})), r -> {ring_edges('r')}))",
+            lambda es: f"(size({p}) > 1 AND forall({q}[0], w -> {covers_point(es, 'w.x', 'w.y')}))",
+        )
+        inner = f"exists(transform({rings}, ({q}, {j}) -> {i} <> {j} AND {within} AND NOT {holes}), b -> b)"
+        overlap = f"(size({rings}) > 1 AND exists(transform({rings}, ({p}, {i}) -> {inner}), b -> b))"
+        h = _name()
+        return f"CASE WHEN exists({rings}, {h} -> {hole_out(h)}) THEN 'hole outside its shell' WHEN {overlap} THEN 'overlapping parts' END"
+
+    return f"CASE WHEN {g}.kind <> 'point' THEN {let(f'{g}.rings', parts)} END"
+
+
 # ------------------------------------------------------------------- canonical
 
 def _canonical_ring(ring: str) -> str:

@@ -601,9 +601,56 @@ def in_circles(
 
 # -------------------------------------------------------------------- equality
 
+#: Segments of a shape that are compared all with all in its row; larger shapes go to a grid of their own.
+FEW_SEGMENTS = 64
+
+
+def crossing_shapes(shapes: DataFrame, key: str, column: str = "geometry") -> DataFrame:
+    """(key) of the shapes with segments that cross, for shapes of any size.
+
+    Every shape has a grid of its own with about as many cells as segments; only segments of one
+    shape that lie in one cell are compared, so the work follows the segments.
+    """
+    g = F.col(column)
+    edges = shapes.select(
+        F.col(key), F.expr(f"size({geo.edges(column)})").alias("n"), g["xmin"].alias("x0"), g["ymin"].alias("y0"),
+        F.greatest(g["xmax"] - g["xmin"], g["ymax"] - g["ymin"]).alias("extent"), F.posexplode(F.expr(geo.edges(column))).alias("at", "e"),
+    )
+    size = F.greatest(F.col("extent") / F.ceil(F.sqrt("n")), F.lit(1e-12))
+
+    def cells(axis: str) -> Column:
+        low, high = (f(F.col(f"e.a{axis}"), F.col(f"e.b{axis}")) for f in (F.least, F.greatest))
+        return F.sequence(F.floor((low - F.col(f"{axis}0")) / size), F.floor((high - F.col(f"{axis}0")) / size))
+
+    spread = edges.select(key, "at", "e", F.explode(cells("x")).alias("cx"), cells("y").alias("cys")).select(key, "at", "e", "cx", F.explode("cys").alias("cy"))
+    left, right = (spread.select(F.col(key).alias(f"key_{k}"), "cx", "cy", F.col("at").alias(f"at_{k}"), F.col("e").alias(f"e_{k}")) for k in "ab")
+    met = left.join(right, (left["key_a"] == right["key_b"]) & (left["cx"] == right["cx"]) & (left["cy"] == right["cy"]) & (left["at_a"] < right["at_b"]) & F.expr(geo.segments_cross("e_a", "e_b")))
+    return met.select(F.col("key_a").alias(key)).distinct()
+
+
+def invalid_shapes(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """The rows with the ``reason`` why their geometry is not valid, NULL if it is.
+
+    Rings that are open, too short, not finite or without area; rings that cross themselves or each
+    other; holes outside their shell; parts that overlap.
+    """
+    own = df.withColumn("reason", F.expr(geo.invalid_reason(f"`{column}`")))
+    many = F.coalesce(F.expr(f"size({geo.edges(f'`{column}`')})"), F.lit(0)) > FEW_SEGMENTS
+    few = own.where(F.col("reason").isNotNull() | ~many)
+    crossed = F.when(F.expr(geo.crossing(f"`{column}`")), F.lit("crossing rings"))
+    placed = F.expr(geo.misplaced(f"`{column}`"))
+    few = few.withColumn("reason", F.coalesce("reason", crossed, placed))
+    large = own.where(F.col("reason").isNull() & many).drop("reason").withColumn("_shape_id", F.monotonically_increasing_id())
+    large = materialise(large)
+    found = crossing_shapes(large, "_shape_id", column).select(F.col("_shape_id").alias("_crossed"))
+    large = large.join(found, F.col("_shape_id") == F.col("_crossed"), "left")
+    crossed = F.when(F.col("_crossed").isNotNull(), F.lit("crossing rings"))
+    return few.unionByName(large.withColumn("reason", F.coalesce(crossed, placed)).drop("_shape_id", "_crossed"))
+
+
 def split_valid(df: DataFrame, column: str = "geometry") -> tuple[DataFrame, DataFrame]:
     """(rows with a valid geometry, the others with the reason), to put ahead of the jobs."""
-    checked = df.withColumn("reason", F.expr(geo.invalid_reason(f"`{column}`")))
+    checked = materialise(invalid_shapes(df, column))
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 

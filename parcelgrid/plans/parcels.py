@@ -22,7 +22,7 @@ from ..functions.semantics import (
 )
 from ..functions.units import SQ_FT_PER_M2
 from ..operators.relational import bind_rows, is_in, keep_first, not_in
-from ..operators.spatial import container_join, explode_parts, spatial_anti, spatial_join
+from ..operators.spatial import container_join, explode_parts, spatial_anti, spatial_join, split_valid
 from ..sources.tables import materialise
 
 MAYBE_WAREHOUSE_SQ_FT = 150_000   # minimum size of parcels not called a warehouse
@@ -350,6 +350,16 @@ def merge_sources(
 
 # ------------------------------------------------------------------- all counties
 
+def refuse_invalid(tables: Sequence[DataFrame], columns: Sequence[str] = ("apn",)) -> tuple[list[DataFrame], DataFrame]:
+    """Ahead of :func:`combine_parcels`: the tables without shapes that are not valid, and those rows.
+
+    The refused come back with their ``columns``, the reason, and the number of their table.
+    """
+    split = [split_valid(t) for t in tables]
+    refused = [bad.select(*columns, "reason", F.lit(i).alias("table_no")) for i, (_, bad) in enumerate(split)]
+    return [good for good, _ in split], bind_rows(*refused)
+
+
 def combine_parcels(
     tables: Sequence[DataFrame],
     deny_ids: DataFrame,
