@@ -705,6 +705,60 @@ def quantile_edges(spark, d):
     return out.select("l_returnflag", *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(names)])
 
 
+_PARTS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+
+
+@register(
+    "quantile_sketches",
+    f"""SELECT l_returnflag, p, n, TRUE AS within_bound FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1) g,
+  (SELECT unnest([{', '.join(f'{p}e0' for p in _PARTS)}]) AS p) q""",
+)
+def quantile_sketches(spark, d):
+    """Sketches kept per flag and supplier share, merged per flag, against the exact ranks of what they answer."""
+    rows = fx.table(spark, d, "lineitem").select("l_returnflag", F.pmod("l_suppkey", F.lit(20)).alias("share"), "l_extendedprice")
+    kept = tables.materialise(rel.quantile_sketches(rows, ["l_returnflag", "share"], "l_extendedprice"))
+    asked = rel.merged_quantiles(kept, ["l_returnflag"], _PARTS)
+    wanted = F.arrays_zip("quantiles", F.array(*[F.lit(p) for p in _PARTS]).alias("p"))
+    asked = asked.select(F.col("l_returnflag"), F.explode(wanted).alias("z")).select("l_returnflag", F.col("z.p").alias("p"), F.col("z.quantiles").alias("q"))
+    ranks = rows.join(asked, "l_returnflag").groupBy("l_returnflag", "p").agg(
+        F.count("*").alias("n"), F.sum((F.col("l_extendedprice") < F.col("q")).cast("long")).alias("less"),
+        F.sum((F.col("l_extendedprice") <= F.col("q")).cast("long")).alias("most"),
+    )
+    off = F.greatest(F.col("less") / F.col("n") - F.col("p"), F.col("p") - F.col("most") / F.col("n"))
+    return ranks.select("l_returnflag", F.col("p").cast("double").alias("p"), "n", (off <= 0.02).alias("within_bound"))
+
+
+_BOX_DEGREES = "SELECT c_custkey, c_custkey%50-125 AS x0, (c_custkey*7)%120-60 AS y0 FROM customer"
+
+
+@register(
+    "sphere_measures",
+    f"""SELECT c_custkey, round(6371.010e0*6371.010e0*2*abs(atan(tan(d)*sin(p2))-atan(tan(d)*sin(p1))),6) AS sq_km, round(x0+0.5e0,8) AS lon,
+  round(degrees(atan2(2*sin(d)*cos(d)*(k1*cos(p1)*cos(p1)-k2*cos(p2)*cos(p2)),
+    2*(p2-p1)*sin(d)+2*sin(d)*(k2*sin(p2)*cos(p2)-k1*sin(p1)*cos(p1)))),8) AS lat
+FROM (SELECT *, 2*asin(cos(p1)*sin(d))/sin(2*asin(cos(p1)*sin(d))) AS k1, 2*asin(cos(p2)*sin(d))/sin(2*asin(cos(p2)*sin(d))) AS k2
+ FROM (SELECT c_custkey, x0, radians(0.5e0) AS d, radians(y0::DOUBLE) AS p1, radians(y0+1e0) AS p2 FROM ({_BOX_DEGREES}) b) r) s""",
+)
+def sphere_measures(spark, d):
+    """Area and centroid on the sphere of boxes of one degree."""
+    boxes = fx.table(spark, d, "customer").selectExpr("c_custkey", "c_custkey % 50 - 125 AS x0", "(c_custkey * 7) % 120 - 60 AS y0")
+    shapes = boxes.select("c_custkey", F.expr(geo.box("x0", "y0", "x0 + 1", "y0 + 1")).alias("g"))
+    centre = shapes.select("c_custkey", F.expr(geo.area_spherical("g")).alias("area"), F.expr(geo.centroid_spherical("g")).alias("c"))
+    return centre.select(
+        "c_custkey", F.round(F.col("area") / 1e6, 6).alias("sq_km"), F.round("c.xmin", 8).alias("lon"), F.round("c.ymin", 8).alias("lat")
+    )
+
+
+@register("geojson_collections", "SELECT apn, class, shape_area, xmin,ymin,xmax,ymax FROM serving_fx")
+def geojson_collections(spark, d):
+    """Files that are each a whole collection, written over an older set, and read back."""
+    path = _new_folder(spark)
+    rows = fx.serving(spark, d).select("apn", "class", "shape_area", "geometry")
+    geojson.write_collections(rows.limit(10), path)
+    geojson.write_collections(rows, path)
+    return _bounds(geojson.read_geojson(spark, path, "apn string, class string, shape_area double"), "apn", "class", "shape_area")
+
+
 # -------------------------------------------------------------- spatial joins
 
 _OVERLAP = "{a}.xmin<={b}.xmax AND {a}.xmax>={b}.xmin AND {a}.ymin<={b}.ymax AND {a}.ymax>={b}.ymin"

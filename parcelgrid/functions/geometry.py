@@ -210,6 +210,77 @@ def centroid(g: str) -> str:
     return let(g, whole)
 
 
+#: Metres; the radius that spherical geometry libraries use.
+SPHERE_RADIUS = 6371010.0
+
+
+def _sphere_ring(ring: str) -> str:
+    """Spherical excess (negative if counter-clockwise) and twice the vector area of a ring, edges as great circles."""
+    def on_sphere(lon: str, lat: str) -> str:
+        return (
+            f"named_struct('l', radians({lon}), 't', tan(radians({lat}) / 2), 'x', cos(radians({lat})) * cos(radians({lon})),"
+            f" 'y', cos(radians({lat})) * sin(radians({lon})), 'z', sin(radians({lat})))"
+        )
+
+    def step(sums: str, e: str) -> str:
+        def with_ends(a: str, b: str) -> str:
+            excess = f"2 * atan2(tan(({b}.l - {a}.l) / 2) * ({a}.t + {b}.t), 1 + {a}.t * {b}.t)"
+            # a x b as a x (b - a): exact enough for the short edges of a parcel
+            gap = {c: f"({b}.{c} - {a}.{c})" for c in "xyz"}
+            across = [f"{a}.{p} * {gap[q]} - {a}.{q} * {gap[p]}" for p, q in ("yz", "zx", "xy")]
+            normal = f"named_struct('x', {across[0]}, 'y', {across[1]}, 'z', {across[2]})"
+
+            def with_normal(n: str) -> str:
+                length = f"sqrt({n}.x * {n}.x + {n}.y * {n}.y + {n}.z * {n}.z)"
+                angle = f"atan2({length}, {a}.x * {b}.x + {a}.y * {b}.y + {a}.z * {b}.z)"
+                return let(
+                    f"coalesce(try_divide({angle}, {length}), 0D)",
+                    lambda k: f"named_struct('s', {sums}.s + {excess}, "
+                    + ", ".join(f"'{c}', {sums}.{c} + {k} * {n}.{c}" for c in "xyz") + ")",
+                )
+
+            return let(normal, with_normal)
+
+        return let(on_sphere(f"{e}.ax", f"{e}.ay"), lambda a: let(on_sphere(f"{e}.bx", f"{e}.by"), lambda b: with_ends(a, b)))
+
+    t, e = _name(), _name()
+    zero = "named_struct('s', 0D, 'x', 0D, 'y', 0D, 'z', 0D)"
+    return f"aggregate({_ring_edges(ring)}, {zero}, ({t}, {e}) -> {step(t, e)})"
+
+
+def _sphere_sums(rings: str) -> str:
+    """Area on the unit sphere and outward vector area, holes subtracted."""
+    r, i, t, v = _name(), _name(), _name(), _name()
+    oriented = let(
+        _sphere_ring(r),
+        lambda q: f"named_struct('s', IF({i} = 0, 1, -1) * abs({q}.s), "
+        + ", ".join(f"'{c}', IF({i} = 0, -1, 1) * sign({q}.s) * {q}.{c}" for c in "xyz") + ")",
+    )
+    every = f"flatten({each(rings, lambda part: f'transform({part}, ({r}, {i}) -> {oriented})')})"
+    zero = "named_struct('s', 0D, 'x', 0D, 'y', 0D, 'z', 0D)"
+    total = "named_struct(" + ", ".join(f"'{c}', {t}.{c} + {v}.{c}" for c in "sxyz") + ")"
+    return f"aggregate({every}, {zero}, ({t}, {v}) -> {total})"
+
+
+def area_spherical(g: str, radius: float = SPHERE_RADIUS) -> str:
+    """Area in m^2 of a longitude/latitude geometry on a sphere, edges as great circles; 0 for a point."""
+    def measured(v: str) -> str:
+        return f"CASE WHEN {v}.kind = 'point' THEN 0D ELSE {_sphere_sums(f'{v}.rings')}.s * {radius * radius!r}D END"
+
+    return let(g, measured)
+
+
+def centroid_spherical(g: str) -> str:
+    """The point under the mean position vector of a longitude/latitude geometry on the sphere."""
+    def centre(s: str) -> str:
+        return point(f"degrees(atan2({s}.y, {s}.x))", f"degrees(atan2({s}.z, sqrt({s}.x * {s}.x + {s}.y * {s}.y)))")
+
+    def whole(v: str) -> str:
+        return f"CASE WHEN {v}.kind = 'point' THEN {v} ELSE {let(_sphere_sums(f'{v}.rings'), centre)} END"
+
+    return let(g, whole)
+
+
 def is_valid(g: str) -> str:
     """Every ring closed, of four or more finite vertices, and of non-zero area."""
     def finite(x: str, y: str) -> str:

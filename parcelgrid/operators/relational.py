@@ -106,6 +106,22 @@ def keep_first(df: DataFrame, by: Sequence[Column], order: Sequence[Column | str
     return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= 1).drop("_row")
 
 
+def quantile_sketches(df: DataFrame, by: Sequence[str], value: str, k: int = 400) -> DataFrame:
+    """Per group a mergeable sketch of its values (columns ``by`` and ``sketch``), to keep beside the table.
+
+    Partial sketches are merged before and after the shuffle, so a group of any size sends one per
+    task. A quantile's rank is off by about 0.7 % at k = 400, half of that at twice the k. NULLs do not count.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """Columns ``by`` and ``quantiles`` of what the groups' kept sketches hold together; values as they occur."""
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("_all"))
+    return merged.select(*by, F.kll_sketch_get_quantile_double("_all", wanted).alias("quantiles"))
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],

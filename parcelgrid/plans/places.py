@@ -111,23 +111,26 @@ def build_places_centroid(
     coastal: Sequence[str] = COASTAL_CITIES,
     coastal_counties: Sequence[str] = COASTAL_COUNTIES,
     cell: float = 0.25,
+    sphere: bool = False,
 ) -> DataFrame:
     """Rows (county_name, name, namelsad, aland, aland_unit, geometry).
 
     Places whose centroid lies in a county, the listed coastal cities that touch a coastal
     county, and the counties with their area. Place areas are as the layer gives them (m2) and
-    county areas in sq ft; the unit says which.
+    county areas in sq ft; the unit says which. ``sphere`` takes centroids and areas on the
+    sphere, with edges as great circles, in place of the plane and the ellipsoid.
     """
+    middle, area = (geo.centroid_spherical, geo.area_spherical) if sphere else (geo.centroid, geo.area_geodesic)
     island = counties.where(F.col("island").isNull())
     named = island.select("county_name", "geometry")
-    centred = places.withColumn("_at", F.expr(geo.centroid("geometry")))
+    centred = places.withColumn("_at", F.expr(middle("geometry")))
     by_centre = spatial_join(
-        centred, named, "within", "inner", cell=cell, left_points=True, left_geometry="_at"
+        centred, named, "within", "inner", cell=cell, left_points=True, left_geometry="_at", boundary=True
     ).drop("_at")
     beach = spatial_join(
         places.where(F.col("name").isin(*coastal)),
         named.where(F.col("county_name").isin(*coastal_counties)),
-        "intersects", "inner", cell=cell,
+        "intersects", "inner", cell=cell, boundary=True,
     )
     columns = ["county_name", "name", "namelsad", "aland", "aland_unit", "geometry"]
     rows = bind_rows(by_centre, beach).withColumn("aland_unit", F.lit("m2")).select(*columns)
@@ -136,7 +139,7 @@ def build_places_centroid(
         "county_name",
         long_name.alias("name"),
         long_name.alias("namelsad"),
-        (F.expr(geo.area_geodesic("geometry")) * SQ_FT_PER_M2_BOUNDARY).alias("aland"),
+        (F.expr(area("geometry")) * SQ_FT_PER_M2_BOUNDARY).alias("aland"),
         F.lit("sq_ft").alias("aland_unit"),
         "geometry",
     )

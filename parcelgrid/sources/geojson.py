@@ -10,6 +10,10 @@ the braces that their lines leave open.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,6 +214,37 @@ def read_geojson(
     return rest.unionByName(_documents(spark, names, schema, unreadable))
 
 
+def write_collections(df: DataFrame, path: str) -> None:
+    """Overwrite ``path`` with files that are each one valid FeatureCollection, one per partition.
+
+    The files are written beside the old ones; only a whole set takes their place, so a job that
+    fails leaves them as they were. An empty table gives one empty collection.
+    """
+    spark = df.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = '{"type":"FeatureCollection","features":['
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array([line, *[v + "," for v in values[:-1]]])], ["value"])
+                line = values[-1] + ","
+        yield pa.RecordBatch.from_arrays([pa.array([line[:-1] if line.endswith(",") else line, "]}"])], ["value"])
+
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    if df.isEmpty():
+        spark.createDataFrame([('{"type":"FeatureCollection","features":[]}',)], "value string").coalesce(1).write.text(fresh)
+    else:
+        feature_lines(df).mapInArrow(run, "value string").write.text(fresh)
+    target, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path.rstrip("/"), fresh, f"{fresh}.old"))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.rename(target, old)
+    if not files.rename(new, target):
+        raise OSError(f"the files written to {fresh} could not be put in place")
+    files.delete(old, True)
+
+
 def write_geojson(df: DataFrame, path: str) -> None:
     """Overwrite ``path`` with feature lines, one file per partition."""
     feature_lines(df).write.mode("overwrite").text(path)

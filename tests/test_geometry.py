@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parcelgrid.functions import geometry as geo
@@ -153,3 +155,29 @@ def test_random_points_against_plain_python(spark):
     df = df.withColumn("e", F.expr(geo.edges("g")))
     got = df.select("x", "y", F.expr(geo.covers_point("e", "x", "y")).alias("v")).collect()
     assert all(r.v == plain(r.x, r.y) for r in got)
+
+
+def test_measures_on_the_sphere(spark):
+    """An octant, a box with a hole, both directions of a ring, two parts, and a point."""
+    import math
+
+    from parcelgrid.sources import tables
+
+    texts = {
+        "octant": "POLYGON ((0 0, 90 0, 0 90, 0 0))", "octant back": "POLYGON ((0 0, 0 90, 90 0, 0 0))",
+        "ring": "POLYGON ((-1 -1, 1 -1, 1 1, -1 1, -1 -1), (-0.5 -0.5, 0.5 -0.5, 0.5 0.5, -0.5 0.5, -0.5 -0.5))",
+        "parts": "MULTIPOLYGON (((10 20, 11 20, 11 21, 10 20)), ((30 20, 31 20, 31 21, 30 20)))", "point": "POINT (5 6)",
+        "small": "POLYGON ((-117 34, -116.999 34, -116.999 34.001, -117 34.001, -117 34))",
+    }
+    df = spark.createDataFrame(list(texts.items()), "name string, wkt string").withColumn("g", F.expr(tables.geometry_from_wkt("wkt")))
+    got = {r.name: r for r in df.select("name", F.expr(geo.area_spherical("g", 1.0)).alias("a"), F.expr(geo.centroid_spherical("g")).alias("c"), F.expr(geo.area_geodesic("g")).alias("flat")).collect()}
+    for name in ("octant", "octant back"):
+        assert got[name].a == pytest.approx(math.pi / 2, rel=1e-12)
+        assert got[name].c.xmin == pytest.approx(45, abs=1e-9)
+        assert got[name].c.ymin == pytest.approx(math.degrees(math.asin(1 / math.sqrt(3))), abs=1e-9)
+    assert got["ring"].a == pytest.approx(0.75 * math.radians(2) ** 2, rel=1e-3)
+    assert (got["ring"].c.xmin, got["ring"].c.ymin) == (pytest.approx(0, abs=1e-9), pytest.approx(0, abs=1e-9))
+    assert got["point"].a == 0.0 and got["point"].c.ymin == 6.0
+    assert got["parts"].c.xmin == pytest.approx(20 + 2 / 3, abs=0.01)
+    assert got["small"].a * geo.SPHERE_RADIUS**2 == pytest.approx(got["small"].flat, rel=5e-3)
+    assert got["small"].c.xmin == pytest.approx(-116.9995, abs=1e-7) and got["small"].c.ymin == pytest.approx(34.0005, abs=1e-7)

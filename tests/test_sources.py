@@ -306,3 +306,24 @@ def test_wkb_of_another_kind_is_an_error(spark, tmp_path, data):
         tables.read_layer(spark, path, "shape", "wkb").collect()
     got = {r.n: r.geometry for r in tables.read_layer(spark, path, "shape", "wkb", unreadable="null").collect()}
     assert got[1] is None and got[2].ymax == 2.0
+
+
+def test_collections_are_valid_files_put_in_place_whole(spark, tmp_path):
+    import json
+
+    path = str(tmp_path / "out")
+    rows = spark.range(50).repartition(3).select("id", F.expr(geo.box("id", "0", "id + 1", "1")).alias("geometry"))
+    geojson.write_collections(rows, path)
+    files = sorted((tmp_path / "out").glob("part-*"))
+    held = [json.loads(f.read_text()) for f in files]
+    assert len(files) == 3 and all(h["type"] == "FeatureCollection" for h in held)
+    assert sorted(f["properties"]["id"] for h in held for f in h["features"]) == list(range(50))
+    for layout in ("lines", "document"):
+        assert sorted(r.id for r in geojson.read_geojson(spark, path, "id long", layout).collect()) == list(range(50))
+    with pytest.raises(Exception, match="no luck"):
+        geojson.write_collections(rows.withColumn("id", F.expr("IF(id = 7, raise_error('no luck'), id)")), path)
+    assert sorted(f.name for f in (tmp_path / "out").glob("part-*")) == [f.name for f in files]
+    geojson.write_collections(rows.limit(0), path)
+    (only,) = (tmp_path / "out").glob("part-*")
+    assert json.loads(only.read_text())["features"] == []
+    assert geojson.read_geojson(spark, path, "id long", "auto").count() == 0
