@@ -309,6 +309,7 @@ def spelled(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     lists = found.groupBy("text_key").agg(F.collect_list(F.struct(*names)).alias("wanted"))
     held = texts.join(lists.withColumnRenamed("text_key", "wanted_key").hint("shuffle_hash"), F.col("text_key") == F.col("wanted_key"))
+    held = held.dropDuplicates(["text_key"])  # copies of a text are read once
     read = held.select("lang", "text", "wanted").mapInArrow(run, "lang string, phrase string, fp long, seal long, a long")
     return read.dropDuplicates(["fp", "seal"]).select("lang", "phrase", "a")
 
