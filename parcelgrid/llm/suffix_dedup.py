@@ -41,11 +41,11 @@ from .rows import byte_texts, slices, text_key
 
 LENGTH = 400
 #: Bytes of a bucket's distinct contexts that may meet in a task.
-CROWD = 2 << 20
+CROWD = 1 << 20
 #: Most starts in a run, and bytes of text that are marked or transformed at once.
 RUN = 512
 BLOCK = 1 << 19
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Bytes that one sort key holds.
 KEY = 8
 SEPARATOR = 0xFF
