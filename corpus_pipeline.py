@@ -5,8 +5,9 @@ of ``documents``; each works on all rows that the stage before kept.
 
 quality_rules drops documents whose posterior quality is low or that fail the base limits;
 line_dedup cuts repeated runs of lines out of the texts; simhash_near_dedup keeps one document of
-every group of near copies (five-word shingles, Jaccard of 0.8 or more; found by MinHash, as
-SimHash does not reach such pairs; the stage keeps its name); decontamination drops documents that contain a benchmark item;
+every group of near copies, joined by SimHash (fingerprints of three-word shingles that differ in
+two bits or fewer, as op9 finds them) and by what two bits do not reach (five-word shingles, Jaccard
+of 0.8 or more, by MinHash); decontamination drops documents that contain a benchmark item;
 best_fit_packing returns every piece of every document and its place in a sequence.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelgrid.llm import decontaminate, line_dedup, near_copies as near, packing, quality_rules
+from parcelgrid.llm import decontaminate, line_dedup, near_copies as near, packing, quality_rules, simhash
 from parcelgrid.llm.queries import tokenizer_path
 from parcelgrid.llm.rows import table
 from parcelgrid.sources.tables import materialise
@@ -31,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.keep_one(docs)
+    return near.keep_one(docs, groups=simhash.near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

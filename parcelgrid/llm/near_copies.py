@@ -180,18 +180,34 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = SIMILAR) -> Data
     return found.union(materialise(similar(by_rare_shingles(apart, sets, threshold), sets, threshold)))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(doc_id, text_key, component_id) for every row of ``docs``."""
+def group_links(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): a star over the nodes of every group (doc_id, text_key, root) of rows; ``own`` has (doc_id, text_key, node)."""
+    named = groups.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "root").distinct()
+    rows = own.select("doc_id", "text_key", "node").distinct()
+    held = materialise(rows.join(named, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).select("root", "node").distinct())
+    least = held.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
+    return held.join(least, "root").select(F.col("node").alias("a"), "b").where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, groups: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_key, component_id) for every row of ``docs``.
+
+    ``groups`` has (doc_id, text_key, root) of every row, as :func:`simhash.near_duplicates` gives
+    them: rows of one root belong together as well, so a component is joined by links of both kinds.
+    """
     own = materialise(signed(docs))
     some = [F.first(c).alias(c) for c in ("n", "bands", "doc_id", "text_key")]
     nodes = materialise(own.groupBy("node").agg(F.min("doc_id").alias("least_id"), *some))
-    roots = components(links(docs, nodes, threshold)).toDF("node", "root")
+    linked = links(docs, nodes, threshold)
+    if groups is not None:
+        linked = linked.union(group_links(own, groups))
+    roots = components(linked).toDF("node", "root")
     rooted = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     names = materialise(rooted.join(named, "root").select("node", "component_id"))
     return own.join(names, "node").select("doc_id", "text_key", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = SIMILAR, groups: DataFrame | None = None) -> DataFrame:
     """One row of every group of near copies, as :func:`simhash.keep_one` chooses it."""
-    return simhash.keep_one(docs, near_duplicates(docs, threshold))
+    return simhash.keep_one(docs, near_duplicates(docs, threshold, groups))

@@ -116,7 +116,7 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) for every row of ``docs``."""
+    """(doc_id, text_key, fp, component_id, root) for every row of ``docs``; root is the least fingerprint of the component."""
     own = materialise(fingerprints(docs, shingle))
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
@@ -124,8 +124,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    names = materialise(rooted.join(named, "root").select("fp", "component_id"))
-    return own.join(names, "fp").select("doc_id", "text_key", "fp", "component_id")
+    names = materialise(rooted.join(named, "root").select("fp", "component_id", "root"))
+    return own.join(names, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:

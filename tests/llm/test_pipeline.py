@@ -39,3 +39,15 @@ def test_odd_documents_pass(spark, sf_dir, odd_docs, no_docs):
             now = materialise(stage(spark, now, sf_dir))
             assert now.columns == table.columns
         cp.STAGES[-1][1](spark, now, sf_dir).collect()
+
+
+def test_near_copies_are_joined_by_simhash_and_by_shingles(spark, sf_dir):
+    """1 and 2 share most of their shingles' occurrences, but few of their distinct ones; 3 and 4 the reverse."""
+    loop = " ".join(f"loop{i}" for i in range(21))
+    first, second = (" ".join([loop] * 60 + [f"{x}{i}" for i in range(40)]) for x in "yz")
+    words = [f"w{i}" for i in range(100)]
+    third, fourth = " ".join(words), " ".join([*words[:50], "other", *words[51:]])
+    a, b, c, d = (simhash.fingerprint(t.encode()) for t in (first, second, third, fourth))
+    assert (a ^ b).bit_count() <= 2 < (c ^ d).bit_count()
+    table = spark.createDataFrame([(1, first), (2, second), (2, second), (3, third), (4, fourth), (5, "quite another text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.near_copies(spark, table, sf_dir).collect()) == [1, 3, 5]
