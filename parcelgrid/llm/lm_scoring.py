@@ -7,11 +7,12 @@ within its class). A document's score is the sum over its tokens of log p(token
 1. Words are counted over all documents; the ``VOCABULARY`` most frequent are tokens by
    themselves. Every other word is one of ``OTHERS`` tokens told by its last three letters.
 2. Documents are encoded once and written (two bytes a token).
-3. ``ROUNDS`` training rounds: every partition starts from the round's parameters, masks a new
-   ``MASKED`` share of its positions and fits them by AdaGrad; the parameters that come out are
-   averaged, weighed by positions, in an aggregation over small blocks of them. So all documents
-   train the network, and what is gathered grows with their number; what the driver holds is one
-   set of parameters of a fixed size.
+3. ``ROUNDS`` training rounds: every partition starts from the round's parameters, masks the
+   positions whose turn it is and fits them by AdaGrad; the parameters that come out are averaged,
+   weighed by positions, in an aggregation over small blocks of them. Each position of each document
+   is masked in exactly one round, told by its place and the document's length, so the network is
+   fitted to the whole corpus and to no sample of it; what is gathered grows with the documents, and
+   what the driver holds is one set of parameters of a fixed size.
 4. Every position of every document is scored with the last parameters, which are broadcast.
 
 The same rows in the same partitions give the same scores; other partitions train in another
@@ -44,7 +45,6 @@ OTHERS = 624
 CLASS = 46
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-MASKED = 0.1
 ROUNDS = 3
 BATCH = 4096
 RATE = 0.08
@@ -139,43 +139,51 @@ class Network:
 
     def steps(self, context: np.ndarray, token: np.ndarray, learn: Network | None = None) -> np.ndarray:
         """log p of each token; adds the gradients to ``learn`` if given."""
-        h = self.hidden(context)
-        n, of = len(token), token // CLASS
-        p = h @ self.to_class.T + self.class_bias
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        logs = np.log(p[np.arange(n), of] + 1e-30)
+        of = token // CLASS
         order = np.argsort(of.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+        context, token, of = context[:, order], token[order], of[order]
+        edges = np.searchsorted(of, np.arange(CLASSES + 1)).tolist()
+        h = self.hidden(context)
+        # one column a position, so that the softmax runs along contiguous rows
+        across = np.ascontiguousarray(h.T)
+        columns = np.arange(len(token))
+
+        def softmax(weights: np.ndarray, bias: np.ndarray, s: int, e: int) -> np.ndarray:
+            p = weights @ across[:, s:e] + bias[:, None]
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
+            return p
+
+        p = softmax(self.to_class, self.class_bias, 0, len(token))
+        logs = np.log(p[of, columns] + 1e-30)
         if learn is not None:
-            p[np.arange(n), of] -= 1
-            learn.to_class += p.T @ h
-            learn.class_bias += p.sum(axis=0)
-            back = p @ self.to_class
+            p[of, columns] -= 1
+            learn.to_class += p @ h
+            learn.class_bias += p.sum(axis=1)
+            back = p.T @ self.to_class
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
+            s, e = edges[c], edges[c + 1]
+            if s == e:
                 continue
-            own, at, hc = slice(c * CLASS, (c + 1) * CLASS), token[rows] - c * CLASS, h[rows]
-            q = hc @ self.to_token[own].T + self.token_bias[own]
-            q -= q.max(axis=1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
-            logs[rows] += np.log(q[np.arange(len(rows)), at] + 1e-30)
+            own, at = slice(c * CLASS, (c + 1) * CLASS), token[s:e] - c * CLASS
+            q = softmax(self.to_token[own], self.token_bias[own], s, e)
+            logs[s:e] += np.log(q[at, columns[: e - s]] + 1e-30)
             if learn is not None:
-                q[np.arange(len(rows)), at] -= 1
-                learn.to_token[own] += q.T @ hc
-                learn.token_bias[own] += q.sum(axis=0)
-                back[rows] += q @ self.to_token[own]
+                q[at, columns[: e - s]] -= 1
+                learn.to_token[own] += q @ h[s:e]
+                learn.token_bias[own] += q.sum(axis=1)
+                back[s:e] += q.T @ self.to_token[own]
         if learn is not None:
             back *= 1 - h * h
             learn.bias += back.sum(axis=0)
-            columns = np.arange(WIDTH)
+            values = back.ravel().astype(np.float64)
             for k in range(len(OFFSETS)):
-                cells = (context[k][:, None] * WIDTH + columns).ravel()
-                learn.near[k] += np.bincount(cells, back.ravel(), TOKENS * WIDTH).reshape(TOKENS, WIDTH).astype(np.float32)
-        return logs
+                cells = (context[k][:, None] * WIDTH + np.arange(WIDTH)).ravel()
+                learn.near[k] += np.bincount(cells, values, TOKENS * WIDTH).reshape(TOKENS, WIDTH).astype(np.float32)
+        out = np.empty_like(logs)
+        out[order] = logs
+        return out
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -190,8 +198,16 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(ids != EDGE), np.array([len(t) // 2 for t in texts], np.int64)
 
 
-def trained(held: DataFrame, values: np.ndarray, round_no: int) -> np.ndarray:
-    """The parameters after one round over all documents."""
+def turns(sizes: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each position of documents with so many tokens is masked."""
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x = (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(sizes, sizes).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(40)) % np.uint64(rounds)
+
+
+def trained(held: DataFrame, values: np.ndarray, round_no: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The parameters after one round over all documents; ``rounds`` of them mask every position once."""
     spark = held.sparkSession
     start = spark.sparkContext.broadcast(values)
 
@@ -207,8 +223,8 @@ def trained(held: DataFrame, values: np.ndarray, round_no: int) -> np.ndarray:
             net.values -= RATE * grad.values / np.sqrt(squares)
 
         for batch in slices(batches, "ids", 2 << 20):
-            ids, at, _ = joined([x or b"" for x in batch.column("ids").to_pylist()])
-            at = at[chance.random(len(at)) < MASKED]
+            ids, at, sizes = joined([x or b"" for x in batch.column("ids").to_pylist()])
+            at = at[turns(sizes, rounds) == round_no]
             kept.append((contexts(ids, at), ids[at]))
             if sum(len(t) for _, t in kept) < BATCH:
                 continue
@@ -271,6 +287,6 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     held = materialise(encoded(docs, vocabulary(docs)))
     values = Network.fresh()
     for k in range(rounds):
-        values = trained(held, values, k)
+        values = trained(held, values, k, rounds)
     out = scored(held, values)
     return out.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.round(F.col("score") / F.col("n_tokens"), 6)))

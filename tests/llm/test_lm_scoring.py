@@ -74,6 +74,24 @@ def test_vocabulary_counts_all(docs):
     assert lm.vocabulary(docs) == [w for w, _ in want]
 
 
+def test_every_position_is_fitted_once(spark):
+    """Positions told by unlike tokens: each is a target in exactly one of the rounds."""
+    sizes = np.array([0, 1, 7, 4000, 0, 2500], np.int64)
+    for rounds in (1, 3, 6):
+        turn = lm.turns(sizes, rounds)
+        share = np.bincount(turn.astype(np.int64), minlength=rounds) / sizes.sum()
+        assert len(turn) == sizes.sum() and len(share) == rounds and np.all(np.abs(share - 1 / rounds) < 0.03)
+    texts = [np.arange(at, at + 40, dtype="<u2").tobytes() for at in range(0, 1600, 40)]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, ids binary").coalesce(1).cache()
+    before = np.zeros(lm.Network.SIZE, np.float32)
+    fitted = np.zeros(1600)
+    for k in range(3):
+        bias = lm.Network(lm.trained(held, before.copy(), k, 3)).token_bias[:1600]
+        # in one batch only a target's own bias rises
+        fitted += bias > 0
+    assert np.all(fitted == 1)
+
+
 def test_odd_and_empty(odd_docs, no_docs):
     rows = lm.score(odd_docs, rounds=1).collect()
     assert len(rows) == odd_docs.count()
