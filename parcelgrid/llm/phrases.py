@@ -5,14 +5,17 @@ polynomials over the bytes give every word's hash, prefix polynomials over the w
 every run of n words, all in numpy: a run's hash is the difference of two prefixes, moved to the
 origin by the inverse power, so it does not depend on the place. A fingerprint takes in the language.
 
-Runs are counted by length. Each task adds up its fingerprints before the shuffle. A run of n words
-can be frequent only if its first and its last n - 1 words are, so what was frequent at one length
-is sent on as an array of 2^BITS bits, whatever its number, and others are not counted at the next
-length; false bits only cost work. When all lengths are known, one more pass sends for the runs
-with a set bit the fingerprint, a second one that is independent of it, the number and a pointer to
-an occurrence. Runs of one fingerprint are told apart by the second; the text at the pointer is read
-and hashed anew, and a phrase that does not give both fingerprints is an error. So only frequent
-phrases ever become text.
+Runs are counted by length, each told by its fingerprint and a second one that is independent of
+it; each task adds them up before the shuffle. A run of n words can be frequent only if its first
+and its last n - 1 words are, so what was frequent at one length is sent on as an array of 2^BITS
+bits, whatever its number, and others are not counted at the next length; false bits only cost work.
+
+With its number a run carries a witness, 16 bits of the key of a text that holds it; the least one
+stays. One more pass sends a pointer to an occurrence only from the texts that are a run's witness,
+told by bits of both fingerprints and the witness together. So the pointers are about as many as the
+frequent runs, and do not grow with the tasks that meet these. The text at the pointer is read and
+hashed anew; a phrase that does not give both fingerprints, or a run without a pointer, is an error.
+So only frequent phrases ever become text.
 
 Cuts, scores and the drop of phrases inside longer ones are joins of the frequent phrases; products
 are exact decimals of 38 digits.
@@ -58,7 +61,10 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 ENDS = bytes(np.flatnonzero(KIND == 2).tolist())
 
-POINTERS = "words int, fp long, seal long, times long, text_key long, start int, end int"
+#: Bits of a text's key that make it a witness.
+WITNESS = 0xFFFF
+COUNTS = "fp long, seal long, witness long, times long"
+POINTERS = "words int, fp long, seal long, text_key long, start int, end int"
 ROOM = 1 << 16
 #: More than any place in a text, as an Arrow text has at most 2^31 bytes.
 ROW = 1 << 32
@@ -184,11 +190,16 @@ class Sums:
 
     def added(self, columns: list[np.ndarray]) -> list[np.ndarray]:
         keys = columns[: self.keys]
-        order = np.argsort(keys[0], kind="stable") if self.keys == 1 else np.lexsort(keys[::-1])
-        columns = [c[order] for c in columns]
-        if not len(order):
+        if not len(keys[0]):
             return columns
-        new = np.r_[True, np.any([c[1:] != c[:-1] for c in columns[: self.keys]], axis=0)]
+        order = np.argsort(keys[0], kind="stable")
+        held = [c[order] for c in keys]
+        new = np.r_[True, np.any([c[1:] != c[:-1] for c in held], axis=0)]
+        if (new[1:] & (held[0][1:] == held[0][:-1])).any():  # the first key alone does not tell them apart
+            order = np.lexsort(keys[::-1])
+            held = [c[order] for c in keys]
+            new = np.r_[True, np.any([c[1:] != c[:-1] for c in held], axis=0)]
+        columns = [c[order] for c in columns]
         first = np.flatnonzero(new)
         return [*(c[first] for c in columns[: self.keys]), np.add.reduceat(columns[self.keys], first), *(c[first] for c in columns[self.keys + 1 :])]
 
@@ -222,18 +233,38 @@ def sources(docs: DataFrame) -> DataFrame:
 
 
 def counted(texts: DataFrame, n: int, shorter: Broadcast | None) -> DataFrame:
-    """(fp, times) summed per task: the runs of n words that may be frequent."""
+    """(fp, seal, witness, times) summed per task: the runs of n words that may be frequent."""
+    names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(["fp", "times"], [pa.int64(), pa.int64()], 1)
+        sums = Sums(["fp", "seal", "times", "witness"], [pa.int64()] * 4, 2)
         for batch in batches:
             for part in slices([batch], "text"):
-                for words, _, _ in blocks(part):
+                held = witnesses(part)
+                for words, rows, _ in blocks(part):
                     at = possible(words, n, None if shorter is None else shorter.value)
-                    yield from sums.add([words.hashes(at, n), np.ones(len(at), np.int64)])
-        yield from sums.rest()
+                    columns = [words.hashes(at, n), words.hashes(at, n, 1), np.ones(len(at), np.int64), held[rows[words.texts[at]]]]
+                    for out in sums.add(columns):
+                        yield out.select(names)
+        for out in sums.rest():
+            yield out.select(names)
+
+    return texts.mapInArrow(run, COUNTS)
+
+
+def witnesses(batch: pa.RecordBatch) -> np.ndarray:
+    """The witness of each text of a batch with a text_key."""
+    return batch.column("text_key").to_numpy() & WITNESS
+
 
-    return texts.select("lang", "text").mapInArrow(run, "fp long, times long")
+def signs(fp: np.ndarray, seal: np.ndarray, witness: np.ndarray) -> np.ndarray:
+    """A hash of a run at a text that is its witness."""
+    return _mix(fp ^ _mix(seal + witness.astype(np.uint64)))
+
+
+def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a run and its witness; their first BITS bits are different bits of the sign."""
+    return hashes, hashes << np.uint64(BITS)
 
 
 def bit_array(fps: DataFrame) -> np.ndarray:
@@ -246,8 +277,20 @@ def bit_array(fps: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def pointers(texts: DataFrame, levels: list[Broadcast]) -> DataFrame:
-    """The runs whose bit is set at their length: both fingerprints, their number, and an occurrence each."""
+def signed(runs: DataFrame) -> DataFrame:
+    """(fp): the slots of the runs (fp, seal, witness), two of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, seal, witness = (batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "seal", "witness"))
+            for s in slots(signs(fp, seal, witness)):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["fp"])
+
+    return runs.select("fp", "seal", "witness").mapInArrow(run, "fp long")
+
+
+def pointers(texts: DataFrame, levels: list[tuple[Broadcast, Broadcast]]) -> DataFrame:
+    """An occurrence of each run in the texts that are its witness; by length ``levels`` has the bits of runs and of their slots."""
     names = [c.split()[0] for c in POINTERS.split(", ")]
     order = ["fp", "seal", "times", "words", "text_key", "start", "end"]
     kinds = {"words": pa.int32(), "start": pa.int32(), "end": pa.int32()}
@@ -256,17 +299,21 @@ def pointers(texts: DataFrame, levels: list[Broadcast]) -> DataFrame:
         sums = Sums(order, [kinds.get(c, pa.int64()) for c in order], 2)
         for batch in batches:
             for part in slices([batch], "text"):
-                keys = part.column("text_key").to_numpy()
+                keys, held = part.column("text_key").to_numpy(), witnesses(part)
                 for words, rows, shifts in blocks(part):
-                    for n, bits in enumerate(levels, 1):
+                    for n, (frequent, places) in enumerate(levels, 1):
                         at = np.flatnonzero(words.whole(n))
                         fp = words.hashes(at, n)
-                        chosen = passed(bits.value, fp)
+                        chosen = passed(frequent.value, fp)
                         at, fp = at[chosen], fp[chosen]
+                        seal = words.hashes(at, n, 1)
+                        one, two = slots(signs(fp, seal, held[rows[words.texts[at]]]))
+                        chosen = passed(places.value, one) & passed(places.value, two)
+                        at, fp, seal = at[chosen], fp[chosen], seal[chosen]
                         of = words.texts[at]
                         ones = np.ones(len(at), np.int64)
-                        places = [words.starts[at] + shifts[of], words.ends[at + n - 1] + shifts[of]]
-                        for out in sums.add([fp, words.hashes(at, n, 1), ones, n * ones, keys[rows[of]], *places]):
+                        spans = [words.starts[at] + shifts[of], words.ends[at + n - 1] + shifts[of]]
+                        for out in sums.add([fp, seal, ones, n * ones, keys[rows[of]], *spans]):
                             yield out.select(names)
         for out in sums.rest():
             yield out.select(names)
@@ -318,13 +365,19 @@ def frequent_phrases(docs: DataFrame, frequent: int = FREQUENT, longest: int = L
     """((lang, phrase, a) of all phrases of up to ``longest`` words that occur so often, (lang, n) of all words)."""
     texts = sources(docs)
     context = docs.sparkSession.sparkContext
-    levels: list[Broadcast] = []
+    levels: list[tuple[Broadcast, Broadcast]] = []
+    runs = None
     for n in range(1, longest + 1):
-        sums = counted(texts, n, levels[-1] if levels else None).groupBy("fp").agg(F.sum("times").alias("times"))
-        levels.append(context.broadcast(bit_array(sums.where(F.col("times") >= frequent))))
-    held = pointers(texts, levels).groupBy("fp", "seal")
+        sums = counted(texts, n, levels[-1][0] if levels else None).groupBy("fp", "seal")
+        held = sums.agg(F.min("witness").alias("witness"), F.sum("times").alias("a")).where(F.col("a") >= frequent)
+        held = materialise(held)
+        levels.append((context.broadcast(bit_array(held)), context.broadcast(bit_array(signed(held)))))
+        runs = held if runs is None else runs.unionByName(held)
     some = [F.first(c).alias(c) for c in ("words", "text_key", "start", "end")]
-    found = materialise(held.agg(F.sum("times").alias("a"), *some).where(F.col("a") >= frequent))
+    pointed = pointers(texts, levels).groupBy("fp", "seal").agg(*some)
+    missing = F.raise_error(F.lit("a frequent run has no pointer")).cast("long")
+    found = runs.select("fp", "seal", "a").join(pointed, ["fp", "seal"], "left").withColumn("text_key", F.coalesce("text_key", missing))
+    found = materialise(found)
     return materialise(spelled(texts, found)), materialise(word_numbers(texts))
 
 
