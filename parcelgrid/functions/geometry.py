@@ -134,6 +134,26 @@ def map_coordinates(g: str, mapping: Mapping) -> str:
     return let(g, whole)
 
 
+def is_box(g: str) -> str:
+    """Whether a polygon is its bounding box: one closed ring along the sides that meets every corner once."""
+    def on_sides(v: str, ring: str) -> str:
+        at = {c: f"w.{c} IN ({v}.{c}min, {v}.{c}max)" for c in "xy"}
+        corners = f"filter(slice({ring}, 2, size({ring})), w -> {at['x']} AND {at['y']})"
+        named = f"transform({corners}, w -> if(w.x = {v}.xmin, 0, 1) + if(w.y = {v}.ymin, 0, 2))"
+        along = " OR ".join(f"(e.a{c} = e.b{c} AND e.a{c} IN ({v}.{c}min, {v}.{c}max))" for c in "xy")
+        return (
+            f"size({ring}) >= 5 AND {ring}[0] = element_at({ring}, -1)"
+            f" AND array_sort({named}) = array(0, 1, 2, 3) AND forall({_ring_edges(ring)}, e -> {along})"
+        )
+
+    def whole(v: str) -> str:
+        sized = " AND ".join(f"{v}.{c}min < {v}.{c}max AND {v}.{c}max < double('Infinity')" for c in "xy")
+        one = f"size({v}.rings) = 1 AND size(get({v}.rings, 0)) = 1 AND {sized}"
+        return f"CASE WHEN {one} THEN {let(f'{v}.rings[0][0]', lambda r: on_sides(v, r))} ELSE false END"
+
+    return f"coalesce({let(g, whole)}, false)"
+
+
 # -------------------------------------------------------------------- measures
 
 def _ring_sums(ring: str, origin: str) -> str:

@@ -35,6 +35,7 @@ from .relational import natural_join
 
 LEVELS = 12          # cell sizes cell * 4**k; the level after the last is one cell for everything
 _BROADCAST_BYTES = 16 * 1024 * 1024  # of Parquet, which unfolds to a few times that
+_SMALL_BYTES = 256 * 1024  # of an indexed side as the planner guesses it; it unfolds to some hundred times that
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,11 @@ class Side:
     def bounds(self) -> tuple[str, ...]:
         return tuple(self.box(b) for b in geo.BOX)
 
+    @property
+    def rect(self) -> str:
+        """True of a polygon that is its own box."""
+        return f"{self.prefix}rect"
+
     @property
     def x(self) -> str:
         return self.box("xmin")
@@ -76,7 +82,7 @@ def indexed(column: str) -> str:
 
 # ----------------------------------------------------------------- grid keys
 
-def _one_row(df: DataFrame, fields: list[Column]) -> DataFrame:
+def one_row(df: DataFrame, fields: list[Column]) -> DataFrame:
     """Add computed columns through a one-element ``inline``.
 
     The join infers "is not null" filters on its keys and boxes. Pushed down through a plain
@@ -88,7 +94,7 @@ def _one_row(df: DataFrame, fields: list[Column]) -> DataFrame:
 
 def _boxed(df: DataFrame, geometry: str, prefix: str) -> DataFrame:
     g = F.col(geometry)
-    return _one_row(df, [g[n].alias(prefix + n) for n in geo.BOX])
+    return one_row(df, [g[n].alias(prefix + n) for n in geo.BOX])
 
 
 def _level_sql(cell: float) -> str:
@@ -104,13 +110,13 @@ def _keyed_driver(df: DataFrame, geometry: str, cell: float, points: bool) -> Da
     if points:
         boxed = boxed.withColumn("_d_k", F.lit(0))
     else:
-        boxed = _one_row(boxed, [F.expr(_level_sql(cell)).alias("_d_k")])
+        boxed = one_row(boxed, [F.expr(_level_sql(cell)).alias("_d_k")])
 
     def number(corner: str) -> Column:
         at = f"floor({corner} / (pow(4D, _d_k) * {cell!r}D))"
         return F.expr(f"CAST(CASE WHEN _d_k < {LEVELS} THEN {at} WHEN _d_k = {LEVELS} THEN 0 END AS BIGINT)")
 
-    return _one_row(boxed, [number("_d_xmin").alias("_d_cx"), number("_d_ymin").alias("_d_cy")])
+    return one_row(boxed, [number("_d_xmin").alias("_d_cx"), number("_d_ymin").alias("_d_cy")])
 
 
 #: Grid key columns of a table that is stored by them, in the order of the buckets.
@@ -185,29 +191,32 @@ def _settle_cells(cells: DataFrame, cell: float, reach: int) -> DataFrame:
     is all a ray towards growing x needs.
     """
     w = _window_sql(cell, reach, "_i_pad")
+    # of a box its own sides tell, for one more comparison instead of a look at every segment
+    within = f"(_i_xmin < {w['xmin']} AND _i_xmax > {w['xmax']} AND _i_ymin < {w['ymin']} AND _i_ymax > {w['ymax']})"
+    overlaps = f"(_i_xmin <= {w['xmax']} AND _i_xmax >= {w['xmin']} AND _i_ymin <= {w['ymax']} AND _i_ymax >= {w['ymin']})"
     meets = (
-        "exists(_i_edges, e ->"
+        f"CASE WHEN _i_rect THEN {overlaps} AND NOT {within} ELSE exists(_i_edges, e ->"
         f" greatest(e.ax, e.bx) >= {w['xmin']} AND least(e.ax, e.bx) <= {w['xmax']}"
-        f" AND greatest(e.ay, e.by) >= {w['ymin']} AND least(e.ay, e.by) <= {w['ymax']})"
+        f" AND greatest(e.ay, e.by) >= {w['ymin']} AND least(e.ay, e.by) <= {w['ymax']}) END"
     )
     near = (
         f"filter(_i_edges, e -> greatest(e.ax, e.bx) >= {w['xmin']}"
         f" AND greatest(e.ay, e.by) >= {w['ymin']} AND least(e.ay, e.by) <= {w['ymax']})"
     )
-    middle = geo.contains_point("_i_edges", w["x"], w["y"])
+    middle = f"CASE WHEN _i_rect THEN {within} ELSE {geo.contains_point('_i_edges', w['x'], w['y'])} END"
     # a polygon wholly in the window is on its boundary there; it keeps all its few segments
     whole = (
         f"(_i_cell.k = {LEVELS} OR (_i_xmin >= {w['xmin']} AND _i_xmax <= {w['xmax']}"
         f" AND _i_ymin >= {w['ymin']} AND _i_ymax <= {w['ymax']}))"
     )
     crossed = f"{whole} OR {meets}"
-    decided = _one_row(cells, [F.expr(crossed).alias("_i_crossed")])
-    decided = _one_row(
+    decided = one_row(cells, [F.expr(crossed).alias("_i_crossed")])
+    decided = one_row(
         decided,
         [
             F.expr(f"NOT _i_crossed AND {middle}").alias("_i_in"),
             F.expr(
-                f"CASE WHEN {whole} THEN _i_edges WHEN _i_crossed THEN {near}"
+                f"CASE WHEN {whole} OR (_i_rect AND _i_crossed) THEN _i_edges WHEN _i_crossed THEN {near}"
                 " ELSE slice(_i_edges, 1, 0) END"
             ).alias("_i_near"),
         ],
@@ -229,6 +238,16 @@ def _boundary_cells(cells: DataFrame) -> DataFrame:
     return F.broadcast(written) if size <= _BROADCAST_BYTES else written
 
 
+def _unfolds(index: DataFrame) -> bool:
+    """Whether the planner would broadcast an indexed side that is too large for it.
+
+    Its guess comes from the compressed files, while rows by cell with their segments are some
+    hundred times that, all held by the driver. What it guesses to be larger is exchanged anyway.
+    """
+    guess = int(str(index._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return _SMALL_BYTES < guess <= index.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 # ---------------------------------------------------------------- the core join
 
 def grid_join(
@@ -248,6 +267,7 @@ def grid_join(
     boundary: bool = False,
     crowd: int | None = None,
     dense: DataFrame | None = None,
+    contained: bool = False,
 ) -> DataFrame:
     """Join rows whose boxes (the indexed one padded) overlap and that pass ``test``.
 
@@ -262,6 +282,9 @@ def grid_join(
     ``crowd`` splits cells of more driving rows, which are counted first. A driving side that is
     stored by its grid keys (columns KEYS, of the same cell size) comes with its ``dense`` cells;
     its keys are then used as they are, so buckets by them need no exchange.
+
+    ``contained`` says that the test holds only for driving boxes inside the indexed one: then their
+    lower left corner is inside, too, and cells beyond the box need no index row.
     """
     pad = pad if isinstance(pad, Column) else F.lit(float(pad))
     reach = 0 if driver_points else 1
@@ -280,6 +303,7 @@ def grid_join(
             {
                 "_d_edges": F.expr(geo.edges(f"`{driver_geometry}`")),
                 "_d_heads": F.expr(geo.heads(f"`{driver_geometry}`")),
+                "_d_rect": F.expr(geo.is_box(f"`{driver_geometry}`")),
             }
         )
     levels = F.array(F.lit(0))
@@ -294,17 +318,20 @@ def grid_join(
     out_names = {c: f"{c}_right" if c in columns else c for c in wanted}
     shapes = index.withColumn("_i_pad", pad).withColumn("_i_levels", levels)
     if index_edges:
-        shapes = shapes.withColumn(
-            "_i_edges", F.expr(f"coalesce({geo.edges(f'`{index_geometry}`')}, array())")
+        shapes = shapes.withColumns(
+            {
+                "_i_edges": F.expr(f"coalesce({geo.edges(f'`{index_geometry}`')}, array())"),
+                "_i_rect": F.expr(geo.is_box(f"`{index_geometry}`")),
+            }
         )
     shapes = _boxed(shapes, index_geometry, "_i_").where("_i_xmin IS NOT NULL")
     cells = shapes.withColumn("_i_k", F.explode("_i_levels")).withColumn(
-        "_i_cell", F.explode(F.expr(_cells_sql(cell, reach)))
+        "_i_cell", F.explode(F.expr(_cells_sql(cell, 0 if contained else reach)))
     )
     kept = [F.col(c).alias(indexed(c)) for c in own]
     if index_edges:
         cells = _settle_cells(cells, cell, reach)
-        kept += [F.col("_i_near"), F.col("_i_in")]
+        kept += [F.col("_i_near"), F.col("_i_in"), F.col("_i_rect")]
     right = cells.select("_i_cell", "_i_pad", *[f"_i_{n}" for n in geo.BOX], *kept)
     if dense is not None:
         spread = dense.select(F.struct("k", "cx", "cy").alias("_c_cell"), F.col("parts").alias("_c_parts"))
@@ -313,6 +340,8 @@ def grid_join(
         right = right.withColumn("_i_part", F.explode(every)).drop("_c_cell", "_c_parts")
     if boundary:
         right = _boundary_cells(right)
+    elif _unfolds(right):
+        right = right.hint("merge")
 
     condition = (
         "_d_k = _i_cell.k AND _d_cx = _i_cell.cx AND _d_cy = _i_cell.cy"
@@ -332,7 +361,7 @@ def grid_join(
 # ------------------------------------------------------------- named predicates
 
 def _pair_test(predicate: str, driver_points: bool, index_points: bool) -> Test:
-    """Exact test for driver <predicate> index."""
+    """Exact test for driver <predicate> index; two polygons that are their boxes are decided by these."""
     if driver_points and not index_points:
         if predicate == "intersects":
             return lambda a, b: f"({INSIDE} OR {geo.covers_point(b.edges, a.x, a.y)})"
@@ -346,13 +375,15 @@ def _pair_test(predicate: str, driver_points: bool, index_points: bool) -> Test:
     if not driver_points and not index_points:
         if predicate == "intersects":
             return lambda a, b: (
-                f"({INSIDE} OR {geo.polygons_intersect(a.edges, a.heads, b.edges, a.bounds)})"
+                f"({INSIDE} OR ({a.rect} AND {b.rect}) OR {geo.polygons_intersect(a.edges, a.heads, b.edges, a.bounds)})"
             )
         if predicate == "contains":
-            return lambda a, b: f"{_box_inside(b, a)} AND {geo.polygon_contains(a.edges, b.edges, b.bounds)}"
+            return lambda a, b: (
+                f"{_box_inside(b, a)} AND (({a.rect} AND {b.rect}) OR {geo.polygon_contains(a.edges, b.edges, b.bounds)})"
+            )
         if predicate == "within":
             return lambda a, b: (
-                f"{_box_inside(a, b)} AND ({INSIDE} OR {geo.polygon_contains(b.edges, a.edges, a.bounds)})"
+                f"{_box_inside(a, b)} AND ({INSIDE} OR ({a.rect} AND {b.rect}) OR {geo.polygon_contains(b.edges, a.edges, a.bounds)})"
             )
     raise ValueError(f"no test for {predicate!r} on these geometry kinds")
 
@@ -398,6 +429,7 @@ def spatial_join(
         boundary=boundary,
         crowd=crowd,
         dense=dense,
+        contained=predicate == "within",
     )
 
 

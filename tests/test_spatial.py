@@ -199,3 +199,36 @@ def test_no_job_runs_while_a_join_is_built(spark):
     _, semi = _jobs(spark, lambda: sp.spatial_semi(left, right, cell=5.0, left_points=True))
     _, written = _jobs(spark, lambda: sp.spatial_join(left, right, cell=5.0, left_points=True, boundary=True))
     assert (none, semi) == (0, 0) and 1 <= written <= 2
+
+
+def test_is_box(spark):
+    rings = {
+        "box": "0 0, 2 0, 2 1, 0 1, 0 0",
+        "turned": "2 1, 2 0, 1 0, 0 0, 0 1, 2 1",
+        "bow tie": "0 0, 2 1, 2 0, 0 1, 0 0",
+        "there and back": "0 0, 2 0, 2 1, 2 0, 0 0",
+        "open": "0 0, 2 0, 2 1, 0 1, 0 0.5",
+        "ell": "0 0, 2 0, 2 0.5, 1 0.5, 1 1, 0 1, 0 0",
+        "triangle": "0 0, 2 0, 2 1, 0 0",
+        "twice": "0 0, 2 0, 2 1, 0 1, 0 0, 2 0, 2 1, 0 1, 0 0",
+        "flat": "0 0, 2 0, 2 0, 0 0, 0 0",
+    }
+    rows = [(name, [[float(c) for c in v.split()] for v in text.split(",")]) for name, text in rings.items()]
+    df = spark.createDataFrame(rows, "name string, ring array<array<double>>")
+    shape = geo.ring_polygon(f"transform(ring, p -> {geo.vertex('p[0]', 'p[1]')})")
+    shapes = df.select("name", F.expr(shape).alias("geometry"))
+    two = shapes.where("name = 'box'").select(F.lit("with a hole").alias("name"), F.expr(geo.polygon("array(concat(geometry.rings[0], geometry.rings[0]))")).alias("geometry"))
+    point = spark.range(1).select(F.lit("point").alias("name"), F.expr(geo.point("1D", "2D")).alias("geometry"))
+    found = shapes.unionByName(two).unionByName(point).where(F.expr(geo.is_box("geometry"))).collect()
+    assert sorted(r["name"] for r in found) == ["box", "turned"]
+
+
+def test_unfolding_index_is_not_broadcast(spark):
+    """The planner takes 20,000 boxes for small; by cells with their segments they are some 30 MB."""
+    right = spark.range(20000).select(F.col("id").alias("rid"), F.expr(geo.box("id * 0.001D", "0D", "id * 0.001D + 0.0009D", "0.001D")).alias("geometry"))
+    left = spark.range(100).select("id", F.expr(geo.box("id * 0.1D", "0D", "id * 0.1D + 0.0005D", "0.0005D")).alias("geometry"))
+    out = sp.spatial_join(left, right, "intersects", "inner", cell=0.001)
+    assert "SortMergeJoin" in plan(out) and "BroadcastHashJoin" not in plan(out)
+    assert sorted((r.id, r.rid) for r in out.collect()) == [(i, i * 100) for i in range(100)]
+    few = sp.spatial_join(left, right.limit(10), "intersects", "inner", cell=0.001)
+    assert "SortMergeJoin" not in plan(few)
