@@ -618,6 +618,28 @@ def in_circle(
 
 
 def in_circles(
+#: The driving row's box on the map.
+_MAP = ("_m_xmin", "_m_ymin", "_m_xmax", "_m_ymax")
+
+
+def _by_map_box(d: Side, each: str) -> str:
+    """The test of every vertex, put off until the box of the shape on the map does not decide.
+
+    All vertices lie in the box, so a circle with its farthest corner holds the shape; each side of the
+    box has a vertex, so one without the nearest point of a side does not. Both leave room for rounding.
+    """
+    x0, y0, x1, y1 = _MAP
+    cx, cy, radius = indexed("_cx"), indexed("_cy"), f"({indexed('radius_km')} * 1000D)"
+    left, right, low, high = f"({cx} - {x0})", f"({x1} - {cx})", f"({cy} - {y0})", f"({y1} - {cy})"
+    across, up = f"greatest({left}, {right})", f"greatest({low}, {high})"
+    aside, above = f"greatest(-{left}, -{right}, 0D)", f"greatest(-{low}, -{high}, 0D)"
+    room = f"({radius} * {radius} * 1e-9D + {radius} * 1e-6D + 1e-12D)"
+    far = f"({across} * {across} + {up} * {up})"
+    side = f"greatest({across} * {across} + {above} * {above}, {up} * {up} + {aside} * {aside})"
+    holds = f"({d.edges} IS NOT NULL AND {far} <= {radius} * {radius} - {room})"
+    return f"{side} <= {radius} * {radius} + {room} AND ({holds} OR {each})"
+
+
     df: DataFrame, circles: DataFrame, how: str = "inner", *, cell: float, mode: str = "mercator"
 ) -> DataFrame:
     """Batch form: ``circles`` has lon, lat, radius_km and own columns; one row per containment."""
@@ -626,9 +648,21 @@ def in_circles(
     circle = (indexed("lon"), indexed("lat"), f"{indexed('radius_km')} * 1000D", mode)
 
     def test(d: Side, i: Side) -> str:
-        return f"{_box_inside(d, i)} AND forall({d.edges}, e -> {_in_circle_sql('e.ax', 'e.ay', *circle)})"
-
-    return grid_join(df, boxed, test, how, cell=cell, index_geometry="_circle", index_edges=False)
+        each = f"forall({d.edges}, e -> {_in_circle_sql('e.ax', 'e.ay', *circle)})"
+        if mode == "mercator":
+            each = _by_map_box(d, each)
+        return f"{_box_inside(d, i)} AND {each}"
+
+    options = dict(cell=cell, index_geometry="_circle", index_edges=False, contained=True)
+    if mode != "mercator":
+        return grid_join(df, boxed, test, how, **options)
+    corners = {"xmin": 0, "ymin": 1, "xmax": 0, "ymax": 1}
+    g = "`geometry`"
+    on_map = {c: projection.mercator(f"{g}.{c}", f"{g}.{c}")[axis] for c, axis in corners.items()}
+    middle = projection.mercator("lon", "lat")
+    boxed = boxed.withColumns({"_cx": F.expr(middle[0]), "_cy": F.expr(middle[1])})
+    mapped = one_row(df, [F.expr(on_map[c]).alias(m) for c, m in zip(geo.BOX, _MAP)])
+    return grid_join(mapped, boxed, test, how, **options).drop(*_MAP, "_cx", "_cy")
 
 
 # -------------------------------------------------------------------- equality

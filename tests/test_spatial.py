@@ -232,3 +232,36 @@ def test_unfolding_index_is_not_broadcast(spark):
     assert sorted((r.id, r.rid) for r in out.collect()) == [(i, i * 100) for i in range(100)]
     few = sp.spatial_join(left, right.limit(10), "intersects", "inner", cell=0.001)
     assert "SortMergeJoin" not in plan(few)
+
+
+def _some_triangles(spark, n, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y = rnd.uniform(-118.1, -117.9), rnd.uniform(33.9, 34.1)
+        rows.append((i, [(x + rnd.uniform(0, 0.01), y + rnd.uniform(0, 0.01)) for _ in range(3)]))
+    df = spark.createDataFrame([(i, [*v, v[0]]) for i, v in rows], "id int, ring array<struct<x:double,y:double>>")
+    return rows, df.select("id", F.expr(geo.ring_polygon("ring")).alias("geometry"))
+
+
+@pytest.mark.parametrize("cell", [0.004, 0.05])
+def test_circles_match_all_pairs(spark, cell):
+    """The box on the map decides most pairs; shapes at the rim are told by their vertices."""
+    import math
+
+    def on_map(x, y):
+        return 6378137.0 * math.radians(x), 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(y) / 2))
+
+    rows, shapes = _some_triangles(spark, 300, 5)
+    rnd = random.Random(6)
+    circles = [(f"c{i}", rnd.uniform(-118.1, -117.9), rnd.uniform(33.9, 34.1), rnd.choice([0.5, 2.0, 6.0])) for i in range(40)]
+    want = set()
+    for c, lon, lat, km in circles:
+        cx, cy = on_map(lon, lat)
+        want |= {(c, i) for i, vs in rows if all(math.dist(on_map(*v), (cx, cy)) <= km * 1000 for v in vs)}
+    table = spark.createDataFrame(circles, "c string, lon double, lat double, radius_km double")
+    out = sp.in_circles(shapes, table, cell=cell)
+    got = [(r.c, r.id) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert out.columns == ["id", "geometry", "c", "lon", "lat", "radius_km"]
+    assert "_m_xmin" in plan(out)
