@@ -330,11 +330,12 @@ def merge_sources(
     Both hold (apn, shape_area, geometry). Of ``first`` only the rows that touch ``second``
     are made distinct; one written join tells which those are. Both sides are type 'warehouse', so the size rule drops no row.
     """
-    marks = second.select("geometry", F.lit(True).alias("_touches"))
-    found = materialise(spatial_join(first, marks, "intersects", "left", cell=cell))
-    touching = found.where(F.col("_touches")).drop("_touches").distinct()
-    alone = found.where(F.col("_touches").isNull()).drop("_touches")
-    rest = spatial_anti(second, first, cell=cell)
+    numbered = materialise(first.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = spatial_join(second.select("geometry"), numbered.select("_row", "geometry"), "intersects", "inner", cell=cell)
+    found = materialise(pairs.select("_row").distinct())
+    touching = numbered.join(found, "_row", "left_semi").drop("_row").distinct()
+    alone = numbered.join(found, "_row", "left_anti").drop("_row")
+    rest = spatial_anti(second, numbered, cell=cell)
     merged = bind_rows(touching, alone, rest).select("apn", "shape_area", "geometry")
     merged = with_cols(
         merged,

@@ -265,3 +265,35 @@ def test_circles_match_all_pairs(spark, cell):
     assert len(got) == len(set(got)) and set(got) == want and want
     assert out.columns == ["id", "geometry", "c", "lon", "lat", "radius_km"]
     assert "_m_xmin" in plan(out)
+
+
+def _rows_written(monkeypatch, *modules):
+    written = []
+
+    def spy(df, path=None):
+        out = materialise(df, path)
+        written.append(out.count())
+        return out
+
+    from parcelgrid.sources.stages import materialise
+
+    for module in modules:
+        monkeypatch.setattr(module, "materialise", spy)
+    return written
+
+
+def test_merged_sources_write_no_pairs(spark, monkeypatch):
+    """40 rows of each source on one spot are 1600 pairs; rows of the first that touch come once."""
+    from parcelgrid.plans import parcels
+
+    def stacked(n, x, prefix):
+        return spark.range(n).selectExpr(f"concat('{prefix}', CAST(id % 30 AS STRING)) AS apn", "160000D AS shape_area").withColumn(
+            "geometry", F.expr(geo.box(f"{x}D", "0D", f"{x}D + 0.001D", "0.001D"))
+        )
+
+    first = stacked(40, 0.0, "a").unionByName(stacked(35, 1.0, "b"))
+    second = stacked(40, 0.0005, "c").unionByName(stacked(33, 2.0, "d"))
+    written = _rows_written(monkeypatch, parcels, sp)
+    got = parcels.merge_sources(first, second).groupBy(F.substring("apn", 1, 1).alias("k")).count().collect()
+    assert {r["k"]: r["count"] for r in got} == {"a": 30, "b": 35, "d": 33}
+    assert max(written) <= 75
