@@ -448,7 +448,8 @@ def container_join(
     Every member is keyed by one cell and the boundaries are indexed, so the work spreads over
     the members' cells instead of one key per boundary. ``key`` names a unique column of the
     boundaries; boundaries without a member come back with NULLs when ``how`` is left, for
-    which the pairs are written once.
+    which the pairs are found once more: they may be far more than the rows of both sides, so they
+    are not written, and only the keys of that second run are kept.
     """
     inverse = {"contains": "within", "intersects": "intersects"}[predicate]
     pairs = grid_join(
@@ -459,6 +460,7 @@ def container_join(
         cell=cell,
         driver_points=member_points,
         boundary=True,
+        contained=inverse == "within",
     )
     # containers' own columns first, members' clashing ones with the suffix
     taken = [c for c in containers.columns if c != "geometry"]
@@ -470,7 +472,6 @@ def container_join(
     )
     if how == "inner":
         return out
-    out = materialise(out)
     empty = natural_join(containers.drop("geometry"), out.select(key).distinct(), "left_anti", on=[key])
     return out.unionByName(empty, allowMissingColumns=True)
 
@@ -617,7 +618,6 @@ def in_circle(
     return boxed.where(inside)
 
 
-def in_circles(
 #: The driving row's box on the map.
 _MAP = ("_m_xmin", "_m_ymin", "_m_xmax", "_m_ymax")
 
@@ -640,6 +640,7 @@ def _by_map_box(d: Side, each: str) -> str:
     return f"{side} <= {radius} * {radius} + {room} AND ({holds} OR {each})"
 
 
+def in_circles(
     df: DataFrame, circles: DataFrame, how: str = "inner", *, cell: float, mode: str = "mercator"
 ) -> DataFrame:
     """Batch form: ``circles`` has lon, lat, radius_km and own columns; one row per containment."""

@@ -22,7 +22,7 @@ from ..functions.semantics import (
 )
 from ..functions.units import SQ_FT_PER_M2
 from ..operators.relational import bind_rows, is_in, keep_first, not_in
-from ..operators.spatial import container_join, explode_parts, spatial_anti, spatial_join, split_valid
+from ..operators.spatial import container_join, explode_parts, one_row, spatial_anti, spatial_join, split_valid
 from ..sources.tables import materialise
 
 MAYBE_WAREHOUSE_SQ_FT = 150_000   # minimum size of parcels not called a warehouse
@@ -277,10 +277,11 @@ def keep_first_geometry(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def orphan_geometries(shapes: DataFrame, parcels: DataFrame, *, cell: float = 0.004) -> DataFrame:
     """Polygons (shape_id, geometry) that equal no parcel's polygon, with the parcels inside them."""
-    have = parcels.select(F.expr(geo.canonical("geometry"))["rings"].alias("_have"))
-    have = have.withColumn("_have_hash", F.xxhash64("_have"))
-    keyed = shapes.withColumn("_shape", F.expr(geo.canonical("geometry"))["rings"])
-    keyed = keyed.withColumn("_hash", F.xxhash64("_shape"))
+    rings = F.expr(geo.canonical("geometry"))["rings"]
+    # each ring is spelled once per row: filters and keys of the join would spell it again for every use
+    have = one_row(one_row(parcels.select("geometry"), [rings.alias("_have")]), [F.xxhash64("_have").alias("_have_hash")])
+    have = have.drop("geometry")
+    keyed = one_row(one_row(shapes, [rings.alias("_shape")]), [F.xxhash64("_shape").alias("_hash")])
     same = (keyed["_hash"] == have["_have_hash"]) & (keyed["_shape"] == have["_have"])
     orphans = materialise(keyed.join(have, same, "left_anti").drop("_shape", "_hash"))
     return container_join(orphans, parcels, "contains", key="shape_id", cell=cell)
@@ -328,7 +329,8 @@ def merge_sources(
     """All of ``first`` plus what of ``second`` touches none of it, with constant attributes.
 
     Both hold (apn, shape_area, geometry). Of ``first`` only the rows that touch ``second``
-    are made distinct; one written join tells which those are. Both sides are type 'warehouse', so the size rule drops no row.
+    are made distinct. Pairs that touch may be far more than rows, so only the numbers of the rows
+    they name are kept. Both sides are type 'warehouse', so the size rule drops no row.
     """
     numbered = materialise(first.withColumn("_row", F.monotonically_increasing_id()))
     pairs = spatial_join(second.select("geometry"), numbered.select("_row", "geometry"), "intersects", "inner", cell=cell)

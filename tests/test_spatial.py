@@ -297,3 +297,13 @@ def test_merged_sources_write_no_pairs(spark, monkeypatch):
     got = parcels.merge_sources(first, second).groupBy(F.substring("apn", 1, 1).alias("k")).count().collect()
     assert {r["k"]: r["count"] for r in got} == {"a": 30, "b": 35, "d": 33}
     assert max(written) <= 75
+
+
+def test_container_pairs_are_not_written(spark, monkeypatch):
+    big = boxes(spark, [(i, 0.0, 0.0, 2.0, 2.0) for i in range(30)] + [(77, 5.0, 5.0, 6.0, 6.0)], "cid")
+    small = boxes(spark, [(i, 0.5, 0.5, 0.6, 0.6) for i in range(30)])
+    written = _rows_written(monkeypatch, sp)
+    out = sp.container_join(big, small, "contains", "left", key="cid", cell=3.0)
+    got = [(r.cid, r.id) for r in out.collect()]
+    assert len(got) == 901 and set(got) == {(c, i) for c in range(30) for i in range(30)} | {(77, None)}
+    assert max(written, default=0) < 200
