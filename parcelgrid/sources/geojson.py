@@ -98,25 +98,31 @@ def _feature_array(text: str) -> str:
 def _line_features(line: str) -> str:
     """SQL: the features of one line, NULL if it holds none or only a part of one.
 
-    Tried as it is, as a whole collection, and without the collection's head and tail.
+    Tried as it is, as a whole collection, and without the collection's head and tail. Whichever it
+    is, the line begins with a brace and closes one; parts of features mostly do not, and are not tried.
     """
     bare = rf"regexp_replace(trim({line}), r',\s*$', '')"
     headless = rf"""regexp_replace({bare}, r'^\s*[{{].*?"features"\s*:\s*\[', '')"""
     tailless = rf"regexp_replace({headless}, r'\]\s*(,[^\[\]]*)?[}}]\s*$', '')"
     whole = f"CASE WHEN get_json_object({bare}, '$.type') = 'FeatureCollection' THEN from_json(get_json_object({bare}, '$.features'), 'array<string>') END"
     tries = ", ".join([whole, *(_feature_array(t) for t in (bare, headless, tailless))])
-    return f"CASE WHEN {line} IS NOT NULL THEN coalesce({tries}) END"
+    return rf"CASE WHEN {line} RLIKE r'(?s)^\s*[{{].*[}}]' THEN coalesce({tries}) END"
+
+
+def _once(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """Add a computed column that no filter or later use repeats: a generator ends their push-down."""
+    return df.select("*", F.explode(F.array(value)).alias(column))
 
 
 def _parsed(features: DataFrame, schema: str | T.StructType, unreadable: str = "error") -> DataFrame:
     """Attributes and shapes of features (_feature); what cannot be read is an error, or NULL."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    source = F.get_json_object("_feature", "$.geometry")
     options = {"mode": "FAILFAST" if unreadable == "error" else "PERMISSIVE"}
-    shape = F.expr(geometry_from_json("get_json_object(_feature, '$.geometry')"))
-    return features.select(
+    held = _once(features, "_source", F.get_json_object("_feature", "$.geometry"))
+    shape = F.expr(geometry_from_json("_source"))
+    return held.select(
         F.from_json(F.get_json_object("_feature", "$.properties"), fields, options).alias("_p"),
-        readable(shape, source, unreadable).alias("geometry"),
+        readable(shape, F.col("_source"), unreadable).alias("geometry"),
     ).select("_p.*", "geometry")
 
 
@@ -156,20 +162,20 @@ def _documents(
 ) -> DataFrame:
     """The features of files in any layout, cut at their braces."""
     found = json_blocks.objects(spark, paths)
-    text = F.regexp_replace("text", r"^[\s,\x{1E}\x{FEFF}]+", "")
-    rows = found.select("before", "after", text.alias("text"))
+    text = F.regexp_replace("found", r"^[\s,\x{1E}\x{FEFF}]+", "")
+    rows = _once(found.select("before", "after", F.col("text").alias("found")), "text", text)
     element = F.col("after") == 2
     head = element & ((F.col("before") == 0) | ~F.col("text").startswith("{"))
     foreign = head & ~F.col("text").rlike(r'"features"\s*:\s*\[')
     rest = ~element & ((F.col("before") != 0) | (F.col("after") != 0))
     own = F.when(head, F.regexp_replace("text", _HEAD, "")).otherwise(F.col("text"))
     none = head & own.startswith("]")
-    rows = rows.select(F.when(~(foreign | rest | none | (F.col("text") == "")), own).alias("object"))
+    rows = _once(rows, "object", F.when(~(foreign | rest | none | (F.col("text") == "")), own)).where("object IS NOT NULL")
     start = F.substring("object", 1, 60)
     lost = F.raise_error(F.concat(F.lit("a GeoJSON file holds features that could not be read: "), start)).cast("string")
     unread = F.col("object").isNotNull() & F.json_object_keys("object").isNull()
     feature = F.when(unread, lost).when(F.get_json_object("object", "$.type") == "Feature", F.col("object"))
-    return _parsed(rows.select(feature.alias("_feature")).where("_feature IS NOT NULL"), schema, unreadable)
+    return _parsed(_once(rows, "_feature", feature).where("_feature IS NOT NULL").select("_feature"), schema, unreadable)
 
 
 def spread_files(lines: DataFrame) -> list[str]:

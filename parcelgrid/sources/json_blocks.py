@@ -41,8 +41,7 @@ def raw_pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def _brackets(plain: Column, inside: bool) -> Column:
     """The brackets of a piece outside of strings, matched pairs removed: closing ones, then opening ones."""
     text = F.regexp_replace(plain, r'^[^"]*("|$)', "") if inside else plain
-    text = F.regexp_replace(text, r'"[^"]*("|$)', "")
-    text = F.regexp_replace(text, r"[^\[\]{}]+", "")
+    text = F.regexp_replace(text, r'"[^"]*("|$)|[^\[\]{}"]+', "")
     for _ in range(NESTED):
         text = F.regexp_replace(text, r"\[\]|\{\}", "")
     return text
@@ -73,14 +72,18 @@ def scanned(raw: DataFrame) -> DataFrame:
     the file's size.
     """
     order = Window.partitionBy("file", "start").orderBy("id")
-    held = raw.withColumn("plain", F.concat(plain_text(F.col("piece")), F.lit("}"))).withColumn("quotes", _count(F.col("plain"), QUOTE) % 2)
+    held = raw.select("*", F.explode(F.array(F.concat(plain_text(F.col("piece")), F.lit("}")))).alias("plain"))
+    held = held.select("*", F.explode(F.array(_count(F.col("plain"), QUOTE) % 2)).alias("quotes"))
     before = F.sum("quotes").over(order.rowsBetween(Window.unboundedPreceding, -1))
     held = held.withColumn("odd", F.coalesce(before, F.lit(0)) % 2)
     outside, inside = unmatched(F.col("plain")), unmatched(F.col("plain"), True)
     out, within = (F.when(F.col("odd") == k, outside).otherwise(inside) for k in (0, 1))
-    deep = out.rlike(r"[\[{].*[\]}]") & within.rlike(r"[\[{].*[\]}]")
-    checked = F.when(deep, F.raise_error(F.lit("arrays are nested too deep to follow"))).otherwise(out)
-    return held.select("file", "start", "id", "size", "piece", "quotes", "odd", checked.alias("out"), within.alias("within"))
+    deep = F.col("out").rlike(r"[\[{].*[\]}]") & F.coalesce("within", within).rlike(r"[\[{].*[\]}]")
+    checked = F.when(deep, F.raise_error(F.lit("arrays are nested too deep to follow"))).otherwise(F.col("out"))
+    # a file begins outside a string, and so does its first block; generators keep each text from being worked out for every use
+    told = F.struct(out.alias("out"), F.when(F.col("start") > 0, within).alias("within"))
+    held = held.select("*", F.inline(F.array(told)))
+    return held.select("file", "start", "id", "size", "piece", "quotes", "odd", checked.alias("out"), "within")
 
 
 def composed(pieces: DataFrame) -> DataFrame:

@@ -327,3 +327,24 @@ def test_collections_are_valid_files_put_in_place_whole(spark, tmp_path):
     (only,) = (tmp_path / "out").glob("part-*")
     assert json.loads(only.read_text())["features"] == []
     assert geojson.read_geojson(spark, path, "id long", "auto").count() == 0
+
+
+def test_parts_of_features_are_not_tried(spark, monkeypatch):
+    """Only lines that begin with a brace and close one are parsed; other parts of features are told by their brackets."""
+    lines = ['{"type":', ' "Feature","geometry":{"type":"Point","coordinates":[1,2]},', ' "properties":{"a":1}},', '\t{"type":"Feature","geometry":null,"properties":{}},']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
+    parsed = geojson._line_features("value").split(" THEN ", 1)
+    assert "RLIKE" in parsed[0]
+    tried = df.where(F.expr(parsed[0].removeprefix("CASE WHEN "))).collect()
+    assert [r["i"] for r in tried] == [3]
+    whole = df.select("i", F.expr(geojson._line_features("value")).alias("f")).where("f IS NOT NULL").collect()
+    assert [(r["i"], len(r["f"])) for r in whole] == [(3, 1)]
+
+
+def test_features_are_parsed_once(spark, tmp_path):
+    """A filter pushed below the parsing would repeat it; texts are cleaned in one place of the plan."""
+    (tmp_path / "a.json").write_text('{"type": "FeatureCollection",\n"features": [\n{"type":\n "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]},\n "properties": {"note": "a } \\" ] {"}}\n]\n}\n')
+    read = geojson.read_geojson(spark, str(tmp_path), "note string", "document")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("holds features that could not be read") == 1
+    assert [(r["note"], r["geometry"]["xmin"]) for r in read.collect()] == [('a } " ] {', 1.0)]
