@@ -35,7 +35,7 @@ from .relational import natural_join
 
 LEVELS = 12          # cell sizes cell * 4**k; the level after the last is one cell for everything
 _BROADCAST_BYTES = 16 * 1024 * 1024  # of Parquet, which unfolds to a few times that
-_SMALL_BYTES = 256 * 1024  # of an indexed side as the planner guesses it; it unfolds to some hundred times that
+_SMALL_BYTES = 256 * 1024  # of an indexed side as the planner guesses it, before it is unfolded
 
 
 @dataclass(frozen=True)
@@ -241,8 +241,8 @@ def _boundary_cells(cells: DataFrame) -> DataFrame:
 def _unfolds(index: DataFrame) -> bool:
     """Whether the planner would broadcast an indexed side that is too large for it.
 
-    Its guess comes from the compressed files, while rows by cell with their segments are some
-    hundred times that, all held by the driver. What it guesses to be larger is exchanged anyway.
+    Its guess comes from the compressed files and does not know of the rows by cell with their
+    segments, all of which the driver would hold. What it guesses to be larger is exchanged anyway.
     """
     guess = int(str(index._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return _SMALL_BYTES < guess <= index.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

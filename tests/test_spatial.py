@@ -224,7 +224,7 @@ def test_is_box(spark):
 
 
 def test_unfolding_index_is_not_broadcast(spark):
-    """The planner takes 20,000 boxes for small; by cells with their segments they are some 30 MB."""
+    """The planner takes 20,000 boxes for small, without the cells and segments that they unfold to."""
     right = spark.range(20000).select(F.col("id").alias("rid"), F.expr(geo.box("id * 0.001D", "0D", "id * 0.001D + 0.0009D", "0.001D")).alias("geometry"))
     left = spark.range(100).select("id", F.expr(geo.box("id * 0.1D", "0D", "id * 0.1D + 0.0005D", "0.0005D")).alias("geometry"))
     out = sp.spatial_join(left, right, "intersects", "inner", cell=0.001)
